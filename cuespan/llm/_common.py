@@ -28,7 +28,6 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + os.path.join(tempfile.gettempdir(), "cuespan-scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
