@@ -18,6 +18,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -52,7 +53,11 @@ class WordCachedTokenizer:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.encoder, self.limit = Tokenizer.from_file(path), cache_words
+        self.ends = np.zeros(self.encoder.get_vocab_size(), bool)
+        for token, i in self.encoder.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.cache: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
@@ -61,15 +66,36 @@ class WordCachedTokenizer:
         words, cache = text.lower().split(), self.cache
         new = {w for w in words if w not in cache}
         if new:
-            if len(cache) + len(new) > self.limit:
+            if len(cache) + 2 * len(new) > self.limit:
                 cache.clear()
                 new = set(words)
-            listed = list(new)
-            for w, e in zip(listed, self.encoder.encode_batch_fast(listed, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
+            self._learn(new)
         return b"".join([cache[w] for w in words])
 
 
+    def _learn(self, new: set[str]) -> None:
+        """Cache the ids of words. A run of letters is a unit of the tokenizer's own rules,
+        and so is one mark after it; units of letters are encoded many at a time and parted
+        after ids that end a unit."""
+        cache, marks = self.cache, {w for w in new if w[-1] in ".,;:" and w[:-1].isalpha()}
+        letters = [w for w in {*new, *(w[:-1] for w in marks)} if w.isalpha() and w not in cache]
+        others = [w for w in {*new, *(w[-1] for w in marks)} if w not in cache and w not in marks and not w.isalpha()]
+        groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
+        for words, e in zip(groups, self.encoder.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(words):  # not parted as expected: each on its own
+                others += words
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, to in zip(words, cut.tolist(), strict=True):
+                cache[w], at = raw[4 * at : 4 * to], to
+        for w, e in zip(others, self.encoder.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            cache[w] = np.array(e.ids, "<u4").tobytes()
+        for w in marks:
+            cache[w] = cache[w[:-1]] + cache[w[-1]]
+
+
 _TOKENIZERS: dict[str, WordCachedTokenizer] = {}
 
 
