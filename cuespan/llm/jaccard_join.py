@@ -172,12 +172,12 @@ def window_rows(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int =
             for doc_id, text in zip(b["id"].tolist(), b["text"], strict=True):
                 h = shingle_hashes(text, size)
                 n = len(h)
-                sid = set_digest(h) if n else None
+                sid = set_digest(h) if n else 0
                 if n and sid not in seen:
                     seen.add(sid)
                     windows[len(rows)] = h[: n - need(n, num, den) + -(-n // 4)].view(np.int64)
                 rows.append((doc_id, sid, n))
-            out = pd.DataFrame(rows, columns=["id", "sid", "n"]).astype({"sid": "Int64"})
+            out = pd.DataFrame(rows, columns=["id", "sid", "n"], dtype="int64")
             tokens, hot_tokens = [None] * len(rows), [None] * len(rows)
             hot, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if windows:
@@ -188,10 +188,12 @@ def window_rows(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int =
                     tokens[at], hot_tokens[at] = w[~is_hot], w[is_hot] if is_hot.any() else None
             yield out.assign(tokens=tokens, hot=hot_tokens, counts=None)
             if len(hot):
-                yield pd.DataFrame({"id": [None], "sid": [None], "n": [-1], "tokens": [hot], "hot": [None], "counts": [times]}).astype({"id": "Int64", "sid": "Int64"})
+                yield pd.DataFrame({"id": [NO_ID], "sid": [0], "n": [-1], "tokens": [hot], "hot": [None], "counts": [times]})
 
     kept = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    return kept.mapInPandas(run, "id long, sid long, n long, tokens array<long>, hot array<long>, counts array<long>")
+    # no nulls among the numbers on the way: pandas would make floats of them
+    out = kept.mapInPandas(run, "id long, sid long, n long, tokens array<long>, hot array<long>, counts array<long>")
+    return out.withColumn("sid", F.when(F.col("n") > 0, F.col("sid")))
 
 
 def short_lists(rows: DataFrame, num: int = NUM, den: int = DEN, local_hot: int = LOCAL_HOT) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,14 +144,15 @@ def training_sample(docs: DataFrame, per_language: int = 1500, max_languages: in
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score, and rejected: the score is below the calibrated threshold."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [model.predict(t) for t in b["text"]]
-            out = pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
-            yield out.assign(rejected=(out["lang_pred"] == UND) | (out["score"] < model.threshold))
+            found = [model.predict(t) for t in b.column("text").to_pylist()]
+            langs, scores = [x[0] for x in found], [x[1] for x in found]
+            off = [x == UND or s < model.threshold for x, s in found]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(off, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

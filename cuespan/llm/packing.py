@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, table
+from ._common import NO_ID, materialize, table
 
 CAPACITY = 4096
 END_ID = 2
@@ -109,16 +109,18 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         encode = _TOKENIZERS[path].ids
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+            for doc_id, text in zip(b["doc_id"].tolist(), b["text"], strict=True):
                 ids = (encode(text) if text else b"") + end
                 total = len(ids) // 4
                 for at in range(0, total, capacity):
                     part = ids[4 * at : 4 * (at + capacity)]
-                    row = (None if pd.isna(doc_id) else int(doc_id), at, len(part) // 4, zlib.crc32(part), total)
+                    row = (doc_id, at, len(part) // 4, zlib.crc32(part), total)
                     rows.append((*row, part) if with_ids else row)
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES + ", ids binary" * with_ids)
+    # null ids travel as a number: pandas would make floats of a column with nulls
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    return rows.mapInPandas(run, PIECES + ", ids binary" * with_ids)
 
 
 def fill_window(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -207,7 +209,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
             return g.drop(columns="_group").merge(assign(g), on="_piece")[[*cols, "_piece", "sequence_id", "offset"]]
 
         packed = rest.groupBy("_group").applyInPandas(assign_all, f"{PIECES}, _piece long, sequence_id long, offset long")
-    return full.unionByName(packed).drop("_piece")
+    return full.unionByName(packed).drop("_piece").withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def padding(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

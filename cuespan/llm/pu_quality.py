@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,11 +147,12 @@ def calibrate(model: QualityModel, x: np.ndarray, y: np.ndarray, steps: int = 20
 def vectors(docs: DataFrame, *keep: str) -> DataFrame:
     fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({**{c: b[c] for c in keep}, "features": [features(t) for t in b["text"]]})
+            found = pa.array([features(t) for t in b.column("text").to_pylist()], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [found], names=[*keep, "features"])
 
-    return docs.select(*keep, "text").mapInPandas(run, f"{fields}, features array<float>")
+    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, features array<float>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positives: int = 6000, max_unlabelled: int = 12000, max_calibration: int = 6000, seed: int = 3) -> QualityModel:
@@ -187,12 +188,12 @@ def score(docs: DataFrame, model: QualityModel, *keep: str) -> DataFrame:
     """``keep`` and the score of every whole text."""
     fields = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = model.score(np.stack([features(t) for t in b["text"]]).astype(np.float64)) if len(b) else np.zeros(0)
-            yield pd.DataFrame({**{c: b[c] for c in keep}, "score": s})
+            x = np.array([features(t) for t in b.column("text").to_pylist()], dtype=np.float64).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(model.score(x))], names=[*keep, "score"])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{fields}score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{fields}score double")
 
 
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -89,13 +89,13 @@ def count_text(text: str | None) -> tuple[int, ...]:
 def text_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of every whole text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in COUNTS.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = pd.DataFrame([count_text(t) for t in b.pop("text")], columns=names, index=b.index, dtype="int64")
-            yield pd.concat([b, counts], axis=1)
+            counts = np.array([count_text(t) for t in b.column("text").to_pylist()], dtype=np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(x) for x in counts.T], names=keep + names)
 
-    return docs.select("doc_id", "lang", "source", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, source string, {COUNTS}")
+    keep, names = ["doc_id", "lang", "source"], [x.split()[0] for x in COUNTS.split(", ")]
+    return docs.select(*keep, "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, source string, {COUNTS}")
 
 
 def with_metrics(counts: DataFrame) -> DataFrame:
