@@ -10,11 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize
 
+_SCHEMA = "u long, v long, part int"
+
 
 def spanning_stars(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """(node, smallest node of its component) for the nodes of ``pairs``, roots left out."""
@@ -40,32 +43,35 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield from zip(b["u"].tolist(), b["v"].tolist(), strict=True)
 
-    yield pd.DataFrame(spanning_stars(pairs()), columns=["u", "v"], dtype="int64")
+    context = TaskContext.get()
+    found = pd.DataFrame(spanning_stars(pairs()), columns=["u", "v"], dtype="int64")
+    yield found.assign(part=context.partitionId() if context else 0)
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return r.n, int(r.s or 0)
+def _mark(edges: DataFrame) -> tuple[int, int, int]:
+    """Edges, a sum of their hashes, and how many partitions they were contracted in."""
+    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.count_distinct("part").alias("p")).first()
+    return r.n, int(r.s or 0), r.p
 
 
 def connected_components(edges: DataFrame, tag: str = "components", max_rounds: int = 60) -> DataFrame:
     """From edges (u, v) of longs: (u, v) with v the smallest node of u's component, for
     every node but the smallest ones themselves."""
-    now = materialize(edges.select("u", "v").filter("u <> v").distinct().mapInPandas(_contract, "u long, v long"), tag)
+    now = materialize(edges.select("u", "v").filter("u <> v").distinct().mapInPandas(_contract, _SCHEMA), tag)
     mark = _mark(now)
     for _ in range(max_rounds):
-        if not mark[0]:
-            return now
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if mark[2] <= 1:  # all edges were in one partition: its stars are the answer
+            return now.select("u", "v")
+        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.filter("u <> v")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        step = small.filter("u <> v").distinct().mapInPandas(_contract, "u long, v long")
+        step = small.filter("u <> v").distinct().mapInPandas(_contract, _SCHEMA)
         after = materialize(step, tag)
         new = _mark(after)
-        if new == mark:
-            return after
+        if new[:2] == mark[:2]:
+            return after.select("u", "v")
         now, mark = after, new
     raise RuntimeError("components did not settle")

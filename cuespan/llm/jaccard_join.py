@@ -53,6 +53,7 @@ NUM, DEN = 85, 100
 LOCAL_HOT = 64
 BLOCK_TOKENS = 2_000_000
 MU = 0.0085  # cost of a probe against a merge step, as published for DivideSkip
+MAX_FILTER_BITS = 27  # 16 MB at most
 _CACHE_WORDS = 1_000_000
 _HOT_RANK = 1 << 62
 _words: dict[bytes, int] = {}
@@ -238,20 +239,41 @@ def block_keys(members: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFram
     return rows.withColumn("_c", chunk).select("sid", F.explode(F.when(F.col("_k") == 1, whole).otherwise(pairs(F.col("_c")))).alias("block"))
 
 
+def id_bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of hashed ids and its number of bits, which grows with the ids up to
+    2^MAX_FILTER_BITS and no further: beyond that it lets more ids pass, never fewer."""
+    n = ids.count()
+    bits = 1 << min(MAX_FILTER_BITS, max(15, (16 * n).bit_length()))
+    at = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1  # these functions number bits from 1
+    parts = ids.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.collect():  # bits / 32768 rows
+        piece = np.frombuffer(r.bits, np.uint8)
+        low = (r.b - 1) * 4096
+        out[low : low + 4096] = piece
+    return out, bits
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(sid, hashes) of the classes in ``wanted`` (sid, id of a row that has the set)."""
+    """(sid, hashes) of the classes in ``wanted`` (sid, id of a row that has the set), and
+    now and then of another. Texts stay where they are read: a bounded bitmap of the wanted
+    ids passes those whose sets are computed; the join with the blocks is exact."""
+    bitmap, bits = id_bitmap(wanted.select("id"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for sid, text in zip(b["sid"].tolist(), b["text"], strict=True):
+            at = b["at"].to_numpy(np.int64)
+            hit = b["text"].to_numpy()[(shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            found = {}
+            for text in hit:
                 h = shingle_hashes(text, size)
-                if len(h) and set_digest(h) == sid:  # an id may have several rows
-                    rows.append((sid, h.tobytes()))
-            yield pd.DataFrame(rows, columns=["sid", "hashes"])
+                if len(h):
+                    found[set_digest(h)] = h.tobytes()
+            yield pd.DataFrame({"sid": list(found), "hashes": list(found.values())}).astype({"sid": "int64"})
 
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    return texts.join(wanted, "id").select("sid", "text").mapInPandas(run, "sid long, hashes binary")
+    texts = docs.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), F.lit(bits)).alias("at"), "text")
+    return texts.mapInPandas(run, "sid long, hashes binary")
 
 
 def block_links(sets: DataFrame, keys: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
