@@ -51,10 +51,11 @@ from .components import connected_components
 SHINGLE = 4
 NUM, DEN = 85, 100
 LOCAL_HOT = 64
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 MU = 0.0085  # cost of a probe against a merge step, as published for DivideSkip
 MAX_FILTER_BITS = 27  # 16 MB at most
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 200_000
+_BATCH_DOCS = 2000  # of an input batch at a time: bounds what a task holds
 _HOT_RANK = 1 << 62
 _words: dict[bytes, int] = {}
 
@@ -168,7 +169,7 @@ def window_rows(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for b in batches:
+        for b in (whole.iloc[at : at + _BATCH_DOCS] for whole in batches for at in range(0, len(whole), _BATCH_DOCS)):
             rows, windows = [], {}
             for doc_id, text in zip(b["id"].tolist(), b["text"], strict=True):
                 h = shingle_hashes(text, size)
@@ -265,12 +266,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for b in batches:
             at = b["at"].to_numpy(np.int64)
             hit = b["text"].to_numpy()[(shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            found = {}
-            for text in hit:
-                h = shingle_hashes(text, size)
-                if len(h):
-                    found[set_digest(h)] = h.tobytes()
-            yield pd.DataFrame({"sid": list(found), "hashes": list(found.values())}).astype({"sid": "int64"})
+            for start in range(0, len(hit), _BATCH_DOCS):
+                found = {}
+                for text in hit[start : start + _BATCH_DOCS]:
+                    h = shingle_hashes(text, size)
+                    if len(h):
+                        found[set_digest(h)] = h.tobytes()
+                yield pd.DataFrame({"sid": list(found), "hashes": list(found.values())}).astype({"sid": "int64"})
 
     texts = docs.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), F.lit(bits)).alias("at"), "text")
     return texts.mapInPandas(run, "sid long, hashes binary")
