@@ -3,6 +3,8 @@
 Each round contracts the edges of every partition by union-find, then does one large-star
 and one small-star step (Kiveris et al. 2014), and is written to the shared folder; the
 rounds end when the edges no longer change, and are then stars around their smallest node.
+Partitions are cut by the number of edges (``EDGES_A_TASK``), not by the engine's number of
+shuffle partitions: few edges are contracted in few tasks, and in one the answer is there.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from ._common import materialize
 
 _SCHEMA = "u long, v long, part int"
+#: Bounds the union-find of a task: some 80 MB of a Python worker.
+EDGES_A_TASK = 250_000
 
 
 def spanning_stars(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -54,12 +58,16 @@ def _mark(edges: DataFrame) -> tuple[int, int, int]:
     return r.n, int(r.s or 0), r.p
 
 
-def connected_components(edges: DataFrame, tag: str = "components", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, tag: str = "components", max_rounds: int = 60, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
     """From edges (u, v) of longs: (u, v) with v the smallest node of u's component, for
     every node but the smallest ones themselves."""
     now = materialize(edges.select("u", "v").filter("u <> v").distinct().mapInPandas(_contract, _SCHEMA), tag)
     mark = _mark(now)
     for _ in range(max_rounds):
+        tasks = -(-mark[0] // edges_a_task)
+        if 1 < mark[2] and tasks <= mark[2] // 2:  # what many tasks left fits fewer ones
+            now = materialize(now.select("u", "v").coalesce(tasks).mapInPandas(_contract, _SCHEMA), tag)
+            mark = _mark(now)
         if mark[2] <= 1:  # all edges were in one partition: its stars are the answer
             return now.select("u", "v")
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

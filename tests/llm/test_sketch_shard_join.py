@@ -98,6 +98,15 @@ def test_components(spark):
     assert components.connected_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edges_a_task", [3, 40, 10_000])
+def test_components_in_any_number_of_tasks(spark, edges_a_task):
+    rng = random.Random(edges_a_task)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
+    edges = spark.createDataFrame(pairs, "u long, v long").repartition(6)
+    got = {tuple(r) for r in components.connected_components(edges, edges_a_task=edges_a_task).collect()}
+    assert got == set(components.spanning_stars(pairs))
+
+
 def test_sketch_by_brute_force(spark, odd, empty):
     rows = [r for r in odd_rows() if r[0] is not None and r[0] != 9]
     docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").repartition(3)
