@@ -19,7 +19,8 @@ How it is spread out, without cross joins, pairs inside groups, or sampled count
    frequent already inside one batch of input is kept out of the shuffle (it is counted
    there, and ordered last), so no hot list reaches one task.
 3. Lists are joined to stars around their smallest class, whose connected components hold
-   every possible link. Components are dealt into blocks of bounded size; one too large
+   every possible link. Partners' sizes differ by a factor of num/den at most, so a list
+   falls apart by size classes, each class of sizes being with its neighbours once. Components are dealt into blocks of bounded size; one too large
    for a block is cut into chunks, and each pair of chunks is a block.
 4. Inside a block the T-occurrence search runs over the full sets. Two classes already
    connected are not searched again: the result is components, not all pairs.
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -220,10 +221,19 @@ def short_lists(rows: DataFrame, num: int = NUM, den: int = DEN, local_hot: int
     return sets.withColumn("_take", take).filter("_take > 0").select("sid", "n", F.explode(F.slice("shared", 1, F.col("_take"))).alias("x")).select("x.token", "sid", "n")
 
 
-def stars(lists: DataFrame) -> DataFrame:
-    """Edges (u, v) from each class of a list to the list's smallest one."""
-    hubs = lists.groupBy("token").agg(F.min("sid").alias("v"), F.max("sid").alias("_hi")).filter("v < _hi").drop("_hi")
-    return lists.join(hubs, "token").filter("sid <> v").select(F.col("sid").alias("u"), "v").distinct()
+def size_class(n: Column, num: int = NUM, den: int = DEN) -> Column:
+    """Sizes within a factor of num/den of each other are in one class or neighbouring ones
+    (classes are a little wider than that, so that rounding parts none)."""
+    width = max(1.001 * math.log(den / num), 1e-6)
+    return F.floor(F.log(n.cast("double")) / F.lit(width)).cast("int")
+
+
+def stars(lists: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Edges (u, v) from each class of a list to the smallest one of its sizes there."""
+    at = size_class(F.col("n"), num, den)
+    parted = lists.select("token", "sid", F.explode(F.array(at, at + 1)).alias("size"))
+    hubs = parted.groupBy("token", "size").agg(F.min("sid").alias("v"), F.max("sid").alias("_hi")).filter("v < _hi").drop("_hi")
+    return parted.join(hubs, ["token", "size"]).filter("sid <> v").select(F.col("sid").alias("u"), "v").distinct()
 
 
 def block_keys(members: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -292,7 +302,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den
     """doc_id, n_shingles and component_id of every document."""
     rows = materialize(window_rows(docs, size, num, den, local_hot), "jaccard-windows")
     lists = materialize(short_lists(rows, num, den, local_hot), "jaccard-lists")
-    coarse = connected_components(stars(lists), "jaccard-coarse")
+    coarse = connected_components(stars(lists, num, den), "jaccard-coarse")
     # a component's smallest class is no row of ``coarse``: it is added
     members = coarse.select(F.col("u").alias("sid"), F.col("v").alias("comp")).unionByName(coarse.select(F.col("v").alias("sid"), F.col("v").alias("comp")).distinct())
     classes = rows.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"))
