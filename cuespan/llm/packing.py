@@ -33,6 +33,7 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_DOCS = 4096
 CACHE_WORDS = 1_000_000
+AS_IS = ("<|", "Σ", "İ", "\x1c", "\x1d", "\x1e", "\x1f")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -48,7 +49,8 @@ class WordCachedTokenizer:
     The vocabulary's rules never join characters across white space, so a text's ids are
     those of its words, and each word is encoded once for a worker. Words are cached in
     lower case: the tokenizer's own lower-casing goes character by character, as Python's
-    does but for two letters, whose texts are encoded as they are."""
+    does but for two letters, whose texts are encoded as they are; so are those with one of
+    the four separators that are white space to Python but a token to the vocabulary."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
@@ -61,7 +63,7 @@ class WordCachedTokenizer:
         self.cache: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        if "<|" in text or "Σ" in text or "İ" in text:
+        if any(x in text for x in AS_IS):
             return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words, cache = text.lower().split(), self.cache
         new = {w for w in words if w not in cache}
@@ -72,7 +74,6 @@ class WordCachedTokenizer:
             self._learn(new)
         return b"".join([cache[w] for w in words])
 
-
     def _learn(self, new: set[str]) -> None:
         """Cache the ids of words. A run of letters is a unit of the tokenizer's own rules,
         and so is one mark after it; units of letters are encoded many at a time and parted

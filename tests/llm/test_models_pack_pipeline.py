@@ -91,7 +91,7 @@ def test_tokenizer_cache_is_exact(spark):
     path = packing.default_tokenizer_path()
     plain, cached = Tokenizer.from_file(path), packing.WordCachedTokenizer(path, cache_words=50)
     texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).collect()]
-    texts += ["", "  ", "don't STOP... 1234!!", "ΣΑΣ İstanbul", "a<|endoftext|>b", "é é x y", "it's,; x. 'tis we'll.", "日本語 text。"]
+    texts += ["", "  ", "don't STOP... 1234!!", "ΣΑΣ İstanbul", "a<|endoftext|>b", "é é x y", "it's,; x. 'tis we'll.", "日本語 text。", "a\x1cb \x1d c\x1e\x1fd\x85e\u3000f"]
     for t in texts:
         assert np.frombuffer(cached.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
