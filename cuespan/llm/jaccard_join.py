@@ -54,6 +54,7 @@ LOCAL_HOT = 64
 BLOCK_TOKENS = 1_000_000
 MU = 0.0085  # cost of a probe against a merge step, as published for DivideSkip
 MAX_FILTER_BITS = 27  # 16 MB at most
+MIN_BUCKETS, BUCKET_TOKENS = 64, 3_000_000  # of the hash range, in which windows are counted
 _CACHE_WORDS = 200_000
 _BATCH_DOCS = 2000  # of an input batch at a time: bounds what a task holds
 _HOT_RANK = 1 << 62
@@ -198,20 +199,49 @@ def window_rows(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int =
     return out.withColumn("sid", F.when(F.col("n") > 0, F.col("sid")))
 
 
+def packed_windows(rows: DataFrame, buckets: int) -> DataFrame:
+    """Windows and counted hot hashes as they are shuffled: for each batch and bucket of the
+    hash range one array of hashes and one of their classes (of their counts, where hot).
+    Hashes of a class lie together, so a class is written about once an array."""
+
+    def pieces(arrays: list[np.ndarray], x: np.ndarray, is_hot: bool) -> pd.DataFrame:
+        token = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+        bucket = (token.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        names, first = np.unique(bucket[order], return_index=True)
+        cut = lambda c: np.split(c[order], first[1:]) if len(names) else []
+        return pd.DataFrame({"bucket": names, "is_hot": is_hot, "tokens": cut(token), "xs": cut(x)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in (whole.iloc[at : at + _BATCH_DOCS] for whole in batches for at in range(0, len(whole), _BATCH_DOCS)):
+            hot = b["counts"].notna().to_numpy()
+            own, sums = b[~hot], b[hot]
+            sizes = np.array([len(t) for t in own["tokens"]], np.int64)
+            yield pieces(own["tokens"].tolist(), np.repeat(own["sid"].to_numpy(np.int64), sizes), False)
+            if len(sums):
+                yield pieces(sums["tokens"].tolist(), np.concatenate(sums["counts"].tolist()), True)
+
+    kept = rows.filter("tokens is not null").select(F.coalesce("sid", F.lit(0)).alias("sid"), "tokens", "counts")
+    return kept.mapInPandas(run, "bucket int, is_hot boolean, tokens array<long>, xs array<long>")
+
+
 def short_lists(rows: DataFrame, num: int = NUM, den: int = DEN, local_hot: int = LOCAL_HOT) -> DataFrame:
     """(token, sid): the rarest window hashes of each class that can have a partner."""
-    own = rows.filter("sid is not null").select(F.explode("tokens").alias("token"), "sid", "n")
-    counted = rows.filter("sid is null and counts is not null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
-    summed = counted.select(F.col("x.tokens").alias("token"), F.lit(None).cast("long").alias("sid"), (-F.col("x.counts")).alias("n"))
-    by = W.partitionBy("token")
-    df = F.sum(F.when(F.col("sid").isNull(), -F.col("n")).otherwise(1)).over(by)
-    seen = own.unionByName(summed).select("token", "sid", "n", df.alias("df"), F.min("sid").over(by).alias("lo"), F.max("sid").over(by).alias("hi"))
+    total = rows.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
+    buckets = max(MIN_BUCKETS, -(-total // BUCKET_TOKENS))
+    each = packed_windows(rows, buckets).repartition(buckets, "bucket").select("bucket", "is_hot", F.inline(F.arrays_zip("tokens", "xs")))
+    each = each.select("bucket", F.col("tokens").alias("token"), F.when(~F.col("is_hot"), F.col("xs")).alias("sid"), F.when(F.col("is_hot"), F.col("xs")).otherwise(1).alias("times"))
+    by = W.partitionBy("bucket", "token")  # the buckets' partitioning holds for it
+    seen = each.select("token", "sid", F.sum("times").over(by).alias("df"), F.min("sid").over(by).alias("lo"), F.max("sid").over(by).alias("hi"))
     # hashes of one class only can't join anything (hot ones are never alone)
     shared = seen.filter(F.col("sid").isNotNull() & ((F.col("lo") < F.col("hi")) | (F.col("df") > local_hot)))
     rank = F.when(F.col("df") > local_hot, F.lit(_HOT_RANK)).otherwise(F.col("df"))
-    hot = rows.filter("hot is not null").select("sid", "n", F.lit(_HOT_RANK).alias("rank"), F.explode("hot").alias("token"))
-    back = shared.select("sid", "n", rank.alias("rank"), "token").unionByName(hot)
-    sets = back.groupBy("sid").agg(F.first("n").alias("n"), F.array_sort(F.collect_set(F.struct("rank", "token"))).alias("shared"))
+    first = rows.filter("sid is not null and (tokens is not null or hot is not null)")
+    hot = first.filter("hot is not null").select("sid", F.lit(_HOT_RANK).alias("rank"), F.explode("hot").alias("token"))
+    tokens = shared.select("sid", F.lit(None).cast("long").alias("n"), rank.alias("rank"), "token").unionByName(hot, allowMissingColumns=True)
+    back = tokens.unionByName(first.select("sid", F.col("n").cast("long").alias("n")), allowMissingColumns=True)
+    kept = F.when(F.col("token").isNotNull(), F.struct("rank", "token"))
+    sets = back.groupBy("sid").agg(F.max("n").alias("n"), F.array_sort(F.collect_set(kept)).alias("shared"))
     t = F.call_function("div", F.col("n") * num + (den - 1), F.lit(den))
     quarter = lambda c: F.call_function("div", c + 3, F.lit(4))
     window = F.least(F.col("n"), F.col("n") - t + quarter(F.col("n")))
@@ -298,7 +328,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den
     classes = rows.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     wanted = materialize(members.join(classes, "sid"), "jaccard-members")
     sets = full_sets(docs, wanted.select("sid", "id"), size)
-    links = connected_components(block_links(sets, block_keys(wanted.select("sid", "n", "comp"), block_tokens), num, den), "jaccard-links")
+    # written down, so that the engine knows their size: it broadcasts few, and shuffles many
+    keys = materialize(block_keys(wanted.select("sid", "n", "comp"), block_tokens), "jaccard-keys")
+    links = connected_components(block_links(sets, keys, num, den), "jaccard-links")
     named = links.join(classes.select("sid", "id"), F.col("u") == F.col("sid")).groupBy("v").agg(F.min("id").alias("low"))
     ends = named.join(classes.select("sid", "id"), F.col("v") == F.col("sid")).select("v", F.least("low", "id").alias("component"))
     linked = links.join(ends, "v").select(F.col("u").alias("sid"), "component").unionByName(ends.select(F.col("v").alias("sid"), "component"))
