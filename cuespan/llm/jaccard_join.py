@@ -229,9 +229,9 @@ def short_lists(rows: DataFrame, num: int = NUM, den: int = DEN, local_hot: int
     """(token, sid): the rarest window hashes of each class that can have a partner."""
     total = rows.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-total // BUCKET_TOKENS))
-    each = packed_windows(rows, buckets).repartition(buckets, "bucket").select("bucket", "is_hot", F.inline(F.arrays_zip("tokens", "xs")))
+    each = packed_windows(rows, buckets).repartitionById(buckets, F.col("bucket")).select("bucket", "is_hot", F.inline(F.arrays_zip("tokens", "xs")))
     each = each.select("bucket", F.col("tokens").alias("token"), F.when(~F.col("is_hot"), F.col("xs")).alias("sid"), F.when(F.col("is_hot"), F.col("xs")).otherwise(1).alias("times"))
-    by = W.partitionBy("bucket", "token")  # the buckets' partitioning holds for it
+    by = W.partitionBy("bucket", "token")  # a bucket is a partition: nothing moves
     seen = each.select("token", "sid", F.sum("times").over(by).alias("df"), F.min("sid").over(by).alias("lo"), F.max("sid").over(by).alias("hi"))
     # hashes of one class only can't join anything (hot ones are never alone)
     shared = seen.filter(F.col("sid").isNotNull() & ((F.col("lo") < F.col("hi")) | (F.col("df") > local_hot)))
