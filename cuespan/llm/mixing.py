@@ -15,6 +15,8 @@ the same name.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,18 +24,24 @@ from ._common import materialize, table, unit_hash
 
 SEED = 20240
 ALPHA = 0.5
+#: Only the SQL counterpart has this bound; it agrees where no source's rate is above it.
 MAX_RATE = 64.0
+#: Up to here a source has a table of its distribution; beyond, each document sums it up.
+TABLE_RATE = 64.0
+#: Copies that one row of the first of two explodes stands for.
+COPIES = 1 << 16
 
 
 def text_size() -> Column:
     return F.coalesce(F.length("text"), F.lit(0)).cast("long")
 
 
-def source_rates(docs: DataFrame, alpha: float = ALPHA, weights: dict[str, float] | None = None, max_rate: float = MAX_RATE) -> DataFrame:
+def source_rates(docs: DataFrame, alpha: float = ALPHA, weights: dict[str, float] | None = None, max_rate: float | None = None) -> DataFrame:
     """One row a source: size, target share, mean repetition rate.
 
     Shares are ``weights`` if given, else proportional to size ** alpha. Sizes are code
-    points over the whole table. ``max_rate`` bounds how often a tiny source repeats."""
+    points over the whole table. Rates have no bound, so every source reaches its share;
+    with ``max_rate`` sources that need more fall short of it, and the total shrinks."""
     sized = docs.groupBy("source").agg(F.sum(text_size()).alias("size"))
     if weights is not None:
         known = docs.sparkSession.createDataFrame([(str(k), float(v)) for k, v in weights.items()], "w_source string, weight double")
@@ -43,31 +51,57 @@ def source_rates(docs: DataFrame, alpha: float = ALPHA, weights: dict[str, float
     # only weighted sources share the total; one row of two sums
     both = sized.filter("weight is not null").agg(F.sum("size").cast("double").alias("all_size"), F.sum(F.bround(F.col("weight"), 6)).alias("all_weight"))
     rate = F.col("weight") / F.col("all_weight") * F.col("all_size") / F.col("size")
+    if max_rate is not None:
+        rate = F.least(rate, F.lit(float(max_rate)))
     return sized.crossJoin(F.broadcast(both)).select(
         "source",
         "size",
-        F.when(F.col("weight").isNull() | (F.col("size") == 0) | (F.col("all_weight") == 0), 1.0).otherwise(F.least(rate, F.lit(float(max_rate)))).alias("mix_rate"),
+        F.when(F.col("weight").isNull() | (F.col("size") == 0) | (F.col("all_weight") == 0), 1.0).otherwise(rate).alias("mix_rate"),
     )
 
 
 def poisson_steps(rate: Column) -> Column:
     """Cumulative Poisson probabilities F(0), F(1), ... until the tail is below 2^-52.
 
-    Rates are at most MAX_RATE, so exp(-rate) does not underflow and some 200 terms do."""
+    For rates up to TABLE_RATE: exp(-rate) does not underflow and some 200 terms do."""
     last = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
     step = lambda acc, k: F.struct((acc["p"] * rate / k).alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["p"] * rate / k)).alias("cdf"))
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["cdf"])
 
 
-def poisson_mix(docs: DataFrame, seed: int = SEED, alpha: float = ALPHA, weights: dict[str, float] | None = None, max_rate: float = MAX_RATE, n_partitions: int | None = None) -> DataFrame:
+def poisson_count(rate: Column, u: Column) -> Column:
+    """How many k have F(k) <= u, without a table, for rates above TABLE_RATE.
+
+    Terms start twelve deviations below the mean (what is before them is less than 2^-52),
+    the first one from its logarithm with Stirling's series, so no rate underflows; there
+    are some 24 * sqrt(rate) of them, fewer than copies to write at rates above 576."""
+    # a small rate starts at 0; it is cut in no other way
+    first = F.when(rate > 512, F.floor(rate - 12 * F.sqrt(rate))).otherwise(0).cast("long")
+    k = F.greatest(first, F.lit(1)).cast("double")
+    ln = k * F.log1p((rate - k) / k) - (rate - k) - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k)
+    p = F.exp(F.when(first > 0, ln).otherwise(-rate))
+    last = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("long")
+    start = F.struct(p.alias("p"), p.alias("cdf"), (first + F.when(p <= u, 1).otherwise(0)).alias("n"))
+
+    def step(acc: Column, i: Column) -> Column:
+        q = acc["p"] * rate / i
+        return F.struct(q.alias("p"), (acc["cdf"] + q).alias("cdf"), (acc["n"] + F.when(acc["cdf"] + q <= u, 1).otherwise(0)).alias("n"))
+
+    return F.aggregate(F.sequence(first + 1, last), start, step, lambda acc: acc["n"])
+
+
+def poisson_mix(docs: DataFrame, seed: int = SEED, alpha: float = ALPHA, weights: dict[str, float] | None = None, max_rate: float | None = None, n_partitions: int | None = None) -> DataFrame:
     """``docs`` replicated and shuffled, with mix_rate, mix_copy (from 0) and mix_key."""
-    rates = materialize(source_rates(docs, alpha, weights, max_rate).select("source", "mix_rate", poisson_steps(F.col("mix_rate")).alias("_cdf")).withColumnRenamed("source", "_source"), "mix-rates")
+    steps = F.when(F.col("mix_rate") <= TABLE_RATE, poisson_steps(F.col("mix_rate"))).alias("_cdf")
+    rates = materialize(source_rates(docs, alpha, weights, max_rate).select("source", "mix_rate", steps).withColumnRenamed("source", "_source"), "mix-rates")
     keep = [c for c in docs.columns if c not in ("mix_rate", "mix_copy", "mix_key")]
     # the engine broadcasts the rates if they are small, else splits a hot source's partition
     drawn = docs.select(*keep).join(rates, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_u", unit_hash(seed, "doc_id"))
-    times = F.size(F.filter("_cdf", lambda p: p <= F.col("_u")))
-    copies = drawn.withColumn("_times", times).filter("_times > 0").select(*keep, "mix_rate", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("mix_copy"))
+    times = F.when(F.col("_cdf").isNotNull(), F.size(F.filter("_cdf", lambda p: p <= F.col("_u"))).cast("long")).otherwise(poisson_count(F.col("mix_rate"), F.col("_u")))
+    # in two steps, so that no array holds all copies of a document
+    runs = drawn.withColumn("_times", times).filter("_times > 0").select(*keep, "mix_rate", "_times", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1, F.lit(COPIES).cast("long"))).alias("_from"))
+    copies = runs.select(*keep, "mix_rate", F.explode(F.sequence("_from", F.least(F.col("_from") + COPIES, F.col("_times")) - 1)).alias("mix_copy"))
     keyed = copies.withColumn("mix_key", unit_hash(seed + 1, "doc_id", "mix_copy"))
     n = n_partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(n, "mix_key").sortWithinPartitions("mix_key")

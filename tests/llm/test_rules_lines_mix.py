@@ -1,5 +1,6 @@
 import re
 from collections import Counter, defaultdict
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,37 @@ def test_mix_means_and_repeats(spark, odd, empty):
     assert mixing.poisson_mix(empty).count() == 0
 
 
+def test_mix_reaches_rates_beyond_any_table(spark):
+    docs = spark.range(4020).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20, "x" * 2).otherwise("x" * 1000).alias("text"), F.when(F.col("id") < 20, "b").otherwise("a").alias("source"))
+    w = {"a": 0.5, "b": 0.5}  # b has 40 of 4,000,040 characters: it needs rate 50,000
+    got = {r.source: r for r in mixing.poisson_mix(docs, weights=w).groupBy("source").agg(F.count("*").alias("n"), F.max("mix_rate").alias("rate"), F.count_distinct("doc_id", "mix_copy").alias("d"), F.sum(F.length("text")).alias("size")).collect()}
+    total = 20 * 2 + 4000 * 1000
+    assert got["b"].rate == pytest.approx(total / 2 / 40) and got["b"].d == got["b"].n
+    for r in got.values():
+        assert r["size"] == pytest.approx(total / 2, rel=0.05)
+
+
+@pytest.mark.parametrize("rate", [64.5, 190.0, 512.0, 513.0, 5000.0, 1e6])
+def test_poisson_count(spark, rate):
+    us = [1e-9, 0.01, 0.3, 0.5, 0.7, 0.99, 1 - 1e-9]
+    rows = spark.createDataFrame(list(enumerate(us)), "i int, u double").select("i", mixing.poisson_count(F.lit(rate), F.col("u")).alias("n"))
+    # exact: from the mode outwards in long decimals
+    r, tiny, k, w, parts = Decimal(rate), Decimal(10) ** -22, int(rate), Decimal(1), {}
+    while w > tiny:
+        parts[k] = w
+        k, w = k + 1, w * r / (k + 1)
+    k, w = int(rate), Decimal(1)
+    while k > 0 and w > tiny:
+        k, w = k - 1, w * k / r
+        parts[k] = w
+    total, cdf, want = sum(parts.values()), Decimal(0), []
+    for k in sorted(parts):
+        cdf += parts[k] / total
+        while len(want) < len(us) and cdf > Decimal(us[len(want)]):
+            want.append(k)
+    assert [x.n for x in rows.orderBy("i").collect()] == want
+
+
 def test_poisson_steps(spark):
     import math
 
