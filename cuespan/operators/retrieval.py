@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 MAX_QUERIES = 10_000
+TILE_SCORES = 2_000_000  # of a task at a time: 16 MB
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,35 +42,64 @@ def topk_within(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: boo
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def topk_scan(queries: DataFrame, corpus: DataFrame, k: int, max_queries: int = MAX_QUERIES, digits: int = 9) -> DataFrame:
-    """Top k over the whole corpus for a stated, bounded query set.
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
 
-    The query matrix (at most ``max_queries`` rows, or an error) goes to every task; each
-    block of the corpus is one matrix product, and a task passes on k rows a query."""
-    rows = queries.select("query_id", "embedding").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: split the query set")
+
+def _scan(rows: list[Row], queries: DataFrame, corpus: DataFrame, k: int, digits: int) -> DataFrame:
+    """(query_id, chunk_id, score): of each batch of the corpus the k best of every query in ``rows``."""
     ids = np.array([r.query_id for r in rows])
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-    matrix = unit(np.array([r.embedding for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
+    matrix = _unit(np.array([r.embedding for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b) or not len(ids):
                 continue
-            scores = np.round(matrix @ unit(np.stack(b["embedding"].to_numpy()).astype(np.float64)).T, digits)
             chunk = b["chunk_id"].to_numpy()
             order = np.argsort(chunk, kind="stable")
-            scores, chunk = scores[:, order], chunk[order]
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "chunk_id": chunk[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
+            chunk, vectors = chunk[order], _unit(np.stack(b["embedding"].to_numpy()).astype(np.float64))[order].T
+            tile = max(1, TILE_SCORES // len(chunk))
+            for at in range(0, len(ids), tile):
+                loss = -np.round(matrix[at : at + tile] @ vectors, digits)
+                # all that are as good as the k-th, ties in the order of chunk_id, and of these the first k
+                last = min(k, len(chunk)) - 1
+                q, c = np.nonzero(~(loss > np.partition(loss, last, axis=1)[:, last : last + 1]))
+                best = np.lexsort((c, loss[q, c], q))
+                q, c = q[best], c[best]
+                top = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, c = q[top], c[top]
+                yield pd.DataFrame({"query_id": ids[at + q], "chunk_id": chunk[c], "score": -loss[q, c]})
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
-    best = corpus.select("chunk_id", "embedding").mapInPandas(run, f"query_id {kind(queries, 'query_id')}, chunk_id {kind(corpus, 'chunk_id')}, score double")
+    return corpus.select("chunk_id", "embedding").mapInPandas(run, f"query_id {kind(queries, 'query_id')}, chunk_id {kind(corpus, 'chunk_id')}, score double")
+
+
+def _first_k(best: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def topk_scan(queries: DataFrame, corpus: DataFrame, k: int, max_queries: int = MAX_QUERIES, digits: int = 9) -> DataFrame:
+    """Top k over the whole corpus for a stated, bounded query set.
+
+    The query matrix (at most ``max_queries`` rows, or an error) goes to every task; each
+    block of the corpus is one matrix product, and a task passes on k rows a query.
+    ``topk_blocks`` takes any number of queries."""
+    rows = queries.select("query_id", "embedding").limit(max_queries + 1).collect()
+    if len(rows) > max_queries:
+        raise ValueError(f"more than {max_queries} queries: split the query set")
+    return _first_k(_scan(rows, queries, corpus, k, digits), k)
+
+
+def topk_blocks(queries: DataFrame, corpus: DataFrame, k: int, block: int = MAX_QUERIES, digits: int = 9) -> DataFrame:
+    """``topk_scan`` for any number of queries: each ``block`` of them is one scan of the
+    corpus, and the rank is taken over the union, so a task holds one block at a time."""
+    rows, parts = queries.select("query_id", "embedding").toLocalIterator(), []
+    while (some := list(islice(rows, block))) or not parts:
+        parts.append(_scan(some, queries, corpus, k, digits))
+    return _first_k(reduce(DataFrame.unionByName, parts), k)
+
+
 def prefixes(hits: DataFrame, ks: tuple[int, ...], key: str = "query_id") -> DataFrame:
     """One retrieval, every k: rows (key, k) with the first k hits in rank order."""
     ranked = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("_h"))

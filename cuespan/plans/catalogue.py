@@ -113,7 +113,7 @@ def _ranked(df: DataFrame) -> DataFrame:
 @query(_topk_sql("true"))
 def q08_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
     c = V.corpus(spark, d)
-    return _ranked(retrieval.topk_scan(c.filter("chunk_id % 5 = 0").withColumnRenamed("chunk_id", "query_id"), c, 4))
+    return _ranked(retrieval.topk_blocks(c.filter("chunk_id % 5 = 0").withColumnRenamed("chunk_id", "query_id"), c, 4))
 
 
 @query(_topk_sql("q.video_id = c.video_id"))

@@ -8,6 +8,8 @@ from cuespan.settings import load_settings
 from cuespan.sources import captions, tables
 from cuespan.streaming import ingest
 
+from .conftest import SMALL
+
 
 def seg(spark, rows):
     return spark.createDataFrame([("v", i, float(a), float(b), t) for i, (a, b, t) in enumerate(rows)], schemas.SEGMENT)
@@ -72,6 +74,28 @@ def test_retrieval(spark):
     assert p[(2, 1)] == [2] and len(p[(2, 3)]) == 3
 
 
+def test_any_number_of_queries(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (300, 3)).astype(float)  # many ties, some zero vectors
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<float>").repartition(3)
+    n = np.linalg.norm(x, axis=1)
+    score = np.round(x @ x.T / np.maximum(np.outer(n, n), 1e-30), 9)
+    want = {(q, k + 1): int(i) for q in range(300) for k, i in enumerate(np.lexsort((np.arange(300), -score[q]))[:4])}
+    for block in (7, 300, 1000):
+        got = retrieval.topk_blocks(c.withColumnRenamed("chunk_id", "query_id"), c, 4, block=block).collect()
+        assert {(r.query_id, r["rank"]): r.chunk_id for r in got} == want and len(got) == 1200
+    assert retrieval.topk_blocks(c.withColumnRenamed("chunk_id", "query_id").limit(0), c, 4).count() == 0
+
+
+def test_query_catalogue_top_k_beyond_a_block(spark, monkeypatch):
+    from cuespan.plans.catalogue import QUERIES
+
+    whole = QUERIES["q08_topk_cosine"](spark, SMALL).count()
+    for f in (retrieval.topk_scan, retrieval.topk_blocks):
+        monkeypatch.setattr(f, "__defaults__", (30, 9))
+    assert QUERIES["q08_topk_cosine"](spark, SMALL).count() == whole == 400
+
+
 def test_alpha_edges(spark):
     a = lambda rows: evaluate.krippendorff(spark.createDataFrame(rows, "a int, b int"), "a", "b").first().alpha
     assert a([(1, 1), (5, 5), (3, 3)]) == pytest.approx(1.0)
