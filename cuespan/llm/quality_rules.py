@@ -134,14 +134,21 @@ def merge_sketches(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Per group: its size, and low and high of each metric read from the sketch."""
+def fences(sketch: DataFrame, *keys: str, tail: bool = False) -> DataFrame:
+    """Per group: its size, and low and high of each metric read from the sketch.
+
+    The quartiles move by the spread, which is at least the one of METRICS. With ``tail``
+    the group alone decides: from its 1st and 99th percentile as far again as these are
+    from its median, bucket edges outwards."""
     by = W.partitionBy(*keys, "metric")
     ranked = sketch.withColumns({"total": F.sum("n").over(by), "upto": F.sum("n").over(by.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))})
     at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bucket")))
-    q = ranked.groupBy(*keys, "metric").agg(F.max("total").alias("total"), bucket_floor(at(25)).alias("q1"), bucket_floor(at(75)).alias("q3"))
+    first, last = (1, 99) if tail else (25, 75)
+    top = bucket_floor(at(last) + 1) - 1 if tail else bucket_floor(at(last))
+    q = ranked.groupBy(*keys, "metric").agg(F.max("total").alias("total"), bucket_floor(at(first)).alias("q1"), bucket_floor(at(50)).alias("q2"), top.alias("q3"))
     spread = F.greatest(SPREADS * (F.col("q3") - F.col("q1")), F.create_map(*[F.lit(x) for m, (s, _) in METRICS.items() for x in (m, s)])[F.col("metric")].cast("long"))
-    q = q.select(*keys, "metric", "total", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
+    down, up = (F.col("q2") - F.col("q1"), F.col("q3") - F.col("q2")) if tail else (spread, spread)
+    q = q.select(*keys, "metric", "total", (F.col("q1") - down).alias("low"), (F.col("q3") + up).alias("high"))
     pick = lambda c, m: F.max(F.when(F.col("metric") == m, F.col(c)))
     return q.groupBy(*keys).agg(
         F.max("total").alias("group_size"),
@@ -150,14 +157,14 @@ def fences(sketch: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def adaptive_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """Counts, base verdict and the adaptive verdict of every document."""
+def adaptive_rules(docs: DataFrame, min_group: int = MIN_GROUP, tail: bool = False) -> DataFrame:
+    """Counts, base verdict and the adaptive verdict of every document; ``tail`` as in ``fences``."""
     rows = with_metrics(materialize(text_counts(docs), "quality-counts"))
     by_source = materialize(sketches(rows, "lang", "source"), "quality-sketches")
     by_lang, overall = merge_sketches(by_source, "lang"), merge_sketches(by_source)
     limits = [f"{m}_high" for m in METRICS] + [f"{m}_low" for m, (_, two) in METRICS.items() if two]
     named = lambda df, tag: df.select(*[c for c in df.columns if c in ("lang", "source")], *[F.col(c).alias(f"{tag}_{c}") for c in ["group_size", *limits]])
-    s, g, a = named(fences(by_source, "lang", "source"), "s"), named(fences(by_lang, "lang"), "g").withColumnRenamed("lang", "g_lang"), named(fences(overall), "a")
+    s, g, a = named(fences(by_source, "lang", "source", tail=tail), "s"), named(fences(by_lang, "lang", tail=tail), "g").withColumnRenamed("lang", "g_lang"), named(fences(overall, tail=tail), "a")
     # by_source has all the groups there are: one row of fences for each
     groups = s.join(g, F.col("lang").eqNullSafe(F.col("g_lang"))).crossJoin(F.broadcast(a))  # a: one row
     chosen = groups.select(

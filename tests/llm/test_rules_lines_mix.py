@@ -46,6 +46,15 @@ def test_rules_odd_and_empty(spark, odd, empty):
     assert quality_rules.adaptive_rules(empty).count() == 0
 
 
+def test_tail_fences_come_from_the_group(spark):
+    text = lambda i, marks: " ".join([f"w{i}x{j}" for j in range(40 - marks)] + ["#"] * marks)
+    rows = [(i, text(i, 0 if i else 2), "en", "clean") for i in range(300)] + [(1000 + i, text(i, i % 3), "en", "marked") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    gone = lambda **how: {r.doc_id for r in quality_rules.adaptive_rules(docs, **how).filter("not kept").collect()}
+    assert gone() == set()  # 50 per mille is below the smallest spread
+    assert gone(tail=True) == {0}
+
+
 def test_sketches_merge(spark, odd):
     rows = quality_rules.with_metrics(quality_rules.text_counts(odd))
     key = lambda df: sorted((r.metric, r.bucket, r.n) for r in df.collect())
