@@ -343,11 +343,19 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den
 
 
 def keep_one(docs: DataFrame, **how: int) -> DataFrame:
-    """``docs`` with one document of each linked group: the one with the smallest id (of
-    rows with that id, all whose set is in the group)."""
-    found = jaccard_components(docs.select("doc_id", "text"), **how)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each linked group: one with the smallest id, null ids last.
+
+    Rows are numbered in a written copy and judged by their number, so repeated and null
+    ids are rows like any other."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), **how)
+    tied = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_comp")), "jaccard-tied")
+    # the row a component is named by is no row of ``tied``: it is added
+    members = tied.unionByName(tied.select(F.col("_comp").alias("_row"), "_comp").distinct())
+    ids = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"))
+    first = members.join(ids, "_row").groupBy("_comp").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_row"))
+    gone = members.select("_row").join(first, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

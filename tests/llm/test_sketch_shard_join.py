@@ -56,6 +56,15 @@ def test_join_empty(spark, empty):
     assert jaccard_join.keep_one(empty).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    near = text(0) + " tail"
+    rows = [(5, text(0)), (5, text(0)), (None, near), (None, text(1)), (None, text(1)), (None, text(2)), (7, near), (7, text(3)), (3, text(4)), (4, text(4)), (8, None), (8, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(repr, map(tuple, jaccard_join.keep_one(docs).collect())))
+    assert got == sorted(map(repr, [(5, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (3, text(4)), (8, None), (8, None), (None, "")]))
+
+
 def test_join_on_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
