@@ -166,21 +166,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_positives: int = 6000, max_unlab
         empty = np.zeros(N_FEATURES)
         return QualityModel(empty, empty + 1, empty, 0.0, (sizes.p or 0) / sizes.n if sizes.n else 0.5, usable=False)
     prior = min(0.98, sizes.p / sizes.n)
-    # labelled rows: enough of them for positives and calibration; an expected number, by hash
-    share = min(1.0, max(max_positives / sizes.p, max_calibration / sizes.n))
-    some = marks.filter(F.col("_u") < share).limit(2 * (max_positives + max_calibration))
-    lab = pool.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")  # bounded by the limit
-    unl = pool.filter(F.col("_v") < min(1.0, max_unlabelled / total)).select("doc_id", "text", F.lit(None).cast("int").alias("_y")).limit(2 * max_unlabelled)
-    got = vectors(lab.withColumn("_y", F.col("_y").cast("int")).unionByName(unl), "doc_id", "_y").toPandas()
+    # the smallest hashes of the positives, and of all labelled rows; the filter only spares the sort rows
+    least = lambda df, most, of: df.filter(F.col("_u") < (2 * most + 40) / of).orderBy("_u", "_id").limit(most).select("_id", "_y")
+    fitted = least(marks.filter("_y = 1"), max_positives, sizes.p).withColumns({"_fit": F.lit(1), "_cal": F.lit(0)})
+    checked = least(marks, max_calibration, sizes.n).withColumns({"_fit": F.lit(0), "_cal": F.lit(1)})
+    some = fitted.unionByName(checked).groupBy("_id", "_y").agg(F.max("_fit").alias("_fit"), F.max("_cal").alias("_cal"))
+    lab = pool.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y", "_fit", "_cal")  # bounded by the limits
+    unl = pool.filter(F.col("_v") < min(1.0, max_unlabelled / total)).select("doc_id", "text", F.lit(None).cast("int").alias("_y"), F.lit(0).alias("_fit"), F.lit(0).alias("_cal")).limit(2 * max_unlabelled)
+    got = vectors(lab.withColumn("_y", F.col("_y").cast("int")).unionByName(unl), "doc_id", "_y", "_fit", "_cal").toPandas()
     x = np.stack(got["features"].to_numpy()).astype(np.float64)
     order = np.lexsort((x[:, 0], got["doc_id"].fillna(-1).to_numpy()))  # whatever order the tasks came in
     x, y = x[order], got["_y"].to_numpy(dtype=np.float64, na_value=np.nan)[order]
+    fit_on, check_on = got["_fit"].to_numpy()[order] == 1, got["_cal"].to_numpy()[order] == 1
     unlabelled = x[np.isnan(y)] if np.isnan(y).any() else x
-    if not (y == 1).any():
+    if not fit_on.any():
         return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, prior, usable=False)
-    model = nnpu(x[y == 1], unlabelled, prior)
-    marked = ~np.isnan(y)
-    calibrate(model, x[marked], y[marked])
+    model = nnpu(x[fit_on], unlabelled, prior)
+    calibrate(model, x[check_on], y[check_on])
     return model
 
 

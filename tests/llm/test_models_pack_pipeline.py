@@ -57,6 +57,17 @@ def test_quality_odd(spark, odd, empty):
     assert pu_quality.score(empty, model, "doc_id").count() == 0
 
 
+def test_rare_positives_are_all_sampled(spark, monkeypatch):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Some text "), F.when(F.col("id") % 25 == 0, F.lit("good")).otherwise(F.lit("#|#|")), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 25 == 0).cast("int").alias("quality"))
+    sizes, nnpu, calibrate = [], pu_quality.nnpu, pu_quality.calibrate
+    monkeypatch.setattr(pu_quality, "nnpu", lambda pos, *a: (sizes.append(len(pos)), nnpu(pos, *a))[1])
+    monkeypatch.setattr(pu_quality, "calibrate", lambda m, x, y: (sizes.append(len(y)), calibrate(m, x, y))[1])
+    found = [pu_quality.fit(docs.repartition(n), labels.repartition(n), max_positives=50, max_unlabelled=300, max_calibration=60) for n in (2, 5)]
+    assert sizes == [50, 60, 50, 60]
+    assert np.array_equal(found[0].weight, found[1].weight) and found[0].slope == found[1].slope
+
+
 def test_feature_blocks(monkeypatch):
     text = "Ab 1!\n" * 50
     whole = pu_quality.features(text)
