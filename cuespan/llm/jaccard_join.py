@@ -23,6 +23,7 @@ How it is spread out, without cross joins, pairs inside groups, or sampled count
    for a block is cut into chunks, and each pair of chunks is a block.
 4. Inside a block the T-occurrence search runs over the full sets. Two classes already
    connected are not searched again: the result is components, not all pairs.
+   ``link_counts`` searches these as well, and counts every link.
 
 Defined edge cases: null and empty texts, and those of white space, have an empty set and
 link with nothing; texts with fewer words than a shingle are one shingle; rows with one
@@ -116,8 +117,9 @@ def merge_skip(lists: list[list[int]], times: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (lists[i][at], i, at))
 
 
-def link_block(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
-    """Links that span the components of the sets (positions in ``sets``)."""
+def link_block(sets: list[np.ndarray], num: int = NUM, den: int = DEN, every: bool = False) -> list[tuple[int, int]]:
+    """Links that span the components of the sets (positions in ``sets``); with ``every``
+    all links, those inside a component as well."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     size = np.array([len(sets[i]) for i in order])
     n_docs = len(order)
@@ -147,7 +149,7 @@ def link_block(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[t
         seen = low - 1
         while True:
             # connected already, or looked at: not searched again
-            lists = [kept.tolist() for s in spans if len(kept := s[(s > seen) & (label[s] != label[q])])]
+            lists = [kept.tolist() for s in spans if len(kept := s[s > seen] if every else s[(s > seen) & (label[s] != label[q])])]
             found = None
             for r, count in merge_skip(lists, t - n_long):
                 seen = r
@@ -155,6 +157,9 @@ def link_block(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[t
                 at = np.searchsorted(theirs, long_tokens)
                 both = count + int(np.count_nonzero(theirs[np.minimum(at, len(theirs) - 1)] == long_tokens))
                 if den * both >= num * (int(size[q] + size[r]) - both):
+                    if every:
+                        links.append((order[q], order[r]))
+                        continue
                     found = r
                     break
             if found is None:
@@ -308,28 +313,49 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return texts.mapInPandas(run, "sid long, hashes binary")
 
 
-def block_links(sets: DataFrame, keys: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def block_links(sets: DataFrame, keys: DataFrame, num: int = NUM, den: int = DEN, every: bool = False) -> DataFrame:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.drop_duplicates("sid").sort_values("sid")
         sids = g["sid"].tolist()
-        found = link_block([np.frombuffer(x, np.uint64) for x in g["hashes"]], num, den)
+        found = link_block([np.frombuffer(x, np.uint64) for x in g["hashes"]], num, den, every)
         return pd.DataFrame([(sids[a], sids[b]) for a, b in found], columns=["u", "v"], dtype="int64")
 
     return sets.join(keys, "sid").groupBy("block").applyInPandas(run, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN, local_hot: int = LOCAL_HOT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def _blocks(docs: DataFrame, size: int, num: int, den: int, local_hot: int, block_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Window rows, classes, and the sets and keys of the blocks."""
     rows = materialize(window_rows(docs, size, num, den, local_hot), "jaccard-windows")
     lists = materialize(short_lists(rows, num, den, local_hot), "jaccard-lists")
     coarse = connected_components(stars(lists), "jaccard-coarse")
     # a component's smallest class is no row of ``coarse``: it is added
     members = coarse.select(F.col("u").alias("sid"), F.col("v").alias("comp")).unionByName(coarse.select(F.col("v").alias("sid"), F.col("v").alias("comp")).distinct())
-    classes = rows.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    wanted = materialize(members.join(classes, "sid"), "jaccard-members")
+    classes = rows.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("times"))
+    wanted = materialize(members.join(classes.drop("times"), "sid"), "jaccard-members")
     sets = full_sets(docs, wanted.select("sid", "id"), size)
     # written down, so that the engine knows their size: it broadcasts few, and shuffles many
     keys = materialize(block_keys(wanted.select("sid", "n", "comp"), block_tokens), "jaccard-keys")
+    return rows, classes, sets, keys
+
+
+def link_counts(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN, local_hot: int = LOCAL_HOT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """doc_id, n_shingles and n_links of every document: to how many other rows it links,
+    those with the same set included. Every link is verified, none is skipped."""
+    rows, classes, sets, keys = _blocks(docs, size, num, den, local_hot, block_tokens)
+    # chunk pairs share classes: a link may be found in several blocks
+    found = block_links(sets, keys, num, den, every=True).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    links = materialize(found, "jaccard-all-links")
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    times = classes.select("sid", "times")
+    others = both.join(times, F.col("v") == F.col("sid")).groupBy("u").agg(F.sum("times").alias("others"))
+    each = times.join(others, F.col("sid") == F.col("u"), "left").select("sid", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = rows.filter("n >= 0").select("id", "sid", "n").join(each, "sid", "left")
+    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN, local_hot: int = LOCAL_HOT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    rows, classes, sets, keys = _blocks(docs, size, num, den, local_hot, block_tokens)
     links = connected_components(block_links(sets, keys, num, den), "jaccard-links")
     named = links.join(classes.select("sid", "id"), F.col("u") == F.col("sid")).groupBy("v").agg(F.min("id").alias("low"))
     ends = named.join(classes.select("sid", "id"), F.col("v") == F.col("sid")).select("v", F.least("low", "id").alias("component"))

@@ -72,6 +72,24 @@ def test_join_on_table(spark):
     assert got == brute_components(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("how", [{}, {"block_tokens": 300, "local_hot": 3}])
+def test_every_link_is_counted(spark, how):
+    rng = random.Random(7)
+    rows = odd_rows()
+    rows = [(r[0], r[1]) for r in rows]
+    for i in range(40):
+        w = [f"w{j}" for j in range(60)]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = f"x{i}"
+        rows.append((1000 + i, " ".join(w)))
+    sets = [shingles(t, 4, True) for _, t in rows]
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
+    want = sorted(((d, len(a), sum(near(a, b) for k, b in enumerate(sets) if k != i)) for i, ((d, _), a) in enumerate(zip(rows, sets, strict=True))), key=repr)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in jaccard_join.link_counts(docs, **how).collect()), key=repr) == want
+    assert jaccard_join.link_counts(docs.limit(0)).count() == 0
+
+
 def test_join_near_groups(spark):
     """Large groups of near copies, small blocks: chunk pairs and several rounds."""
     rng = random.Random(3)
