@@ -1,17 +1,19 @@
 """Shared helpers of the training-data operators.
 
-Scratch data goes to the shared folder named by ``spark.checkpoint.dir``; only where
-that setting is absent (local tests) is a temporary folder of our own used.
+Scratch data goes to the shared folder named by ``spark.checkpoint.dir``. Where that is
+not set, a session in one process uses a temporary folder, and a cluster is an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: The six ASCII white-space bytes of the word definition ``[^\x20\x09-\x0D]+``.
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
@@ -27,6 +29,8 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared checkpoint folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors of a cluster share no other folder")
         root = "file://" + os.path.join(tempfile.gettempdir(), "cuespan-scratch")
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
@@ -49,3 +53,14 @@ def unit_hash(seed: int, *cols: str) -> Column:
     """A uniform number in [0, 1) from 52 bits of md5, equal in every engine."""
     key = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def ranged(rows: DataFrame, order: list[Column], tag: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` cut into ranges of ``order`` and written down with the number ``part`` of the
+    range, and one row a range: part, its rows ``n``, and the rows of the ranges before it.
+
+    Equal rows lie in one range; the second table has as many rows as there are shuffle
+    partitions, at most."""
+    cut = materialize(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), tag)
+    parts = cut.groupBy("part").agg(F.count("*").alias("n"))
+    return cut, parts.withColumn("before", F.sum("n").over(W.orderBy("part")) - F.col("n"))

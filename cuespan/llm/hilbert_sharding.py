@@ -5,16 +5,17 @@ curve orders the rows, and runs of that order become shards: each shard covers a
 region in every dimension, so file statistics prune on all of them. Shards obey the law
 ``rows``: counts differ by at most one.
 
-The global rank needs no sort in one task. Rows fall into buckets (curve index, slice),
-where a cell with many rows is cut into slices by a hash of the id, so that a bucket holds
-a bounded share of the rows whatever the skew; there are at most ``CELLS`` +
-``TARGET_BUCKETS`` buckets, whose counts are summed up, and ranks inside a bucket are
-local to it.
+The global rank needs no sort in one task. Rows fall into buckets (curve index, slice,
+part): a cell with many rows is cut into slices by a hash of id and text, and a slice that
+is still large, because its rows repeat one id, into parts by the row's number in a written
+copy. There are some ``CELLS`` + 2 * ``TARGET_BUCKETS`` buckets, whose counts are summed up,
+and ranks inside a bucket are local to it.
 
 Defined edge cases: null in a dimension sorts before all values; null text has 8 bytes and
-the crc32 of the empty text; ties and repeated rows get different slots, in the order of
-(doc_id, crc32); an empty table gives an empty result; with fewer rows than shards the
-last shards are empty; other columns pass through.
+the crc32 of the empty text; ties and repeated rows get different slots; an empty table
+gives an empty result; with fewer rows than shards the last shards are empty; other columns
+pass through whatever they are called, and the operator's own (``shard``, ``slot``) replace
+any of the same name.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from ._common import materialize, table
+from ._common import materialize, ranged, table
 
 SHARDS = 24
 BITS = 4
@@ -32,12 +34,17 @@ CELLS = 1 << (BITS * DIMS)
 TARGET_BUCKETS = 4096
 
 
-def order_code(col: Column, kind: str) -> Column:
-    """A number that orders as the column does: strings by their first seven bytes."""
-    if kind == "string":
-        code = F.conv(F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
-        return F.coalesce(code + 1, F.lit(0.0))
-    return F.coalesce(col.cast("double"), F.lit(float("-inf")))
+def value_cuts(docs: DataFrame, dim: str, cells: int) -> list:
+    """The values of a column at the quantiles 1/cells, 2/cells, ... of its rows, exactly: rows
+    are counted by value, values are ranged and counts summed up in each range."""
+    values = docs.filter(F.col(dim).isNotNull()).groupBy(F.col(dim).alias("value")).agg(F.count("*").alias("times"))
+    cut, parts = ranged(values, [F.col("value")], "hilbert-values")
+    weights = cut.groupBy("part").agg(F.sum("times").alias("n"))
+    before = weights.withColumns({"before": F.sum("n").over(W.orderBy("part")) - F.col("n"), "total": F.sum("n").over(W.partitionBy())}).drop("n")  # a row a range
+    upto = cut.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.sum("times").over(W.partitionBy("part").orderBy("value")))
+    step = lambda c: F.call_function("div", c * cells, F.col("total"))
+    found = upto.filter((step(F.col("upto")) > step(F.col("upto") - F.col("times"))) & (F.col("upto") < F.col("total"))).select("value").collect()  # fewer than ``cells``
+    return sorted(r.value for r in found)
 
 
 def hilbert_index(x: list[Column], bits: int = BITS) -> Column:
@@ -79,43 +86,51 @@ def hilbert_index(x: list[Column], bits: int = BITS) -> Column:
     return F.transform(F.array(folded), interleave)[0].cast("long")
 
 
-def quantised(docs: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
-    """``docs`` with ``_q0``, ``_q1``, ...: equal-depth cells 0 .. 2^bits - 1.
+def quantised(docs: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
+    """Each dimension's equal-depth cell 0 .. 2^bits - 1 as a column of ``docs``.
 
-    The cut points, at most 2^bits - 1 for each dimension, are the only thing collected."""
+    The cut points, at most 2^bits - 1 for each dimension, are the only thing collected.
+    Those of numbers come from a quantile sketch, all others from their value counts."""
     cells = 1 << bits
-    codes = {c: order_code(F.col(c), docs.schema[c].dataType.simpleString()) for c in dims}
+    is_number = {c: isinstance(docs.schema[c].dataType, T.NumericType) for c in dims}
     at = F.array(*[F.lit(k / cells) for k in range(1, cells)])
-    cuts = docs.agg(*[F.percentile_approx(code, at, 1000).alias(f"_c{k}") for k, code in enumerate(codes.values())]).first()
-    out = docs
-    for k, code in enumerate(codes.values()):
-        edges = sorted(set(cuts[k] or []))
-        out = out.withColumn(f"_q{k}", sum([(code > F.lit(e)).cast("int") for e in edges], F.lit(0)))
-    return out
+    numbers = [c for c in dims if is_number[c]]
+    cuts = dict(zip(numbers, docs.agg(*[F.percentile_approx(c, at, 1000) for c in numbers]).first(), strict=True)) if numbers else {}
+    cuts |= {c: value_cuts(docs, c, cells) for c in dims if not is_number[c]}
+    return [sum([F.coalesce((F.col(c) > F.lit(e)).cast("int"), F.lit(0)) for e in sorted(set(cuts[c] or []))], F.lit(0)) for c in dims]
 
 
 def hilbert_shards(docs: DataFrame, dims: list[str], n_shards: int = SHARDS, bits: int = BITS, target_buckets: int = TARGET_BUCKETS) -> DataFrame:
     """``docs`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in its shard)."""
-    spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = quantised(docs.select(*keep), dims, bits).withColumn("_h", hilbert_index([F.col(f"_q{k}") for k in range(len(dims))], bits))
     crc = F.crc32(F.coalesce("text", F.lit(""))) if "text" in keep else F.col("text_crc32") if "text_crc32" in keep else F.lit(0)
-    rows = rows.select(*keep, "_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("_u"), crc.alias("_crc"))
-    cells = materialize(rows.groupBy("_h").agg(F.count("*").alias("_n")), "hilbert-cells")  # at most 2^(bits * dims) rows
-    total = cells.agg(F.sum("_n")).first()[0] or 0
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
+        hilbert_index(quantised(docs, dims, bits), bits).alias("h"),
+        F.pmod(F.xxhash64("doc_id", crc), F.lit(1 << 40)).alias("u"),
+        F.monotonically_increasing_id().alias("number"),
+    )
+    rows = materialize(whole, "hilbert-rows")
+    cells = materialize(rows.groupBy("h").agg(F.count("*").alias("n")), "hilbert-cells")  # at most 2^(bits * dims) rows
+    total = cells.agg(F.sum("n")).first()[0] or 0
     target = max(1, -(-total // target_buckets))
-    sliced = rows.join(F.broadcast(cells), "_h").withColumn("_s", F.floor(F.col("_u") * F.ceil(F.col("_n") / F.lit(target)) / F.lit(1 << 20)).cast("int")).drop("_n")
-    counts = sliced.groupBy("_h", "_s").agg(F.count("*").alias("_n"))  # bounded: CELLS + target_buckets rows
-    offsets = materialize(counts.withColumn("_before", F.sum("_n").over(W.orderBy("_h", "_s")) - F.col("_n")).drop("_n"), "hilbert-offsets")
-    local = F.row_number().over(W.partitionBy("_h", "_s").orderBy("_u", "doc_id", "_crc")) - 1
-    ranked = sliced.join(F.broadcast(offsets), ["_h", "_s"]).withColumn("_rank", F.col("_before") + local)
+    in_slices = F.floor(F.col("u") * F.ceil(F.col("n") / F.lit(target)) / F.lit(1 << 40)).cast("int")
+    sliced = rows.join(F.broadcast(cells), "h").withColumn("slice", in_slices).drop("n")
+    # slices that a hash of id and text leaves large, which are few, are parted by row
+    slices = materialize(sliced.groupBy("h", "slice").agg(F.count("*").alias("n")), "hilbert-slices")
+    parted = sliced.join(F.broadcast(slices), ["h", "slice"])
+    parted = parted.withColumn("part", F.when(F.col("n") > 8 * target, F.pmod(F.xxhash64("number"), F.ceil(F.col("n") / F.lit(target)))).otherwise(0)).drop("n")
+    counts = parted.groupBy("h", "slice", "part").agg(F.count("*").alias("n"))
+    offsets = materialize(counts.withColumn("before", F.sum("n").over(W.orderBy("h", "slice", "part")) - F.col("n")).drop("n"), "hilbert-offsets")
+    local = F.row_number().over(W.partitionBy("h", "slice", "part").orderBy("u", "number")) - 1
+    ranked = parted.join(F.broadcast(offsets), ["h", "slice", "part"]).withColumn("rank", F.col("before") + local)
     q, r = divmod(total, n_shards)
     # the first r shards have q + 1 rows, the others q
     big = F.lit(r * (q + 1))
-    in_big = F.col("_rank") < big
-    shard = F.when(in_big, F.call_function("div", F.col("_rank"), F.lit(q + 1))).otherwise(F.lit(r) + F.call_function("div", F.col("_rank") - big, F.lit(max(q, 1))))
-    slot = F.when(in_big, F.col("_rank") % F.lit(q + 1)).otherwise((F.col("_rank") - big) % F.lit(max(q, 1)))
-    return ranked.select(*keep, shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    in_big = F.col("rank") < big
+    shard = F.when(in_big, F.call_function("div", F.col("rank"), F.lit(q + 1))).otherwise(F.lit(r) + F.call_function("div", F.col("rank") - big, F.lit(max(q, 1))))
+    slot = F.when(in_big, F.col("rank") % F.lit(q + 1)).otherwise((F.col("rank") - big) % F.lit(max(q, 1)))
+    return ranked.select(*[F.col("row")[c].alias(c) for c in keep], shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -3,8 +3,9 @@
 Character n-grams of the lower-cased text are hashed into buckets; a document is the
 average of their embeddings, and a linear softmax reads the language from it. Embeddings
 and softmax are trained together by stochastic gradient descent in numpy, on a bounded
-sample that the training folds give (``per_language`` texts of each of the
-``max_languages`` most frequent languages, none over ``max_train_chars``). A temperature
+sample that the training folds give: ``per_language`` texts of each language there is, or an
+equal share of ``max_rows`` where there are many, none over ``max_train_chars``. Executors
+turn them into n-gram counts, and only these reach the driver. A temperature
 fitted on texts set aside calibrates the score, and the smallest score at which the texts
 set aside reach the target precision becomes the rejection threshold.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_fold, table, unit_hash
+from ._common import id_fold, materialize, table, unit_hash
 
 FOLDS = 5
 HELD_OUT = 0
@@ -76,18 +77,23 @@ class LanguageModel:
         return self.languages[best], float(p[best] / p.sum())
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 12, rate: float = 20.0, target_precision: float = 0.995) -> LanguageModel:
+def bag(text: str, n_buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams, and the share of each."""
+    ids, n = np.unique(np.concatenate(list(subwords(text, n_buckets))), return_counts=True)
+    return ids, (n / n.sum()).astype(np.float32)
+
+
+def train(texts: list[str], langs: list[str], **how: float) -> LanguageModel:
+    return train_bags([bag(t) for t in texts], langs, **how)
+
+
+def train_bags(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int = 7, epochs: int = 12, rate: float = 20.0, target_precision: float = 0.995) -> LanguageModel:
     """Stochastic gradient descent over average embeddings and a linear softmax."""
     names = sorted(set(langs))
     if not names:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
     rng = np.random.default_rng(seed)
     y = np.array([names.index(x) for x in langs])
-    rows = []
-    for t in texts:
-        h = np.concatenate(list(subwords(t)))
-        ids, n = np.unique(h, return_counts=True)
-        rows.append((ids, (n / n.sum()).astype(np.float32)))
     order = rng.permutation(len(rows))
     held = order[: len(rows) // 5] if len(rows) >= 50 else order[:0]
     fit = order[len(held) :]
@@ -109,7 +115,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 12, r
             emb[ids] -= (step * w)[:, None] * back[None, :]
     model = LanguageModel(names, emb @ soft, bias.astype(np.float64))
     if len(held):
-        z = np.array([model.logits(texts[i]) for i in held])
+        z = np.array([rows[i][1].astype(np.float64) @ model.table[rows[i][0]] + model.bias for i in held])
         gold = y[held]
 
         def loss(t: float) -> float:
@@ -128,17 +134,27 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 12, r
     return model
 
 
-def training_sample(docs: DataFrame, per_language: int = 1500, max_languages: int = 100, max_train_chars: int = 20_000, seed: int = 11) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled training rows. Every row's chance is a hash of its id
-    below the share that its language needs, so no task sorts a language."""
+def training_sample(docs: DataFrame, per_language: int = 1500, max_rows: int = 12_000, max_train_chars: int = 20_000, seed: int = 11) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
+    """Bags and languages of a bounded sample of labelled training rows. Every row's chance is
+    a hash of its id below the share that its language needs, so no task sorts a language."""
     usable = docs.filter((id_fold(FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= max_train_chars)).select("doc_id", "text", "lang")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not counts:
+    counts = materialize(usable.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    n_languages = counts.count()
+    if not n_languages:
         return [], []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, per_language / r.n))])[F.col("lang")]
-    rows = usable.filter(unit_hash(seed, "doc_id") < share).limit(2 * per_language * len(counts)).collect()
-    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text))
-    return [r.text for r in rows], [r.lang for r in rows]
+    each = max(1, min(per_language, max_rows // n_languages))
+    chosen = usable.join(counts, "lang").filter(unit_hash(seed, "doc_id") < F.lit(each) / F.col("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [bag(t) for t in b.column("text").to_pylist()]
+            ids, shares = [x.astype("<u2").tobytes() for x, _ in bags], [w.astype("<f4").tobytes() for _, w in bags]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], names=["doc_id", "lang", "ids", "shares"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = chosen.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, ids binary, shares binary").collect()
+    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, bytes(r.ids), bytes(r.shares)))
+    return [(np.frombuffer(r.ids, "<u2").astype(np.int64), np.frombuffer(r.shares, "<f4")) for r in rows], [r.lang for r in rows]
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -157,5 +173,5 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(*training_sample(docs))
+    model = train_bags(*training_sample(docs))
     return identify(docs, model).select("doc_id", (id_fold(FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected")

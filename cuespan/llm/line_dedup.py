@@ -1,8 +1,8 @@
 """Operator 9 [native]: corpus-wide line deduplication.
 
-Lines are exploded as 128-bit hashes of their keys (never as text), counted with
-map-side partial aggregation, and only the hashes to drop travel back to the documents,
-where the surviving lines are rejoined by position.
+Lines are exploded as 128-bit hashes of their keys and their positions (never as text),
+written down once, and counted with map-side partial aggregation; only the positions to
+drop travel back to the documents, where what lies between them is joined again.
 
 A key is the line without ASCII white space at either end, A-Z lower-cased. Keys of at
 least ``min_chars`` code points held by at least ``min_docs`` documents lose all their
@@ -11,7 +11,8 @@ lines except in the smallest doc_id that holds them.
 Defined edge cases: a null or empty text is one empty line (kept as an empty text); rows
 with one doc_id count as one document and are treated alike; a null doc_id orders after
 all others and counts as one document; an empty table gives an empty result; further
-columns pass through.
+columns pass through whatever they are called, and the operator's own (``n_lines``,
+``n_dropped``) replace any of the same name.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, table
+from ._common import NO_ID, materialize, table
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -27,43 +28,55 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), _UPPER, _LOWER)
+    return F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _UPPER, _LOWER)
 
 
-def key_hash(key: Column) -> Column:
-    """128 bits: one 64-bit hash would confuse lines at 10^11 of them."""
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("second"), key).alias("b"))
+def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(id, h, pos, a, b): the lines with a key of ``min_chars``, by document (``NO_ID`` for a
+    null id) and hash of its text (rows of one id may differ); a and b are 128 bits of the
+    key, as 64 would confuse lines at 10^11 of them."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # long keys need long lines: a cheap test on the raw line comes before the key
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("pos"), x.alias("x"))), lambda s: F.length(s["x"]) >= min_chars)
+    keys = F.filter(F.transform(lines, lambda s: F.struct(s["pos"].alias("pos"), line_key(s["x"]).alias("k"))), lambda s: F.length(s["k"]) >= min_chars)
+    hashes = F.transform(keys, lambda s: F.struct(s["pos"].alias("pos"), F.xxhash64(s["k"]).alias("a"), F.xxhash64(F.lit("second"), s["k"]).alias("b")))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), F.inline(hashes))
 
 
-def drop_lists(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id (``NO_ID`` for null) and the set of key hashes to drop there."""
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    # long keys need long lines: a cheap test on the raw line comes before the key
-    keys = F.transform(F.filter(lines, lambda x: F.length(x) >= min_chars), line_key)
-    hashes = F.array_distinct(F.transform(F.filter(keys, lambda k: F.length(k) >= min_chars), key_hash))
-    held = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("id"), F.explode(hashes).alias("h")).select("id", "h.a", "h.b")
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(id, h, drops): the positions, ascending, of the lines that a document loses."""
+    held = materialize(line_hashes(docs, min_chars), "line-hashes")
     if min_docs == 2:  # two documents at least: the smallest and the largest id differ
         keep = held.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     else:
-        keep = held.distinct().groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter(F.col("n") >= min_docs).drop("n")
-    # inner, both sides shuffled on the hash: the engine splits a hot line's partition
-    drops = held.join(keep, ["a", "b"]).filter("id > first")
-    return drops.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("drop_keys"))
+        keep = held.select("id", "a", "b").distinct().groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter(F.col("n") >= min_docs).drop("n")
+    # written down: a join of two tables, of which the engine broadcasts a small one and
+    # splits a hot line's partition where both are shuffled
+    drops = held.join(materialize(keep, "line-keys"), ["a", "b"]).filter("id > first")
+    return drops.groupBy("id", "h").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with ``text`` cleaned, and ``n_lines`` and ``n_dropped`` added."""
-    drops = drop_lists(docs, min_chars, min_docs).withColumnRenamed("id", "_drop_id")
-    both = docs.join(drops, F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long") == F.col("_drop_id"), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    stays = lambda x: ~((F.length(x) >= min_chars) & (F.length(line_key(x)) >= min_chars) & F.array_contains(F.col("drop_keys"), key_hash(line_key(x))))
-    kept = F.when(F.col("drop_keys").isNull(), lines).otherwise(F.filter(lines, stays))
-    out = both.withColumns({"_kept": kept, "_n": F.size(lines).cast("long")})
-    return out.select(
-        *[F.concat_ws("\n", F.col("_kept")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        F.col("_n").alias("n_lines"),
-        (F.col("_n") - F.size("_kept")).cast("long").alias("n_dropped"),
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"))
+    both = whole.join(dropped_lines(docs, min_chars, min_docs), ["id", "h"], "left")
+    lines = F.split(F.coalesce(F.col("row")["text"], F.lit("")), "\n", -1)
+
+    def between(s: Column) -> Column:
+        """The lines between the dropped ones: as many slices as there are, and one more."""
+        ends = F.concat(F.array(F.lit(-1)), s["drops"], F.array(F.size(s["lines"])))
+        cuts = F.transform(F.array(F.struct(s["lines"].alias("lines"), ends.alias("ends"))), lambda e: F.flatten(F.transform(F.sequence(F.lit(1), F.size(s["drops"]) + 1), lambda k: F.slice(e["lines"], F.element_at(e["ends"], k) + 2, F.element_at(e["ends"], k + 1) - F.element_at(e["ends"], k) - 1))))
+        return F.array_join(cuts[0], "\n")
+
+    # transform over a one-element array splits a text once; most have nothing to drop
+    n_dropped = F.coalesce(F.size("drops"), F.lit(0))
+    bound = F.array(F.struct(lines.alias("lines"), F.col("drops").alias("drops")))
+    kept = F.when(F.col("drops").isNull(), F.coalesce(F.col("row")["text"], F.lit(""))).otherwise(F.transform(bound, between)[0])
+    return both.select(
+        *[(kept if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
+        F.size(lines).cast("long").alias("n_lines"),
+        n_dropped.cast("long").alias("n_dropped"),
     )
 
 

@@ -24,8 +24,6 @@ from ._common import materialize, table, unit_hash
 
 SEED = 20240
 ALPHA = 0.5
-#: Only the SQL counterpart has this bound; it agrees where no source's rate is above it.
-MAX_RATE = 64.0
 #: Up to here a source has a table of its distribution; beyond, each document sums it up.
 TABLE_RATE = 64.0
 #: Copies that one row of the first of two explodes stands for.
@@ -93,18 +91,21 @@ def poisson_count(rate: Column, u: Column) -> Column:
 
 def poisson_mix(docs: DataFrame, seed: int = SEED, alpha: float = ALPHA, weights: dict[str, float] | None = None, max_rate: float | None = None, n_partitions: int | None = None) -> DataFrame:
     """``docs`` replicated and shuffled, with mix_rate, mix_copy (from 0) and mix_key."""
-    steps = F.when(F.col("mix_rate") <= TABLE_RATE, poisson_steps(F.col("mix_rate"))).alias("_cdf")
-    rates = materialize(source_rates(docs, alpha, weights, max_rate).select("source", "mix_rate", steps).withColumnRenamed("source", "_source"), "mix-rates")
+    steps = F.when(F.col("mix_rate") <= TABLE_RATE, poisson_steps(F.col("mix_rate"))).alias("cdf")
+    rates = materialize(source_rates(docs, alpha, weights, max_rate).select("source", "mix_rate", steps).withColumnRenamed("source", "rate_source"), "mix-rates")
     keep = [c for c in docs.columns if c not in ("mix_rate", "mix_copy", "mix_key")]
+    # a row travels as one column, so that none of its columns meets one of the operator's
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("source").alias("from_source"), F.col("doc_id").alias("id"))
     # the engine broadcasts the rates if they are small, else splits a hot source's partition
-    drawn = docs.select(*keep).join(rates, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_u", unit_hash(seed, "doc_id"))
-    times = F.when(F.col("_cdf").isNotNull(), F.size(F.filter("_cdf", lambda p: p <= F.col("_u"))).cast("long")).otherwise(poisson_count(F.col("mix_rate"), F.col("_u")))
+    drawn = whole.join(rates, F.col("from_source").eqNullSafe(F.col("rate_source"))).withColumn("u", unit_hash(seed, "id"))
+    times = F.when(F.col("cdf").isNotNull(), F.size(F.filter("cdf", lambda p: p <= F.col("u"))).cast("long")).otherwise(poisson_count(F.col("mix_rate"), F.col("u")))
     # in two steps, so that no array holds all copies of a document
-    runs = drawn.withColumn("_times", times).filter("_times > 0").select(*keep, "mix_rate", "_times", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1, F.lit(COPIES).cast("long"))).alias("_from"))
-    copies = runs.select(*keep, "mix_rate", F.explode(F.sequence("_from", F.least(F.col("_from") + COPIES, F.col("_times")) - 1)).alias("mix_copy"))
-    keyed = copies.withColumn("mix_key", unit_hash(seed + 1, "doc_id", "mix_copy"))
-    n = n_partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "mix_key").sortWithinPartitions("mix_key")
+    runs = drawn.withColumn("times", times).filter("times > 0").select("row", "id", "mix_rate", "times", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(COPIES).cast("long"))).alias("first"))
+    copies = runs.select("row", "id", "mix_rate", F.explode(F.sequence("first", F.least(F.col("first") + COPIES, F.col("times")) - 1)).alias("mix_copy"))
+    keyed = copies.withColumn("mix_key", unit_hash(seed + 1, "id", "mix_copy"))
+    # without a number the engine cuts the shuffle to the size of the mix
+    dealt = keyed.repartition(n_partitions, "mix_key") if n_partitions else keyed.repartition("mix_key")
+    return dealt.sortWithinPartitions("mix_key").select(*[F.col("row")[c].alias(c) for c in keep], "mix_rate", "mix_copy", "mix_key")
 
 
 def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +118,7 @@ def oracle() -> str:
     return f"""
 WITH RECURSIVE s AS (SELECT source, sum(coalesce(length(text),0))::BIGINT AS size FROM documents GROUP BY 1),
 t AS (SELECT sum(size)::DOUBLE AS all_size, sum(round_even(sqrt(size), 6)) AS all_weight FROM s),
-r AS (SELECT source, CASE WHEN size = 0 OR all_weight = 0 THEN 1.0::DOUBLE ELSE least(sqrt(size)/all_weight*all_size/size, {MAX_RATE}::DOUBLE) END AS rate FROM s, t),
+r AS (SELECT source, CASE WHEN size = 0 OR all_weight = 0 THEN 1.0::DOUBLE ELSE sqrt(size)/all_weight*all_size/size END AS rate FROM s, t),
 c AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS f FROM r
   UNION ALL SELECT source, rate, k+1, p*rate/(k+1), f + p*rate/(k+1) FROM c WHERE k + 1 <= ceil(rate + 12*sqrt(rate) + 24)),
 d AS (SELECT doc_id, source, coalesce(text,'') AS text, {u(SEED, "")} AS u FROM documents),

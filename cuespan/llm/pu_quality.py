@@ -2,24 +2,29 @@
 
 Trusted positives and unlabelled text train a logistic scorer under the non-negative
 unbiased risk ``prior * R+(f) + max(0, Ru-(f) - prior * R-(f))`` (Kiryo et al. 2017): where
-the part in the maximum turns negative in a batch, the step goes against it. The class
-prior is estimated from the labelled training rows, and a logistic calibration on them
-turns the scores into probabilities.
+the part in the maximum turns negative in a batch, the step goes against it. Labelled
+negatives are not used, neither for the fit nor for what follows:
+
+* The class prior is estimated from scores of positives and unlabelled text that a first
+  scorer has not seen: the least ratio of their shares above a threshold, each with its
+  confidence bound (best bin estimation, Garg et al. 2021).
+* The logistic calibration that turns scores into probabilities minimises the unbiased
+  risk too, on rows apart from those of the fit.
 
 Features are computed on the executors over whole texts: rates of character classes and
 of their pairs, repetition of words and lines, word lengths. The driver gets a bounded
-sample of feature vectors only (``max_positives``, ``max_unlabelled``, ``max_calibration``
-rows, chosen by a hash of the id); model and scores never see labels, lang, source or
-doc_id as inputs.
+sample of feature vectors only (``max_positives``, ``max_unlabelled`` rows, chosen by a hash
+of the id); model and scores never see labels, lang, source or doc_id as inputs.
 
 Defined edge cases: null and empty texts have the features of an empty text, and so one
-score; without positives among the training rows every score is the prior; null labels
+score; without positives among the training rows every score is the prior, 0.5; null labels
 are no labels; repeated rows score alike; an empty table gives an empty result; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -99,51 +104,90 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x) + self.shift, -30, 30)))
 
 
+def risk(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two parts of the unbiased logistic risk, ``prior * R+`` and ``Ru- - prior * R-``, and
+    their gradients; rows of ``xp`` and ``xu`` end in a one."""
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    zp, zu = xp @ theta, xu @ theta
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    g_pos = -prior * ((1 - sig(zp))[:, None] * xp).mean(axis=0)
+    g_neg = (sig(zu)[:, None] * xu).mean(axis=0) - prior * (sig(zp)[:, None] * xp).mean(axis=0)
+    return float(positive), float(negative), g_pos, g_neg
+
+
+def step_direction(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient of the risk, or, where its second part is negative, the way back from that."""
+    _, negative, g_pos, g_neg = risk(theta, xp, xu, prior)
+    return g_pos + g_neg if negative >= 0 else -g_neg
+
+
 def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 60, batch: int = 256, rate: float = 0.02, l2: float = 1e-4, seed: int = 5) -> QualityModel:
     """Minimise the non-negative risk of a linear scorer with logistic loss (Adam steps)."""
     rng = np.random.default_rng(seed)
     mean, scale = unl.mean(axis=0), unl.std(axis=0) + 0.05
-    p, u = np.clip((pos - mean) / scale, -8, 8), np.clip((unl - mean) / scale, -8, 8)
-    w, b = np.zeros(p.shape[1]), 0.0
-    m, v, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    soft = lambda z: np.logaddexp(0, z)
-    with_one = lambda x: np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    p, u = with_one(p), with_one(u)
-    theta = np.concatenate([w, [b]])
+    with_one = lambda x: np.concatenate([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))], axis=1)
+    p, u = with_one(pos), with_one(unl)
+    theta = np.zeros(p.shape[1])
+    m, v, t = np.zeros(len(theta)), np.zeros(len(theta)), 0
     steps = max(1, len(u) // batch)
     for _ in range(epochs):
         for ub in np.array_split(rng.permutation(len(u)), steps):
             pb = rng.choice(len(p), min(len(p), batch), replace=False)
-            xp, xu = p[pb], u[ub]
-            zp, zu = xp @ theta, xu @ theta
-            negative = soft(zu).mean() - prior * soft(zp).mean()  # loss of calling them negative
-            g_pos = -prior * ((1 - sig(zp))[:, None] * xp).mean(axis=0)
-            g_neg = (sig(zu)[:, None] * xu).mean(axis=0) - prior * (sig(zp)[:, None] * xp).mean(axis=0)
-            g = g_pos + g_neg if negative >= 0 else -g_neg
-            g = g + l2 * theta
+            g = step_direction(theta, p[pb], u[ub], prior) + l2 * theta
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return QualityModel(mean, scale, theta[:-1], float(theta[-1]), prior)
 
 
-def calibrate(model: QualityModel, x: np.ndarray, y: np.ndarray, steps: int = 200) -> None:
-    """Platt scaling by Newton steps on labelled rows, with a weak pull to slope 1."""
-    if len(y) < 10 or len(set(y.tolist())) < 2:
+def positive_share(p: np.ndarray, u: np.ndarray, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled, from scores that the scorer was not fitted on.
+
+    Above any threshold there are at least share * (positives' rate) of the unlabelled, with
+    equality where no negative scores that high: the threshold with the least upper bound
+    of the ratio is taken."""
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    p, u = np.sort(p), np.sort(u)
+    at = np.unique(p)
+    rate_p = 1 - np.searchsorted(p, at) / len(p)
+    rate_u = 1 - np.searchsorted(u, at) / len(u)
+    best = int(np.argmin((rate_u + slack) / rate_p))
+    return float(np.clip(rate_u[best] / rate_p[best], 0.02, 0.98))
+
+
+def calibrate(model: QualityModel, pos: np.ndarray, unl: np.ndarray, steps: int = 200) -> None:
+    """Slope and shift of least unbiased logistic risk, which is convex in them: Newton steps,
+    with a weak pull to slope 1."""
+    if len(pos) < 10 or len(unl) < 10:
         return
-    z = model.raw(x)
+    zu, gain = model.raw(unl), model.prior * np.array([model.raw(pos).mean(), 1.0])
     a, b = 1.0, 0.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        r = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * z).sum() + 0.1 * (a - 1), (p - y).sum() + 0.1 * b])
-        h = np.array([[(r * z * z).sum() + 0.1, (r * z).sum()], [(r * z).sum(), r.sum() + 0.1]])
+        s = 1 / (1 + np.exp(-np.clip(a * zu + b, -30, 30)))
+        r = s * (1 - s) + 1e-9
+        g = np.array([(s * zu).mean() - gain[0] + 1e-3 * (a - 1), s.mean() - gain[1] + 1e-3 * b])
+        h = np.array([[(r * zu * zu).mean() + 1e-3, (r * zu).mean()], [(r * zu).mean(), r.mean() + 1e-3]])
         d = np.linalg.solve(h, g)
         a, b = a - 0.5 * d[0], b - 0.5 * d[1]
     model.slope, model.shift = max(float(a), 1e-3), float(b)
 
 
+def learn(pos: np.ndarray, unl: np.ndarray) -> QualityModel:
+    """Prior, scorer and calibration. Rows take turns: of three, two fit and one checks."""
+    check_p, check_u = np.arange(len(pos)) % 3 == 2, np.arange(len(unl)) % 3 == 2
+    if check_p.sum() < 10 or check_u.sum() < 10:  # too few to part
+        check_p, check_u = np.ones(len(pos), bool), np.ones(len(unl), bool)
+        fit_p, fit_u = check_p, check_u
+    else:
+        fit_p, fit_u = ~check_p, ~check_u
+    first = nnpu(pos[fit_p], unl[fit_u], 0.5, epochs=20)
+    prior = positive_share(first.raw(pos[check_p]), first.raw(unl[check_u]))
+    model = nnpu(pos[fit_p], unl[fit_u], prior)
+    calibrate(model, pos[check_p], unl[check_u])
+    return model
+
+
 def vectors(docs: DataFrame, *keep: str) -> DataFrame:
     fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -155,35 +199,27 @@ def vectors(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, f"{fields}, features array<float>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positives: int = 6000, max_unlabelled: int = 12000, max_calibration: int = 6000, seed: int = 3) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_positives: int = 9000, max_unlabelled: int = 18000, seed: int = 3) -> QualityModel:
     """Train on the folds that are not held out."""
-    marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_y"))
-    marks = marks.filter(id_fold(FOLDS) != HELD_OUT).withColumnRenamed("doc_id", "_id").withColumn("_u", unit_hash(seed, "_id"))
-    pool = docs.select("doc_id", "text").filter(id_fold(FOLDS) != HELD_OUT).withColumn("_v", unit_hash(seed + 1, "doc_id"))
-    sizes = marks.agg(F.sum(F.col("_y")).alias("p"), F.count("*").alias("n")).first()
-    total = pool.count()
-    if not sizes.n or not sizes.p or not total:
-        empty = np.zeros(N_FEATURES)
-        return QualityModel(empty, empty + 1, empty, 0.0, (sizes.p or 0) / sizes.n if sizes.n else 0.5, usable=False)
-    prior = min(0.98, sizes.p / sizes.n)
-    # the smallest hashes of the positives, and of all labelled rows; the filter only spares the sort rows
-    least = lambda df, most, of: df.filter(F.col("_u") < (2 * most + 40) / of).orderBy("_u", "_id").limit(most).select("_id", "_y")
-    fitted = least(marks.filter("_y = 1"), max_positives, sizes.p).withColumns({"_fit": F.lit(1), "_cal": F.lit(0)})
-    checked = least(marks, max_calibration, sizes.n).withColumns({"_fit": F.lit(0), "_cal": F.lit(1)})
-    some = fitted.unionByName(checked).groupBy("_id", "_y").agg(F.max("_fit").alias("_fit"), F.max("_cal").alias("_cal"))
-    lab = pool.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y", "_fit", "_cal")  # bounded by the limits
-    unl = pool.filter(F.col("_v") < min(1.0, max_unlabelled / total)).select("doc_id", "text", F.lit(None).cast("int").alias("_y"), F.lit(0).alias("_fit"), F.lit(0).alias("_cal")).limit(2 * max_unlabelled)
-    got = vectors(lab.withColumn("_y", F.col("_y").cast("int")).unionByName(unl), "doc_id", "_y", "_fit", "_cal").toPandas()
+    marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("y"))
+    good = marks.filter((F.col("y") == 1) & (id_fold(FOLDS) != HELD_OUT)).select(F.col("doc_id").alias("good_id")).withColumn("hash", unit_hash(seed, "good_id"))
+    pool = docs.select("doc_id", "text").filter(id_fold(FOLDS) != HELD_OUT).withColumn("hash", unit_hash(seed + 1, "doc_id"))
+    n_good, total = good.count(), pool.count()
+    flat = QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 0.5, usable=False)
+    if not n_good or not total:
+        return flat
+    # the smallest hashes; the filter only spares the sort rows
+    some = good.filter(F.col("hash") < (2 * max_positives + 40) / n_good).orderBy("hash", "good_id").limit(max_positives).select("good_id")
+    pos = pool.join(F.broadcast(some), F.col("doc_id") == F.col("good_id")).select("doc_id", "text", F.lit(1).alias("y"))  # bounded by the limit
+    unl = pool.filter(F.col("hash") < (2 * max_unlabelled + 40) / total).orderBy("hash", "doc_id").limit(max_unlabelled).select("doc_id", "text", F.lit(0).alias("y"))
+    got = vectors(pos.unionByName(unl), "doc_id", "y").toPandas()
+    if not (got["y"] == 1).any():
+        return flat
     x = np.stack(got["features"].to_numpy()).astype(np.float64)
-    order = np.lexsort((x[:, 0], got["doc_id"].fillna(-1).to_numpy()))  # whatever order the tasks came in
-    x, y = x[order], got["_y"].to_numpy(dtype=np.float64, na_value=np.nan)[order]
-    fit_on, check_on = got["_fit"].to_numpy()[order] == 1, got["_cal"].to_numpy()[order] == 1
-    unlabelled = x[np.isnan(y)] if np.isnan(y).any() else x
-    if not fit_on.any():
-        return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, prior, usable=False)
-    model = nnpu(x[fit_on], unlabelled, prior)
-    calibrate(model, x[check_on], y[check_on])
-    return model
+    ids = got["doc_id"].fillna(-1).to_numpy()
+    order = np.lexsort((x[:, 0], ids, np.array([zlib.crc32(str(i).encode()) for i in ids])))  # whatever order the tasks came in
+    x, y = x[order], got["y"].to_numpy()[order]
+    return learn(x[y == 1], x[y == 0])
 
 
 def score(docs: DataFrame, model: QualityModel, *keep: str) -> DataFrame:

@@ -7,8 +7,14 @@ replace fixed cut-offs, and a join brings each document its group's fences.
 The sketch is a log-linear histogram over integers (32 buckets an octave, so a value is
 known to about 3 %): merging is addition, in any order, so partial sketches combine
 map-side, source sketches add up to those of a language, and every run gives the same
-bits. A group with fewer than ``MIN_GROUP`` documents reads the sketch of its language,
-and one whose language is as small that of the whole table.
+bits. A group's fences are read from a weighted merge: its own sketch, and those of its
+language and of the whole table as if each were ``PRIOR`` documents. So a group of ten
+follows its language, and one of ten thousand itself, with no size at which it changes.
+
+The upper fence is the 90th percentile, and ``REACH`` times as far again as that is from the
+median; where the two are equal, as for metrics that are 0 in most documents, the 99.9th
+percentile takes the 90th's place. The lower fence mirrors it (10th, 0.1th). No fence has a
+value of its own: all of them are quantiles and distances between quantiles.
 
 Defined edge cases: a null or empty text has no words (all counts 0) and fails the base
 rules; null languages and sources are groups of their own; repeated rows are judged
@@ -30,16 +36,13 @@ from ._common import ASCII_SPACE, materialize, table
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
-MIN_GROUP = 200
-SPREADS = 3
-#: metric -> (smallest spread, two-sided). Per mille, but hundredths for the word length.
-METRICS = {
-    "symbol_rate": (100, False),
-    "dup_line_rate": (200, False),
-    "repeat_rate": (100, False),
-    "upper_rate": (150, False),
-    "word_length": (150, True),
-}
+PRIOR = 50  # documents that a language's sketch counts for in that of a source, and the table's
+REACH = 3
+SCALE = 1_000_000  # weights are integers: one document is this much
+#: In thousandths: where the fences are read, and where if that is the median itself.
+NEAR, FAR = 900, 999
+#: metric -> two-sided. Per mille, but hundredths for the word length.
+METRICS = {"symbol_rate": False, "dup_line_rate": False, "repeat_rate": False, "upper_rate": False, "word_length": True}
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
 
 
@@ -134,48 +137,46 @@ def merge_sketches(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, *keys: str, tail: bool = False) -> DataFrame:
-    """Per group: its size, and low and high of each metric read from the sketch.
+def shrunk(by_source: DataFrame) -> DataFrame:
+    """The weighted merge for each (lang, source): rows of (keys, metric, bucket, n), with n in
+    units of 1 / SCALE documents. Of the levels above only sketches are joined, which have
+    a few hundred rows a metric."""
+    sized = lambda df, *keys: df.withColumn("total", F.sum("n").over(W.partitionBy(*keys, "metric")))
+    part = F.call_function("div", F.col("n") * PRIOR * SCALE, F.col("total"))
+    by_lang = sized(merge_sketches(by_source, "lang"), "lang").select(F.col("lang").alias("of"), "metric", "bucket", part.alias("n"))
+    overall = sized(merge_sketches(by_source)).select("metric", "bucket", part.alias("n"))
+    groups = by_source.select("lang", "source", "metric").distinct()
+    from_lang = groups.join(by_lang.withColumnRenamed("metric", "m"), F.col("lang").eqNullSafe(F.col("of")) & (F.col("metric") == F.col("m"))).select("lang", "source", "metric", "bucket", "n")
+    from_all = groups.join(overall, "metric").select("lang", "source", "metric", "bucket", "n")
+    return merge_sketches(by_source.withColumn("n", F.col("n") * SCALE).unionByName(from_lang).unionByName(from_all), "lang", "source")
+
 
-    The quartiles move by the spread, which is at least the one of METRICS. With ``tail``
-    the group alone decides: from its 1st and 99th percentile as far again as these are
-    from its median, bucket edges outwards."""
+def fences(sketch: DataFrame, *keys: str) -> DataFrame:
+    """Per group the low and high of each metric, read from its sketch alone: bucket floors
+    for the median and below, the last value of the bucket above it."""
     by = W.partitionBy(*keys, "metric")
     ranked = sketch.withColumns({"total": F.sum("n").over(by), "upto": F.sum("n").over(by.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))})
-    at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bucket")))
-    first, last = (1, 99) if tail else (25, 75)
-    top = bucket_floor(at(last) + 1) - 1 if tail else bucket_floor(at(last))
-    q = ranked.groupBy(*keys, "metric").agg(F.max("total").alias("total"), bucket_floor(at(first)).alias("q1"), bucket_floor(at(50)).alias("q2"), top.alias("q3"))
-    spread = F.greatest(SPREADS * (F.col("q3") - F.col("q1")), F.create_map(*[F.lit(x) for m, (s, _) in METRICS.items() for x in (m, s)])[F.col("metric")].cast("long"))
-    down, up = (F.col("q2") - F.col("q1"), F.col("q3") - F.col("q2")) if tail else (spread, spread)
-    q = q.select(*keys, "metric", "total", (F.col("q1") - down).alias("low"), (F.col("q3") + up).alias("high"))
-    pick = lambda c, m: F.max(F.when(F.col("metric") == m, F.col(c)))
-    return q.groupBy(*keys).agg(
-        F.max("total").alias("group_size"),
-        *[pick("high", m).alias(f"{m}_high") for m in METRICS],
-        *[pick("low", m).alias(f"{m}_low") for m, (_, two) in METRICS.items() if two],
-    )
-
-
-def adaptive_rules(docs: DataFrame, min_group: int = MIN_GROUP, tail: bool = False) -> DataFrame:
-    """Counts, base verdict and the adaptive verdict of every document; ``tail`` as in ``fences``."""
+    # thousandths of the total first: 1000 * total may not fit a long
+    at = lambda p: F.min(F.when(F.col("upto") >= F.call_function("div", F.col("total"), F.lit(1000)) * p, F.col("bucket")))
+    q = ranked.groupBy(*keys, "metric").agg(*[at(p).alias(f"b{p}") for p in (1000 - FAR, 1000 - NEAR, 500, NEAR, FAR)])
+    floor = lambda p: bucket_floor(F.col(f"b{p}"))
+    last = lambda p: bucket_floor(F.col(f"b{p}") + 1) - 1
+    up = F.when(F.col(f"b{NEAR}") > F.col("b500"), last(NEAR)).otherwise(last(FAR))
+    down = F.when(F.col(f"b{1000 - NEAR}") < F.col("b500"), floor(1000 - NEAR)).otherwise(floor(1000 - FAR))
+    q = q.select(*keys, "metric", (up + REACH * (up - floor(500))).alias("high"), (down - REACH * (floor(500) - down)).alias("low"))
+    pick = lambda c, m: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")
+    return q.groupBy(*keys).agg(*[pick("high", m) for m in METRICS], *[pick("low", m) for m, two in METRICS.items() if two])
+
+
+def adaptive_rules(docs: DataFrame) -> DataFrame:
+    """Counts, fences, base verdict and the adaptive verdict of every document."""
     rows = with_metrics(materialize(text_counts(docs), "quality-counts"))
     by_source = materialize(sketches(rows, "lang", "source"), "quality-sketches")
-    by_lang, overall = merge_sketches(by_source, "lang"), merge_sketches(by_source)
-    limits = [f"{m}_high" for m in METRICS] + [f"{m}_low" for m, (_, two) in METRICS.items() if two]
-    named = lambda df, tag: df.select(*[c for c in df.columns if c in ("lang", "source")], *[F.col(c).alias(f"{tag}_{c}") for c in ["group_size", *limits]])
-    s, g, a = named(fences(by_source, "lang", "source", tail=tail), "s"), named(fences(by_lang, "lang", tail=tail), "g").withColumnRenamed("lang", "g_lang"), named(fences(overall, tail=tail), "a")
-    # by_source has all the groups there are: one row of fences for each
-    groups = s.join(g, F.col("lang").eqNullSafe(F.col("g_lang"))).crossJoin(F.broadcast(a))  # a: one row
-    chosen = groups.select(
-        F.col("lang").alias("t_lang"),
-        F.col("source").alias("t_source"),
-        *[F.when(F.col("s_group_size") >= min_group, F.col(f"s_{c}")).when(F.col("g_group_size") >= min_group, F.col(f"g_{c}")).otherwise(F.col(f"a_{c}")).alias(c) for c in limits],
-    )
+    limits = materialize(fences(shrunk(by_source), "lang", "source"), "quality-fences").withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     # a left join: a group whose rows all fail the base rules has no sketch, and needs none
-    joined = rows.join(chosen, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
+    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     ok = ~F.col("base_failed")
-    for m, (_, two) in METRICS.items():
+    for m, two in METRICS.items():
         ok = ok & (F.col(m) <= F.col(f"{m}_high"))
         if two:
             ok = ok & (F.col(m) >= F.col(f"{m}_low"))
@@ -189,20 +190,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     """DuckDB SQL of op1: the same integer arithmetic, written relationally."""
     metric_rows = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, {m} AS v FROM m WHERE NOT base_failed" for m in METRICS)
-    slack = "CASE metric " + " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in METRICS.items()) + " END"
-
-    def level(name: str, keys: list[str]) -> str:
-        k = "".join(f"{x}, " for x in keys)
-        return f"""
-{name}_h AS (SELECT {k}metric, bucket, sum(n)::BIGINT AS n FROM sk GROUP BY ALL),
-{name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {k}metric) AS total, sum(n) OVER (PARTITION BY {k}metric ORDER BY bucket) AS upto FROM {name}_h),
-{name}_q AS (SELECT {k}metric, max(total) AS total, min(bucket) FILTER (100*upto >= 25*total) AS b1, min(bucket) FILTER (100*upto >= 75*total) AS b3 FROM {name}_r GROUP BY ALL),
-{name}_v AS (SELECT {k}metric, total,
-   CASE WHEN b1 < 64 THEN b1 ELSE (b1 - 32*(b1//32-1)) * (1::BIGINT << (b1//32-1)::INT) END AS q1,
-   CASE WHEN b3 < 64 THEN b3 ELSE (b3 - 32*(b3//32-1)) * (1::BIGINT << (b3//32-1)::INT) END AS q3 FROM {name}_q),
-{name}_f AS (SELECT {k}metric, total, q1 - greatest({SPREADS}*(q3-q1), {slack}) AS low, q3 + greatest({SPREADS}*(q3-q1), {slack}) AS high FROM {name}_v)"""
-
-    two = ", ".join(f"'{m}'" for m, (_, t) in METRICS.items() if t)
+    two = ", ".join(f"'{m}'" for m, t in METRICS.items() if t)
+    at = lambda p: f"min(bucket) FILTER (upto >= total // 1000 * {p})"
     return rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text,'') AS text, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS five FROM (SELECT doc_id, ws, unnest(range(1, len(ws)-3)) AS i FROM w WHERE len(ws) >= 5)),
@@ -223,11 +212,21 @@ m AS (SELECT *, (n_words < {MIN_WORDS} OR 100*n_repeat_words > 20*n_words) AS ba
    CASE WHEN n_words>0 THEN word_chars*100//n_words ELSE 0 END AS word_length FROM c),
 lg AS ({metric_rows}),
 sk AS (SELECT lang, source, metric, CASE WHEN v < 64 THEN v ELSE 32*(length(bin(v))-6) + (v >> (length(bin(v))-6)::INT) END AS bucket, count(*) AS n FROM lg GROUP BY ALL),
-{level("s", ["lang", "source"])}, {level("l", ["lang"])}, {level("a", [])},
-f AS (SELECT s_f.lang, s_f.source, metric,
-   CASE WHEN s_f.total >= {MIN_GROUP} THEN s_f.low WHEN l_f.total >= {MIN_GROUP} THEN l_f.low ELSE a_f.low END AS low,
-   CASE WHEN s_f.total >= {MIN_GROUP} THEN s_f.high WHEN l_f.total >= {MIN_GROUP} THEN l_f.high ELSE a_f.high END AS high
-   FROM s_f JOIN l_f USING (metric) JOIN a_f USING (metric) WHERE s_f.lang IS NOT DISTINCT FROM l_f.lang),
+sl AS (SELECT lang, metric, bucket, sum(n)::BIGINT AS n FROM sk GROUP BY ALL), sa AS (SELECT metric, bucket, sum(n)::BIGINT AS n FROM sk GROUP BY ALL),
+tl AS (SELECT lang, metric, sum(n)::BIGINT AS total FROM sk GROUP BY ALL), ta AS (SELECT metric, sum(n)::BIGINT AS total FROM sk GROUP BY ALL),
+gr AS (SELECT DISTINCT lang, source, metric FROM sk),
+mx AS (SELECT lang, source, metric, bucket, sum(n)::BIGINT AS n FROM (
+   SELECT lang, source, metric, bucket, n * {SCALE} AS n FROM sk
+   UNION ALL SELECT gr.lang, gr.source, gr.metric, sl.bucket, sl.n * {PRIOR * SCALE} // tl.total FROM gr JOIN sl ON gr.metric = sl.metric AND gr.lang IS NOT DISTINCT FROM sl.lang JOIN tl ON tl.metric = sl.metric AND tl.lang IS NOT DISTINCT FROM sl.lang
+   UNION ALL SELECT gr.lang, gr.source, gr.metric, sa.bucket, sa.n * {PRIOR * SCALE} // ta.total FROM gr JOIN sa USING (metric) JOIN ta USING (metric)) GROUP BY ALL),
+rk AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric) AS total, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto FROM mx),
+q AS (SELECT lang, source, metric, {at(1000 - FAR)} AS far_low, {at(1000 - NEAR)} AS near_low, {at(500)} AS mid, {at(NEAR)} AS near_high, {at(FAR)} AS far_high FROM rk GROUP BY ALL),
+e AS (SELECT lang, source, metric, mid, CASE WHEN near_low < mid THEN near_low ELSE far_low END AS lo, 1 + CASE WHEN near_high > mid THEN near_high ELSE far_high END AS hi FROM q),
+v AS (SELECT lang, source, metric,
+   CASE WHEN mid < 64 THEN mid ELSE (mid - 32*(mid//32-1)) * (1::BIGINT << (mid//32-1)::INT) END AS mid,
+   CASE WHEN lo < 64 THEN lo ELSE (lo - 32*(lo//32-1)) * (1::BIGINT << (lo//32-1)::INT) END AS lo,
+   CASE WHEN hi < 64 THEN hi ELSE (hi - 32*(hi//32-1)) * (1::BIGINT << (hi//32-1)::INT) END - 1 AS hi FROM e),
+f AS (SELECT lang, source, metric, lo - {REACH} * (mid - lo) AS low, hi + {REACH} * (hi - mid) AS high FROM v),
 bad AS (SELECT DISTINCT lg.doc_id FROM lg JOIN f ON lg.metric = f.metric AND lg.lang IS NOT DISTINCT FROM f.lang AND lg.source IS NOT DISTINCT FROM f.source
    WHERE v > high OR (lg.metric IN ({two}) AND v < low))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

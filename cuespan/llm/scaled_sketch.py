@@ -1,19 +1,22 @@
 """Operator 2 [native]: document fingerprints by a threshold-scaled sketch.
 
-A document's sketch retains every shingle hash below a fixed fraction of the hash range.
-Sketches merge by union, and because the threshold is the same for all, the overlap of a
-short and a very long document estimates containment without bias. A document with fewer
-than ``FLOOR`` hashes below the threshold keeps its ``FLOOR`` smallest instead, so short
-texts are still told apart; two sketches are compared up to the smaller of their two
-thresholds.
-
-Shingles are of five words (``[^\x20\x09-\x0D]+``); a text with fewer words is one
+A document's sketch retains every shingle hash below a fixed fraction of the hash range,
+the same for all documents, however short or long. So sketches merge by union, and the
+overlap of a short and a very long document estimates containment without bias. The price
+is that a text of few shingles may retain few, or none: its estimates are coarse.
+
+Shingles are of five words (``[^\\x20\\x09-\\x0D]+``); a text with fewer words is one
 shingle. Hashes have 48 bits and are written as 12 hex digits, smallest first.
 
-Defined edge cases: a null text is an empty text, whose fingerprint is empty; two empty
-texts are alike to 1, an empty and another one to 0; null ids come last in descending
-order and rows with one id are ordered by their text; a table of one row is its own next
-document; an empty table gives an empty result; other columns are ignored.
+The next document is found from ids alone: (id, hash of the text) is ranged and each row
+looks one ahead. Then a document asks the next one for as much text as it needs, and for
+its sketch. Texts are shuffled once, by (id, hash), for both of the joins.
+
+Defined edge cases: a null text is an empty text, whose sketch is empty; two empty
+sketches are alike to 1, an empty and another one to 0; null ids come last in descending
+order, and rows with one id are ordered by a hash of their texts; rows equal in id and text
+have one and the same next document, the one after all of them; a table of one such
+document is its own next; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,21 +25,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import WORD_GAP, table
+from ._common import WORD_GAP, materialize, ranged, table
 
 SHINGLE = 5
-FRACTION_BITS = 2  # retain hashes below 2^48 / 2^2
-FLOOR = 32
+FRACTION_BITS = 1  # retain hashes below 2^48 / 2^1
 HASH_BITS = 48
-MAX_BUCKETS = 2048
-ROWS_A_BUCKET = 500
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
 
 
-def sketch(text: Column, shingle: int = SHINGLE, fraction_bits: int = FRACTION_BITS, floor: int = FLOOR) -> Column:
+def sketch(text: Column, shingle: int = SHINGLE, fraction_bits: int = FRACTION_BITS) -> Column:
     """The sorted retained hashes of a text (array of longs)."""
     mask, limit = (1 << HASH_BITS) - 1, 1 << (HASH_BITS - fraction_bits)
 
@@ -44,92 +44,68 @@ def sketch(text: Column, shingle: int = SHINGLE, fraction_bits: int = FRACTION_B
         n = F.size(ws)
         starts = F.sequence(F.lit(1), F.greatest(n - (shingle - 1), F.lit(1)))
         hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i, shingle)).bitwiseAND(F.lit(mask)))
-        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(hashes)))
-
-    def retain(all_: Column) -> Column:
-        low = F.filter(all_, lambda h: h < F.lit(limit))
-        return F.when(F.size(low) >= floor, low).otherwise(F.slice(all_, 1, floor))
+        low = F.filter(hashes, lambda h: h < F.lit(limit))
+        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(low)))
 
-    # transform over one-element arrays binds each step once
-    return F.transform(F.transform(F.array(words_of(text)), of_words), retain)[0]
+    # transform over a one-element array binds the words once
+    return F.transform(F.array(words_of(text)), of_words)[0]
 
 
 def fingerprint(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), HASH_BITS // 4, "0")), "")
 
 
-def merge(a: Column, b: Column, fraction_bits: int = FRACTION_BITS, floor: int = FLOOR) -> Column:
+def merge(a: Column, b: Column) -> Column:
     """The sketch of two texts' shingles together."""
-    both = F.array_sort(F.array_union(a, b))
-    low = F.filter(both, lambda h: h < F.lit(1 << (HASH_BITS - fraction_bits)))
-    return F.when(F.size(low) >= floor, low).otherwise(F.slice(both, 1, floor))
-
-
-def _threshold(a: Column, fraction_bits: int, floor: int) -> Column:
-    """Up to which hash a sketch is complete."""
-    limit = F.lit((1 << (HASH_BITS - fraction_bits)) - 1)
-    whole = F.lit((1 << HASH_BITS) - 1)
-    # try_: under ANSI mode element_at raises on an empty array
-    return F.when(F.size(a) < floor, whole).otherwise(F.greatest(limit, F.try_element_at(a, F.lit(-1))))
+    return F.array_sort(F.array_union(a, b))
 
 
-def _compared(a: Column, b: Column, fraction_bits: int, floor: int, rate) -> Column:
-    """``rate`` of (hashes in both, in a, in b), each counted up to the common threshold.
-    transform over a one-element array binds what is used more than once."""
-    upto = F.least(_threshold(a, fraction_bits, floor), _threshold(b, fraction_bits, floor))
-    cut = F.transform(F.array(upto), lambda t: F.struct(F.filter(a, lambda h: h <= t).alias("x"), F.filter(b, lambda h: h <= t).alias("y")))
-    sizes = F.transform(cut, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("both"), F.size(s["x"]).alias("x"), F.size(s["y"]).alias("y")))
+def _compared(a: Column, b: Column, rate) -> Column:
+    """``rate`` of (hashes in both, in a, in b); transform binds what is used more than once."""
+    sizes = F.array(F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(a).alias("x"), F.size(b).alias("y")))
     return F.transform(sizes, lambda s: rate(s["both"], s["x"], s["y"]))[0]
 
 
-def jaccard(a: Column, b: Column, fraction_bits: int = FRACTION_BITS, floor: int = FLOOR) -> Column:
-    rate = lambda both, x, y: F.when(x + y == 0, 0.0).otherwise(both / (x + y - both))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(_compared(a, b, fraction_bits, floor, rate))
+def jaccard(a: Column, b: Column) -> Column:
+    return _compared(a, b, lambda both, x, y: F.when(x + y == 0, 1.0).otherwise(both / (x + y - both)))
 
 
-def containment(a: Column, b: Column, fraction_bits: int = FRACTION_BITS, floor: int = FLOOR) -> Column:
+def containment(a: Column, b: Column) -> Column:
     """Share of a's shingles that b has too."""
-    rate = lambda both, x, y: F.when(x == 0, 0.0).otherwise(both / x)
-    return F.when(F.size(a) == 0, 1.0).otherwise(_compared(a, b, fraction_bits, floor, rate))
-
-
-def with_next(rows: DataFrame, columns: list[str], rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
-    """``rows`` with ``next_<c>`` of the next row in descending (doc_id, text) order; after
-    the last the first. The order is cut into buckets at quantiles of the id, and each
-    bucket also gets the first row of the following one, so no task sees all rows."""
-    stats = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
-    k = min(MAX_BUCKETS, stats.n // rows_a_bucket)
-    cuts: list[int] = []
-    if k > 1 and stats.ids:
-        found = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / k) for i in range(1, k)]), 10 * k).alias("c")).first().c
-        cuts = sorted(set(found))  # at most MAX_BUCKETS numbers
-    # bucket 0 has the largest ids; null ids are in the last
-    edges = F.lit(cuts) if cuts else F.array().cast("array<bigint>")
-    lower = F.aggregate(edges, F.lit(0), lambda acc, e: acc + F.when(e < F.col("doc_id"), 1).otherwise(0))
-    placed = rows.withColumn("_b", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.lit(len(cuts)) - lower))
-    heads = placed.groupBy("_b").agg(F.max("doc_id").alias("_top")).orderBy("_b").collect()  # one for each bucket
-    if not heads:
-        return placed.select(*rows.columns, *[F.col(c).alias(f"next_{c}") for c in columns])
-    # the bucket before each bucket gets its first rows as well; the first bucket's go to the last
-    before = {h._b: heads[i - 1]._b for i, h in enumerate(heads)}
-    tops = {h._b: h._top for h in heads}
-    to = F.create_map(*[F.lit(x) for b, p in before.items() for x in (b, p)])[F.col("_b")]
-    top = F.create_map(*[x for b, t in tops.items() for x in (F.lit(b), F.lit(t).cast("bigint"))])[F.col("_b")]
-    is_top = F.col("doc_id").eqNullSafe(top)
-    spread = placed.withColumn("_t", F.explode(F.when(is_top, F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("guest")), F.struct(to.alias("b"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("guest"))))))
-    by = W.partitionBy("_t.b").orderBy("_t.guest", F.col("doc_id").desc_nulls_last(), "text")
-    led = spread.select("*", *[F.lead(c).over(by).alias(f"next_{c}") for c in columns])
-    return led.filter("_t.guest = 0").select(*rows.columns, *[f"next_{c}" for c in columns])
+    return _compared(a, b, lambda both, x, y: F.when(x == 0, 1.0).otherwise(both / x))
+
+
+KEY = ["id", "no_id", "h"]  # id (0 for a null one), whether it is null, hash of the text
+
+
+def next_keys(keys: DataFrame) -> DataFrame:
+    """``keys`` with ``then``, the KEY of the row after it in descending id (null ids last),
+    ascending h; the last is followed by the first. ``keys`` has no repeated KEY."""
+    order = [F.col("no_id"), F.col("id").desc(), F.col("h")]
+    cut, _ = ranged(keys, order, "sketch-keys")
+    # the first row of each range follows the last of the range before it: a row a range
+    heads = cut.groupBy("part").agg(F.min_by(F.struct(*KEY), F.struct("no_id", (-F.col("id")).alias("down"), "h")).alias("head"))
+    ahead = F.lead("head").over(W.orderBy("part"))
+    around = F.first("head").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    heads = heads.select("part", F.coalesce(ahead, around).alias("beyond"))
+    led = cut.withColumn("ahead", F.lead(F.struct(*KEY)).over(W.partitionBy("part").orderBy(*order)))
+    return led.join(F.broadcast(heads), "part").withColumn("then", F.coalesce("ahead", "beyond")).drop("part", "ahead", "beyond")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, the edited text and the three sketches."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(base.withColumn("sketch", sketch(F.col("text"))), ["text", "sketch"])
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    keys = rows.groupBy(*KEY).agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("need"))
+    asked = materialize(next_keys(keys), "sketch-next")
+    asks = asked.select(*[F.col("then")[c].alias(c) for c in KEY], F.struct(*KEY).alias("by"), "need")
+    told = rows.join(asks, KEY).select("by", F.substring("text", F.lit(1), F.col("need")).alias("start"), sketch(F.col("text")).alias("next_sketch"))
+    # one answer for each key, however often the next document is repeated
+    told = told.select("by.*", "start", "next_sketch").groupBy(*KEY).agg(F.max("start").alias("start"), F.max("next_sketch").alias("next_sketch"))
+    both = rows.join(told, KEY)
     n = F.length("text")
-    cut = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    out = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")), F.col("start"))
+    out = both.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("sketch"), "next_sketch")
     return out.withColumn("edited_sketch", sketch(F.col("edited")))
 
 

@@ -1,6 +1,8 @@
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,11 +27,35 @@ def test_language_odd(spark, odd, empty):
     assert got[0].lang_pred == got[1].lang_pred == got[2].lang_pred == "und" and got[0].score == 0 and got[0].rejected
     assert language_id.identify(odd, model).count() == len(odd_rows())
     assert model.predict("12 345 !!") == ("und", 0.0) and model.predict("aab bba")[0] == "a"
-    none = language_id.train(*language_id.training_sample(empty))
+    none = language_id.train_bags(*language_id.training_sample(empty))
     assert none.languages == [] and {r.lang_pred for r in language_id.identify(odd, none).collect()} == {"und"}
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_logits_by_brute_force():
+    rng = np.random.default_rng(2)
+    model = language_id.LanguageModel(["a", "b"], rng.normal(size=(64, 2)), np.array([0.1, -0.2]))
+    for text in ("abc déf", "x", "long text " * 50):
+        padded = f" {text.lower()} "
+        rows = [np.concatenate(list(language_id.subwords(padded[i : i + n].join(["", ""]), 64)))[:0] for n in (2, 3, 4) for i in range(len(padded) - n + 1)]
+        grams = np.concatenate(list(language_id.subwords(text, 64)))
+        assert len(grams) == len(rows)
+        assert np.allclose(model.logits(text), model.table[grams].mean(axis=0) + model.bias)
+
+
+def test_any_number_of_languages_is_learned(spark):
+    words = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(8))
+    docs = spark.range(1300).select("id").collect()
+    docs = spark.createDataFrame([(r.id, words(r.id % 130), f"l{r.id % 130}") for r in docs], "doc_id long, text string, lang string")
+    bags, langs = language_id.training_sample(docs, max_rows=260)
+    assert len(set(langs)) > 100 and len(bags) < 2 * 260
+    bags, langs = language_id.training_sample(docs)
+    model = language_id.train_bags(bags, langs)
+    assert len(model.languages) == 130
+    got = language_id.identify(docs, model).join(docs, "doc_id").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.9
+
+
 def test_subword_blocks_cover_the_text(monkeypatch):
     text = "abcdefghij" * 30
     whole = np.sort(np.concatenate(list(language_id.subwords(text))))
@@ -60,14 +86,48 @@ def test_quality_odd(spark, odd, empty):
 def test_rare_positives_are_all_sampled(spark, monkeypatch):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Some text "), F.when(F.col("id") % 25 == 0, F.lit("good")).otherwise(F.lit("#|#|")), F.col("id")).alias("text"))
     labels = docs.select("doc_id", (F.col("doc_id") % 25 == 0).cast("int").alias("quality"))
-    sizes, nnpu, calibrate = [], pu_quality.nnpu, pu_quality.calibrate
-    monkeypatch.setattr(pu_quality, "nnpu", lambda pos, *a: (sizes.append(len(pos)), nnpu(pos, *a))[1])
-    monkeypatch.setattr(pu_quality, "calibrate", lambda m, x, y: (sizes.append(len(y)), calibrate(m, x, y))[1])
-    found = [pu_quality.fit(docs.repartition(n), labels.repartition(n), max_positives=50, max_unlabelled=300, max_calibration=60) for n in (2, 5)]
-    assert sizes == [50, 60, 50, 60]
+    sizes, learn = [], pu_quality.learn
+    monkeypatch.setattr(pu_quality, "learn", lambda pos, unl: (sizes.append((len(pos), len(unl))), learn(pos, unl))[1])
+    found = [pu_quality.fit(docs.repartition(n), labels.repartition(n), max_positives=50, max_unlabelled=300) for n in (2, 5)]
+    assert sizes == [(50, 300)] * 2
     assert np.array_equal(found[0].weight, found[1].weight) and found[0].slope == found[1].slope
 
 
+def test_negatives_are_not_learned_from(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    a, b = pu_quality.fit(docs, labels), pu_quality.fit(docs, labels.filter("quality = 1"))
+    assert np.array_equal(a.weight, b.weight) and (a.prior, a.slope, a.shift) == (b.prior, b.slope, b.shift)
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.9])
+def test_risk_gradient_by_finite_differences(prior):
+    rng = np.random.default_rng(3)
+    xp, xu, theta = rng.normal(1, 1, (40, 4)), rng.normal(0, 1, (60, 4)), rng.normal(0, 0.5, 4)
+    _, _, g_pos, g_neg = pu_quality.risk(theta, xp, xu, prior)
+    for i in range(4):
+        step = np.eye(4)[i] * 1e-6
+        up, down = pu_quality.risk(theta + step, xp, xu, prior), pu_quality.risk(theta - step, xp, xu, prior)
+        assert g_pos[i] == pytest.approx((up[0] - down[0]) / 2e-6, abs=1e-6) and g_neg[i] == pytest.approx((up[1] - down[1]) / 2e-6, abs=1e-6)
+
+
+def test_step_turns_where_the_risk_is_negative():
+    rng = np.random.default_rng(3)
+    xp, xu = rng.normal(2, 1, (40, 4)), rng.normal(-2, 1, (60, 4))
+    for theta, turned in ((np.zeros(4), False), (np.ones(4) * 3, True)):
+        _, negative, g_pos, g_neg = pu_quality.risk(theta, xp, xu, 0.9)
+        assert (negative < 0) == turned
+        assert np.array_equal(pu_quality.step_direction(theta, xp, xu, 0.9), -g_neg if turned else g_pos + g_neg)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.9])
+def test_prior_is_estimated(share):
+    rng = np.random.default_rng(1)
+    n = 6000
+    unl = np.concatenate([rng.normal(2, 1, int(n * share)), rng.normal(-2, 1, n - int(n * share))])
+    assert pu_quality.positive_share(rng.normal(2, 1, 3000), unl) == pytest.approx(share, abs=0.04)
+
+
 def test_feature_blocks(monkeypatch):
     text = "Ab 1!\n" * 50
     whole = pu_quality.features(text)
@@ -102,12 +162,25 @@ def test_tokenizer_cache_is_exact(spark):
     path = packing.default_tokenizer_path()
     plain, cached = Tokenizer.from_file(path), packing.WordCachedTokenizer(path, cache_words=50)
     texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).collect()]
-    texts += ["", "  ", "don't STOP... 1234!!", "ΣΑΣ İstanbul", "a<|endoftext|>b", "é é x y", "it's,; x. 'tis we'll.", "日本語 text。", "a\x1cb \x1d c\x1e\x1fd\x85e\u3000f"]
-    for t in texts:
-        assert np.frombuffer(cached.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    texts += ["", "  ", "don't STOP... 1234!!", "ΣΑΣ İstanbul", "a<|endoftext|>b", "é é x y", "it's,; x. 'tis we'll.", "日本語 text。", "a\x1cb \x1d c\x1e\x1fd\x85e\u3000f", None, "the, the; the. the", "l'été,,, x'#"]
+    texts += [" ".join(f"a{chr(c)}b {chr(c)} {chr(c).upper()}x{chr(c)}, x{chr(c)}#" for c in range(at, at + 64) if not 0xD800 <= c < 0xE000) for at in range(0, 0x3400, 64)]
+    for some in (texts, *[[t] for t in texts[:90]]):
+        ids, sizes = cached.many(pa.array(some, pa.string()))
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
 def check_packing(docs, rows, capacity):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_tokenizer_path())
+    want = Counter()
+    for r in docs:  # every piece, from the tokenizer itself
+        ids = plain.encode(r[1] or "", add_special_tokens=False).ids + [2]
+        for at in range(0, len(ids), capacity):
+            part = np.array(ids[at : at + capacity], "<u4")
+            want[r[0], at, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
     by_seq, by_doc = {}, {}
     for r in rows:
         by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -149,3 +222,24 @@ def test_pipeline(spark, odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, rows, SMALL).count()
     assert corpus_pipeline.near_duplicates(spark, odd, SMALL).filter("doc_id in (21, 22, 23)").count() == 0
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    """What each stage of the pipeline leaves, on its own input, worked out anew."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from .test_rules_lines_mix import brute_lines
+    from .test_sketch_shard_join import brute_components
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = stages["quality_classifier"](spark, docs, SMALL)
+    model = pu_quality.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    want = {i for i, t in rows if model.score(pu_quality.features(t)[None].astype(np.float64))[0] >= 0.5}
+    assert {r.doc_id for r in kept.collect()} == want
+    cleaned = stages["line_dedup"](spark, docs, SMALL).collect()
+    assert sorted((r.doc_id, r.text) for r in cleaned) == sorted(brute_lines(rows, 2)) and all(r.n_chars == len(r.text) for r in cleaned)
+    one = stages["near_duplicates"](spark, docs, SMALL).collect()
+    assert sorted(r.doc_id for r in one) == [i for i, _, c in sorted(brute_components(rows, 5, 80, 100)) if i == c]
+    mixed = stages["source_mix"](spark, docs, SMALL)
+    assert mixed.columns == docs.columns and mixed.join(docs, docs.columns, "left_anti").count() == 0

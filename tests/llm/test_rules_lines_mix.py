@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 from decimal import Decimal
@@ -46,13 +47,63 @@ def test_rules_odd_and_empty(spark, odd, empty):
     assert quality_rules.adaptive_rules(empty).count() == 0
 
 
-def test_tail_fences_come_from_the_group(spark):
-    text = lambda i, marks: " ".join([f"w{i}x{j}" for j in range(40 - marks)] + ["#"] * marks)
-    rows = [(i, text(i, 0 if i else 2), "en", "clean") for i in range(300)] + [(1000 + i, text(i, i % 3), "en", "marked") for i in range(300)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    gone = lambda **how: {r.doc_id for r in quality_rules.adaptive_rules(docs, **how).filter("not kept").collect()}
-    assert gone() == set()  # 50 per mille is below the smallest spread
-    assert gone(tail=True) == {0}
+def brute_fences(values, above):
+    """Fences of one group and metric: ``above`` are the values of its language and the table."""
+    def weights(vs, each):
+        out = Counter()
+        for v, n in Counter(map(bucket_of, vs)).items():
+            out[v] += each(n, len(vs))
+        return out
+
+    total = weights(values, lambda n, _: n * 10**6)
+    for vs in above:
+        total += weights(vs, lambda n, size: n * 50 * 10**6 // size)
+    size, upto, at = sum(total.values()), 0, {}
+    for v in sorted(total):
+        upto += total[v]
+        for p in (1, 100, 500, 900, 999):
+            if upto >= size // 1000 * p:
+                at.setdefault(p, v)
+    mid = floor_of(at[500])
+    high = floor_of((at[900] if at[900] > at[500] else at[999]) + 1) - 1
+    low = floor_of(at[100] if at[100] < at[500] else at[1])
+    return low - 3 * (mid - low), high + 3 * (high - mid)
+
+
+def bucket_of(v):
+    e = max(0, v.bit_length() - 6)
+    return v if v < 64 else 32 * e + (v >> e)
+
+
+def floor_of(b):
+    e = b // 32 - 1
+    return b if b < 64 else (b - 32 * e) << e
+
+
+def test_fences_by_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for source, n, length, marks in (("a", 400, 4, 0), ("b", 300, 9, 3), ("c", 7, 6, 1)):
+        for _ in range(n):
+            words = ["".join(rng.choice("abcXYZ") for _ in range(max(1, round(rng.gauss(length, 1))))) + str(rng.randrange(10**6)) for _ in range(40)]
+            words += ["#"] * (rng.randrange(marks + 1) if rng.random() < 0.4 else 0)
+            rows.append((len(rows), " ".join(words) + "\nx" * rng.randrange(3), "en", source))
+    rows.append((len(rows), " ".join(f"{i}" * 20 for i in range(20, 40)), "en", "a"))  # words of 40 characters
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    got = quality_rules.adaptive_rules(docs).collect()
+    ok = [r for r in got if not r.base_failed]
+    limits = {}
+    for m, two in quality_rules.METRICS.items():
+        every = [r[m] for r in ok]
+        for s in "abc":
+            low, high = limits[s, m] = brute_fences([r[m] for r in ok if r.source == s], [every, every])
+            mine = {(r[f"{m}_high"], r[f"{m}_low"] if two else low) for r in got if r.source == s}
+            assert mine == {(high, low)}
+    assert limits["a", "word_length"] != limits["b", "word_length"]  # the group decides
+    for r in got:
+        want = not r.base_failed and all(r[m] <= limits[r.source, m][1] and (not two or r[m] >= limits[r.source, m][0]) for m, two in quality_rules.METRICS.items())
+        assert r.kept == want
+    assert not [r for r in got if r.doc_id == len(rows) - 1][0].kept
 
 
 def test_sketches_merge(spark, odd):
@@ -61,7 +112,7 @@ def test_sketches_merge(spark, odd):
     assert key(quality_rules.merge_sketches(quality_rules.sketches(rows, "lang", "source"))) == key(quality_rules.sketches(rows))
 
 
-def brute_lines(rows):
+def brute_lines(rows, min_docs):
     key = lambda x: x.strip(" \t\n\r\x0b\x0c").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     big = 1 << 63
     held = defaultdict(set)
@@ -71,7 +122,7 @@ def brute_lines(rows):
     out = []
     for r in rows:
         me = big if r[0] is None else r[0]
-        out.append((r[0], "\n".join(x for x in (r[1] or "").split("\n") if not (len(key(x)) >= 10 and len(held[key(x)]) > 1 and me > min(held[key(x)])))))
+        out.append((r[0], "\n".join(x for x in (r[1] or "").split("\n") if not (len(key(x)) >= 10 and len(held[key(x)]) >= min_docs and me > min(held[key(x)])))))
     return out
 
 
@@ -79,12 +130,37 @@ def brute_lines(rows):
 def test_lines_odd(spark, odd, empty, min_docs):
     out = line_dedup.dedup_lines(odd, min_docs=min_docs)
     assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and out.filter("n_dropped < 0").count() == 0
-    if min_docs == 2:
-        flat = lambda x: sorted(map(repr, x))
-        assert flat((r.doc_id, r.text) for r in out.collect()) == flat(brute_lines(odd_rows()))
+    flat = lambda x: sorted(map(repr, x))
+    assert flat((r.doc_id, r.text) for r in out.collect()) == flat(brute_lines(odd_rows(), min_docs))
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_by_brute_force(spark):
+    """Line ends that are none, blanks of all kinds, repeated lines, ids with several texts."""
+    rng = random.Random(8)
+    ends = ["", "\x85", "\u2028", "\u2029", "\xa0", " ", "\t\r", "\x0b\x0c", "\x1c"]
+    pool = [f"{a}Some Line number {i % 7}{b}" for i, (a, b) in enumerate((a, b) for a in ends for b in ends)] + ["short", "", "  ", "just nine", "exactly 10"]
+    rows = [(rng.choice([i, i, i // 2, None]), "\n".join(rng.choice(pool) for _ in range(rng.randrange(12)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    flat = lambda x: sorted(map(repr, x))
+    for min_docs in (2, 3, 20):
+        got = line_dedup.dedup_lines(docs, min_docs=min_docs).collect()
+        assert flat((r.doc_id, r.text) for r in got) == flat(brute_lines(rows, min_docs))
+        assert sum(r.n_lines - r.n_dropped for r in got) >= sum(len(r.text.split("\n")) for r in got if r.text)
+
+
+def test_columns_may_have_any_name(spark, odd):
+    """Columns called as what the operators use inside pass through unchanged."""
+    from cuespan.llm import hilbert_sharding, jaccard_join
+
+    names = "_n _kept _h _s _u _rank _crc _before _q0 _times _cdf _source _drop_id _row _comp _gone row id h u a b pos part slice number rank n before drops lines first last times cdf rate_source from_source hash by mix slot_ sid block text_crc32 k.l".split()
+    wide = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{x}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(x) for x in names])
+    for out in (line_dedup.dedup_lines(wide), mixing.poisson_mix(wide), hilbert_sharding.hilbert_shards(wide, ["lang", "source", "n_chars"]), jaccard_join.keep_one(wide)):
+        assert set(wide.columns) <= set(out.columns)
+        for r in out.collect():
+            assert all(r[x] == f"{x}-{'?' if r['doc_id'] is None else r['doc_id']}" for x in names)
+
+
 def test_mix_means_and_repeats(spark, odd, empty):
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("source"))
     w = {"a": 1.0, "b": 1.0}
@@ -141,25 +217,82 @@ def test_poisson_steps(spark):
     assert cdf == pytest.approx(want) and 1 - cdf[-1] < 1e-12
 
 
+VERSIONS = {"words-1": None, "words-2": None}
+
+
 def test_rollup(spark, odd, empty, tmp_path):
     store = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
     assert store.totals().count() == 0
-    load = token_counts.counted(odd, "words-1")
+    rows = token_counts.measured(odd, VERSIONS)
+    load = token_counts.counted(rows, "words-1")
     assert store.commit("b1", load) and not store.commit("b1", load)
     total = lambda: {tuple(r[:3]): (r.n_docs, r.n_tokens) for r in store.totals().collect()}
     first = total()
     assert sum(n for n, _ in first.values()) == len(odd_rows())
     assert sum(n for _, n in first.values()) == sum(len((r[1] or "").split()) for r in odd_rows())
-    store.commit("b2", token_counts.recounted(odd.filter("lang = 'en'"), "words-1", "words-2"))
-    store.compact()
+    store.commit("b2", token_counts.recounted(rows.filter("lang = 'en'"), "words-1", "words-2"))
+    assert store.compact()
     assert not store.commit("b1", load)
     assert {k[2] for k in total() if k[1] == "en"} == {"words-2"}
-    store.commit("b3", token_counts.recounted(odd.filter("lang = 'en'"), "words-2", "words-1"))
+    store.commit("b3", token_counts.recounted(rows.filter("lang = 'en'"), "words-2", "words-1"))
     assert total() == first
     # a half-written batch has no marker and does not count
-    (tmp_path / "r" / "batches" / "b4").mkdir()
-    assert total() == first and store.commit("b4", token_counts.counted(empty, "words-1"))
-    with pytest.raises(ValueError):
-        store.commit("a/b", load)
+    token_counts.signed_deltas(load).write.parquet(f"file://{tmp_path}/r/attempts/half")
+    assert total() == first and store.commit("b4", token_counts.counted(token_counts.measured(empty, VERSIONS), "words-1"))
+    store.vacuum()
+    assert total() == first and not (tmp_path / "r" / "attempts" / "half").exists() and not store.commit("b2", load)
+    for name in ("a/b", "", ".x", "_x", "a\tb"):
+        with pytest.raises(ValueError):
+            store.commit(name, load)
     with pytest.raises(Exception, match="unknown change"):
         token_counts.signed_deltas(load.withColumn("op", F.lit("odd"))).collect()
+
+
+def test_rollup_of_drivers_at_once(spark, odd, tmp_path):
+    """Two attempts of a batch, and a commit during a compaction, count once."""
+    one, two = (token_counts.TokenRollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    load = token_counts.counted(token_counts.measured(odd, VERSIONS), "words-1")
+    plain = one._claim
+
+    def late(folder, name, attempt):
+        one._claim = plain
+        assert two.commit(name, load)
+        return plain(folder, name, attempt)
+
+    one._claim = late
+    assert not one.commit("b1", load)  # the other was faster
+    docs = lambda: sum(r.n_docs for r in one.totals().collect())
+    assert docs() == len(odd_rows())
+
+    def meanwhile(folder, name, attempt):
+        one._claim = plain
+        assert two.commit("b2", load)
+        return plain(folder, name, attempt)
+
+    one._claim = meanwhile
+    assert one.compact() and docs() == 2 * len(odd_rows())  # b2 is not in the snapshot, and counts once
+    assert one.compact() and docs() == 2 * len(odd_rows())
+    one.vacuum()
+    assert docs() == 2 * len(odd_rows())
+
+
+@pytest.mark.parametrize("end", ["", "\x85", "\u2028", "\u2029", "\x1c", " ", "\x0b"])
+def test_words_are_runs_of_anything_but_ascii_space(spark, end):
+    text = f" one two#{end} \t three{end}"
+    got = spark.createDataFrame([(text,)], "t string").select(token_counts.words_v1(F.col("t")).alias("a"), token_counts.words_v2(F.col("t")).alias("b")).first()
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    assert got.a == len(words) and got.b == len(re.findall(r"[^\x20\x09-\x0D]+", text.replace("#", " "))) + 1
+
+
+def test_versions_may_be_vocabularies(spark, odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    files = {"bytes": "byte_bpe_50k.json", "words": "word_bpe_49k.json"}
+    rows = token_counts.measured(odd, {"words-1": None} | {k: public_tokenizers.path(f) for k, f in files.items()}).collect()
+    texts = sorted((r[1] or "") for r in odd_rows())
+    for k, f in files.items():
+        plain = Tokenizer.from_file(public_tokenizers.path(f))
+        plain.encode_special_tokens = True
+        assert sorted(r.tokens[k] for r in rows) == sorted(len(plain.encode(t, add_special_tokens=False).ids) for t in texts)
+    assert all(set(r.tokens) == {"words-1", *files} for r in rows)

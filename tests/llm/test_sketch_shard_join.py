@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cuespan.llm import components, hilbert_sharding, jaccard_join, scaled_sketch
@@ -134,42 +135,64 @@ def test_components_in_any_number_of_tasks(spark, edges_a_task):
     assert got == set(components.spanning_stars(pairs))
 
 
-def test_sketch_by_brute_force(spark, odd, empty):
-    rows = [r for r in odd_rows() if r[0] is not None and r[0] != 9]
-    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in scaled_sketch.edited_pairs(docs).withColumn("near", scaled_sketch.jaccard(F.col("sketch"), F.col("edited_sketch"))).withColumn("inside", scaled_sketch.containment(F.col("sketch"), F.col("edited_sketch"))).collect()}
+def brute_sketch(text):
+    """Every shingle's hash below half of 2^48: words folded into a 64-bit hash, low 48 bits."""
+    out = set()
+    for words in shingles(text, 5):
+        h = 42
+        for w in words:
+            h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), h)
+        out.add(h & (1 << 48) - 1)
+    return sorted(h for h in out if h < 1 << 47)
+
+
+def alike(x, y):
+    return len(set(x) & set(y)) / len(set(x) | set(y)) if set(x) | set(y) else 1.0
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_sketch_by_brute_force(spark, parts):
+    """The query's rows, exactly: next document, edited text, fingerprints and likenesses."""
+    rows = [(r[0], r[1]) for r in odd_rows() if r[0] is not None and r[0] != 9] + [(-5, "a text " * 40), (10**12, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    pairs = scaled_sketch.edited_pairs(docs)
+    print_ = scaled_sketch.fingerprint
+    got = {r.doc_id: r for r in pairs.select("*", print_(F.col("sketch")).alias("fp"), print_(F.col("edited_sketch")).alias("efp"), scaled_sketch.jaccard(F.col("sketch"), F.col("edited_sketch")).alias("near"), scaled_sketch.jaccard(F.col("sketch"), F.col("next_sketch")).alias("near_next"), scaled_sketch.containment(F.col("sketch"), F.col("edited_sketch")).alias("inside")).collect()}
     order = sorted(rows, key=lambda r: -r[0])
+    assert len(got) == len(rows)
     for i, r in enumerate(order):
         a, b = r[1] or "", order[(i + 1) % len(order)][1] or ""
         cut = len(a) // 3
-        e = a[: len(a) - cut] + b[:cut]
-        assert got[r[0]].edited == e and got[r[0]].n_chars == len(a)
-        x, y = shingles(a, 5), shingles(e, 5)
-        if len(x) <= 32 and len(y) <= 32:  # kept whole
-            assert got[r[0]].near == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
-        else:
-            assert abs(got[r[0]].near - len(x & y) / len(x | y)) < 0.25
-            assert abs(got[r[0]].inside - len(x & y) / len(x)) < 0.25
-    assert scaled_sketch.edited_pairs(odd).count() == len(odd_rows())
+        e, g = a[: len(a) - cut] + b[:cut], got[r[0]]
+        x, y, z = brute_sketch(a), brute_sketch(e), brute_sketch(b)
+        assert g.edited == e and g.n_chars == len(a)
+        assert g.fp == "".join(f"{h:012X}" for h in x) and g.efp == "".join(f"{h:012X}" for h in y)
+        assert g.near == alike(x, y) and g.near_next == alike(x, z)
+        assert g.inside == (len(set(x) & set(y)) / len(x) if x else 1.0)
+
+
+def test_sketch_odd_and_empty(spark, odd, empty):
+    out = scaled_sketch.edited_pairs(odd).collect()
+    assert len(out) == len(odd_rows()) and [r.doc_id for r in out].count(None) == 1
+    assert len({(r.edited, r.n_chars) for r in out if r.doc_id == 9}) == 1  # equal rows are treated alike
     assert scaled_sketch.edited_pairs(empty).count() == 0
     one = scaled_sketch.edited_pairs(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert one.edited == "abcdab"
 
 
-def test_next_in_buckets(spark):
-    ids = list(range(0, 4000, 3))
-    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.next_text for r in scaled_sketch.with_next(docs, ["text"], rows_a_bucket=50).collect()}
-    assert got == {i: f"t{ids[k - 1]}" for k, i in enumerate(ids)}
+def test_sketch_estimates_containment_of_unequal_texts(spark):
+    words = [f"w{i}" for i in range(6000)]
+    one = spark.createDataFrame([(" ".join(words[2000:2400] + [f"x{i}" for i in range(400)]), " ".join(words))], "a string, b string")
+    r = one.select(scaled_sketch.containment(scaled_sketch.sketch(F.col("a")), scaled_sketch.sketch(F.col("b"))).alias("c")).first()
+    assert r.c == pytest.approx(396 / 796, abs=0.08)
 
 
 def test_sketch_merges(spark):
     a, b = " ".join(f"a{i}" for i in range(300)), " ".join(f"b{i}" for i in range(40))
     one = spark.createDataFrame([(a, b)], "a string, b string")
     s = lambda c: scaled_sketch.sketch(F.col(c))
-    r = one.select(scaled_sketch.merge(s("a"), s("b")).alias("m"), s("a").alias("x"), s("b").alias("y")).first()
-    limit = 1 << 46
-    assert [h for h in r.m if h < limit] == sorted(h for h in {*r.x, *r.y} if h < limit)
+    r = one.select(scaled_sketch.merge(s("a"), s("b")).alias("m")).first()
+    assert r.m == sorted({*brute_sketch(a), *brute_sketch(b)})
 
 
 def test_hilbert_curve(spark):
@@ -191,6 +214,37 @@ def test_shards_odd(spark, odd, empty, target):
     assert hilbert_sharding.hilbert_shards(empty, ["lang", "source", "n_chars"]).count() == 0
 
 
+def test_shards_follow_the_curve_and_prune(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["de", "en", "en", "fr", None]), f"https://a.very.long.prefix.of/{rng.choice('aabbbcdefgh')}", rng.randrange(1000)) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long").repartition(4)
+    got = hilbert_sharding.hilbert_shards(docs, ["lang", "source", "n_chars"], n_shards=12, target_buckets=64).collect()
+
+    def cells(values, cuts):
+        return {v: 0 if v is None else sum(v > c for c in cuts) for v in values}
+
+    langs, sources = cells({r[1] for r in rows}, hilbert_sharding.value_cuts(docs, "lang", 16)), cells({r[2] for r in rows}, hilbert_sharding.value_cuts(docs, "source", 16))
+    assert len(set(sources.values())) == 8  # whole values, not their first bytes
+    for dim, at in (("lang", langs), ("source", sources)):  # equal depth: no cut is left out that could be made
+        vals = sorted(r[dim] for r in got if r[dim] is not None)
+        assert set(hilbert_sharding.value_cuts(docs, dim, 16)) == {vals[-(-k * len(vals) // 16) - 1] for k in range(1, 16)} - {vals[-1]}
+        assert at
+    sizes = dict(tuple(r) for r in docs.select("n_chars", hilbert_sharding.quantised(docs, ["n_chars"])[0]).collect())
+    assert [sizes[v] for v in sorted(sizes)] == sorted(sizes.values()) and max(abs(n - 75) for n in Counter(sizes[r[3]] for r in rows).values()) <= 8
+    curve = {tuple(r[:3]): r.h for r in spark.range(4096).select((F.col("id") % 16).alias("x"), (F.floor(F.col("id") / 16) % 16).alias("y"), F.floor(F.col("id") / 256).alias("z")).select("x", "y", "z", hilbert_sharding.hilbert_index([F.col("x"), F.col("y"), F.col("z")]).alias("h")).collect()}
+    at = [curve[langs[r.lang], sources[r.source], sizes[r.n_chars]] for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert at == sorted(at)  # shards are runs of the curve
+    spans = [sorted(r.n_chars for r in got if r.shard == s) for s in range(12)]
+    assert sum(x[0] <= 500 <= x[-1] for x in spans) < 12  # a file's least and largest value rule it out
+
+
+def test_shards_of_one_repeated_row(spark):
+    docs = spark.range(20000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    out = hilbert_sharding.hilbert_shards(docs, ["lang", "source", "doc_id"], target_buckets=16)
+    got = out.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert len(got) == 24 and all(r.n == r.d == r.m + 1 and r.n in (833, 834) for r in got)
+
+
 def test_shards_on_table(spark, tmp_path):
     got = hilbert_sharding.op8_hilbert_sharding(spark, SMALL)
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
