@@ -2,63 +2,104 @@
 
 A batch of changes (insert, delete, revise) becomes signed additive rows by source,
 language and tokenizer version; the totals are the sum over committed batches and are
-never recounted. A batch is one folder named by its id, and counts as committed from the
-moment the job's ``_SUCCESS`` file is there: a batch that is sent again, or again after a
-half-written attempt, changes the totals exactly once. ``compact`` folds old batches into
-one snapshot folder that lists the ids it holds, so replays stay without effect.
+never recounted. Texts are read once, by ``measured``; batches are made of its narrow rows.
+
+A batch is written to a folder of its own attempt and counts from the moment its marker is
+renamed to ``batches/<id>``, which no second attempt can do: a batch that is sent again,
+or by two drivers at once, or again after a half-written attempt, changes the totals
+exactly once. ``compact`` folds the batches of one listing into a snapshot that names the
+ids it holds, so replays stay without effect; ``vacuum`` removes what no reader needs.
 
 Only the Hadoop file system of the session is used: the store lives wherever Spark reads.
+The rename is as atomic as that file system's; on a store without it, one driver commits.
 
 Defined edge cases: a null text has 0 tokens; null sources and languages are keys of
 their own; repeated rows count each time; an empty batch commits and changes nothing; a
 revise with an unknown old version just takes its old count off that version; keys whose
-documents and tokens are both zero are left out of the totals.
+documents and tokens are both zero are left out of the totals; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD_GAP, scratch_path, table
+from ._common import materialize, scratch_path, table
 
 KEYS = ("source", "lang", "tokenizer_version")
-CHANGE = "op string, doc_id long, source string, lang string, tokenizer_version string, n_tokens long, old_tokenizer_version string, old_n_tokens long"
 DELTA = "source string, lang string, tokenizer_version string, d_docs long, d_tokens long"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+WORD = r"[^\x20\x09-\x0D]+"
+BATCH_TEXTS = 256
 
 
 def words_v1(text: Column) -> Column:
     """Tokenizer version ``words-1``: runs of anything but ASCII white space."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WORD_GAP}|{WORD_GAP}$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, WORD_GAP))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def words_v2(text: Column) -> Column:
     """Tokenizer version ``words-2``: as ``words-1``, and each ASCII mark is a token too."""
     t = F.coalesce(text, F.lit(""))
-    marks = r"[!-/:-@\[-`{-~]"
-    apart = F.regexp_replace(t, marks, " ")
-    return (words_v1(apart) + F.length(t) - F.length(F.regexp_replace(t, marks, ""))).cast("long")
+    return (words_v1(F.translate(t, MARKS, " " * len(MARKS))) + F.length(t) - F.length(F.translate(t, MARKS, ""))).cast("long")
 
 
 TOKENIZERS = {"words-1": words_v1, "words-2": words_v2}
 
 
-def counted(docs: DataFrame, version: str, op: str = "insert") -> DataFrame:
-    """Change rows that insert (or delete) ``docs`` under a tokenizer version."""
-    return docs.select(
-        F.lit(op).alias("op"), F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.lit(version).alias("tokenizer_version"),
-        TOKENIZERS[version](F.col("text")).alias("n_tokens"), F.lit(None).cast("string").alias("old_tokenizer_version"), F.lit(None).cast("long").alias("old_n_tokens"),
+def _vocabulary_counts(rows: DataFrame, path: str, to: str) -> DataFrame:
+    """``rows`` with the number of ids that the tokenizer file at ``path`` gives each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        encoder = Tokenizer.from_file(path)
+        encoder.encode_special_tokens = True  # their strings in a text are ordinary text
+        for b in batches:
+            for at in range(0, b.num_rows, BATCH_TEXTS):
+                part = b.slice(at, BATCH_TEXTS)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                counts = [len(e.ids) for e in encoder.encode_batch_fast(texts, add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64())], names=[*part.schema.names, to])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{fields}, {to} long")
+
+
+def measured(docs: DataFrame, versions: dict[str, str | None]) -> DataFrame:
+    """doc_id, source, lang and ``tokens``, a map from tokenizer version to count.
+
+    ``versions`` names each version's tokenizer file, or None for one of TOKENIZERS."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
+    counts: dict[str, Column] = {}
+    for k, (version, path) in enumerate(versions.items()):
+        if path is None:
+            counts[version] = TOKENIZERS[version](F.col("text"))
+        else:
+            rows = _vocabulary_counts(rows, path, f"n{k}")
+            counts[version] = F.col(f"n{k}")
+    return rows.select("doc_id", "source", "lang", F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), n)]).alias("tokens"))
+
+
+def counted(rows: DataFrame, version: str, op: str = "insert") -> DataFrame:
+    """Change rows that insert (or delete) measured ``rows`` under a tokenizer version."""
+    return rows.select(
+        F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("tokenizer_version"),
+        F.col("tokens")[version].alias("n_tokens"), F.lit(None).cast("string").alias("old_tokenizer_version"), F.lit(None).cast("long").alias("old_n_tokens"),
     )
 
 
-def recounted(docs: DataFrame, old: str, new: str) -> DataFrame:
-    """Change rows that take ``docs`` from one tokenizer version to another."""
-    return docs.select(
-        F.lit("revise").alias("op"), F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.lit(new).alias("tokenizer_version"),
-        TOKENIZERS[new](F.col("text")).alias("n_tokens"), F.lit(old).alias("old_tokenizer_version"), TOKENIZERS[old](F.col("text")).alias("old_n_tokens"),
+def recounted(rows: DataFrame, old: str, new: str) -> DataFrame:
+    """Change rows that take measured ``rows`` from one tokenizer version to another."""
+    return rows.select(
+        F.lit("revise").alias("op"), "doc_id", "source", "lang", F.lit(new).alias("tokenizer_version"),
+        F.col("tokens")[new].alias("n_tokens"), F.lit(old).alias("old_tokenizer_version"), F.col("tokens")[old].alias("old_n_tokens"),
     )
 
 
@@ -77,7 +118,8 @@ def signed_deltas(changes: DataFrame) -> DataFrame:
 
 
 class TokenRollup:
-    """The store of committed batches below one folder."""
+    """The store of committed batches below one folder: ``attempts/<name>`` has data, and
+    the marker files ``batches/<id>`` and ``snapshots/<number>`` say which attempt counts."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -86,75 +128,119 @@ class TokenRollup:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _exists(self, path: str) -> bool:
-        p, fs = self._fs(path)
-        return fs.exists(p)
-
-    def _children(self, folder: str) -> list[str]:
+    def _names(self, folder: str) -> list[str]:
         p, fs = self._fs(f"{self.path}/{folder}")
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-
-    def _done(self, folder: str) -> list[str]:
-        return [f"{self.path}/{folder}/{x}" for x in self._children(folder) if self._exists(f"{self.path}/{folder}/{x}/_SUCCESS")]
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if not s.getPath().getName().startswith(".")) if fs.exists(p) else []
+
+    def _marked(self, folder: str) -> dict[str, str]:
+        """Name of each marker and the attempt it stands for."""
+        if not self._names(folder):
+            return {}
+        lines = self.spark.read.text(f"{self.path}/{folder}").collect()  # a line a batch, not a document
+        return dict(r.value.split("\t") for r in lines)
+
+    def _claim(self, folder: str, name: str, attempt: str) -> bool:
+        """Make ``attempt`` what ``folder/name`` stands for; False if that is taken."""
+        draft, fs = self._fs(f"{self.path}/attempts/{attempt}.marker")
+        out = fs.create(draft, True)
+        out.write(bytearray(f"{name}\t{attempt}\n".encode()))
+        out.close()
+        to, _ = self._fs(f"{self.path}/{folder}/{name}")
+        fs.mkdirs(to.getParent())
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(draft, to, none)  # without overwriting
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in str(e.java_exception):
+                raise
+            fs.delete(draft, False)
+            return False
+        return True
 
     def _snapshot(self) -> tuple[str | None, set[str]]:
-        done = self._done("snapshots")
-        if not done:
+        marks = self._marked("snapshots")
+        if not marks:
             return None, set()
-        held = self.spark.read.schema("batch_id string").parquet(f"{done[-1]}/ids")
-        return done[-1], {r.batch_id for r in held.collect()}  # ids of batches, not of documents
+        last = f"{self.path}/attempts/{marks[max(marks)]}"
+        held = self.spark.read.schema("batch_id string").parquet(f"{last}/ids")
+        return last, {r.batch_id for r in held.collect()}  # ids of batches, not of documents
 
     def is_committed(self, batch_id: str) -> bool:
-        return batch_id in self._snapshot()[1] or self._exists(f"{self.path}/batches/{batch_id}/_SUCCESS")
+        p, fs = self._fs(f"{self.path}/batches/{batch_id}")
+        return bool(fs.exists(p))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch once. False, and no effect, if it was committed before."""
-        if not batch_id or "/" in batch_id:
-            raise ValueError("a batch id is a non-empty name without '/'")
+        if not batch_id or batch_id[0] in "._" or set(batch_id) & set("/\t\n"):
+            raise ValueError("a batch id is a name without '/', tab or line end, and begins with neither '.' nor '_'")
         if self.is_committed(batch_id):
             return False
-        # overwrite: what an attempt that died left behind does not count
-        signed_deltas(changes).write.mode("overwrite").parquet(f"{self.path}/batches/{batch_id}")
-        return True
-
-    def _live(self) -> tuple[list[str], str | None, set[str]]:
+        attempt = uuid.uuid4().hex
+        signed_deltas(changes).write.parquet(f"{self.path}/attempts/{attempt}")
+        if self._claim("batches", batch_id, attempt):
+            return True
+        self._remove(attempt)
+        return False
+
+    def _remove(self, attempt: str) -> None:
+        p, fs = self._fs(f"{self.path}/attempts/{attempt}")
+        fs.delete(p, True)
+
+    def _view(self) -> tuple[DataFrame, set[str]]:
+        """Additive rows and the ids of the batches in them, of one and the same listing:
+        the snapshot comes first, and what is committed later is not in it."""
         snap, held = self._snapshot()
-        return [p for p in self._done("batches") if p.rsplit("/", 1)[1] not in held], snap, held
+        marks = self._marked("batches")
+        paths = [f"{self.path}/attempts/{a}" for b, a in marks.items() if b not in held] + ([f"{snap}/totals"] if snap else [])
+        parts = [self.spark.read.schema(DELTA).parquet(*paths)] if paths else []
+        return functools.reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], DELTA), held | set(marks)
 
     def deltas(self) -> DataFrame:
-        paths, snap, _ = self._live()
-        parts = [self.spark.read.schema(DELTA).parquet(*paths)] if paths else []
-        parts += [self.spark.read.schema(DELTA).parquet(f"{snap}/totals")] if snap else []
-        return functools.reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], DELTA)
+        return self._view()[0]
 
     def totals(self) -> DataFrame:
         out = self.deltas().groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
         return out.filter("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self) -> None:
-        """Fold all committed batches into a new snapshot; a marker makes it count."""
-        paths, _, held = self._live()
-        ids = held | {p.rsplit("/", 1)[1] for p in paths}
-        to = f"{self.path}/snapshots/{len(self._children('snapshots')):012d}"
-        total = self.deltas().groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-        total.write.mode("overwrite").parquet(f"{to}/totals")
-        self.spark.createDataFrame([(x,) for x in sorted(ids)], "batch_id string").coalesce(1).write.mode("overwrite").parquet(f"{to}/ids")
-        p, fs = self._fs(f"{to}/_SUCCESS")
-        fs.create(p, True).close()
+    def compact(self) -> bool:
+        """Fold the committed batches into a new snapshot; False if another was faster."""
+        number = f"{len(self._names('snapshots')):012d}"
+        rows, ids = self._view()
+        attempt = uuid.uuid4().hex
+        to = f"{self.path}/attempts/{attempt}"
+        rows.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).write.parquet(f"{to}/totals")
+        self.spark.createDataFrame([(x,) for x in sorted(ids)], "batch_id string").coalesce(1).write.parquet(f"{to}/ids")
+        if self._claim("snapshots", number, attempt):
+            return True
+        self._remove(attempt)
+        return False
+
+    def vacuum(self) -> None:
+        """Remove the data of folded batches, old snapshots and attempts without a marker.
+        To be called while no reader and no writer is at work; markers stay."""
+        snap, held = self._snapshot()
+        marks = self._marked("batches")
+        used = {a for b, a in marks.items() if b not in held} | ({snap.rsplit("/", 1)[1]} if snap else set())
+        for name in self._names("attempts"):
+            if name not in used:
+                self._remove(name)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches, two of them sent twice: all documents arrive; those
     labelled toxic go; what is left in English is counted anew by the next tokenizer."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = table(spark, sf_dir, "documents")
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    rows = materialize(measured(docs, {"words-1": None, "words-2": None}), "token-counts")
     store = TokenRollup(spark, scratch_path(spark, "token-rollup"))
-    store.commit("0001-load", counted(docs, "words-1"))
-    store.commit("0001-load", counted(docs, "words-1"))
-    store.commit("0002-toxic", counted(docs.join(toxic, "doc_id", "left_semi"), "words-1", "delete"))
+    store.commit("0001-load", counted(rows, "words-1"))
+    store.commit("0001-load", counted(rows, "words-1"))
+    store.commit("0002-toxic", counted(rows.join(toxic, "doc_id", "left_semi"), "words-1", "delete"))
     store.compact()
-    store.commit("0003-english", recounted(docs.filter("lang = 'en'").join(toxic, "doc_id", "left_anti"), "words-1", "words-2"))
-    store.commit("0002-toxic", counted(docs, "words-1", "delete"))
+    store.commit("0003-english", recounted(rows.filter("lang = 'en'").join(toxic, "doc_id", "left_anti"), "words-1", "words-2"))
+    store.commit("0002-toxic", counted(rows, "words-1", "delete"))
     return store.totals()
 
 
