@@ -19,11 +19,14 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +36,9 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_DOCS = 4096
 CACHE_WORDS = 1_000_000
-AS_IS = ("<|", "Σ", "İ", "\x1c", "\x1d", "\x1e", "\x1f")
+CHUNK_BYTES = 1 << 23
+#: Marks after a run of letters are a unit of the vocabulary's rules; "'" may begin another.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -44,13 +49,13 @@ def default_tokenizer_path() -> str:
 
 
 class WordCachedTokenizer:
-    """Token ids of a text as little-endian unsigned 32-bit bytes.
+    """Token ids of texts as little-endian unsigned 32-bit numbers.
 
-    The vocabulary's rules never join characters across white space, so a text's ids are
-    those of its words, and each word is encoded once for a worker. Words are cached in
-    lower case: the tokenizer's own lower-casing goes character by character, as Python's
-    does but for two letters, whose texts are encoded as they are; so are those with one of
-    the four separators that are white space to Python but a token to the vocabulary."""
+    The vocabulary's rules drop white space and never join characters across it, so a text's
+    ids are those of its runs of anything but ASCII white space, and each such word is
+    encoded once for a worker. Known words are an Arrow array, searched for all words of many
+    texts at once; their ids lie in one array, from which those of the texts are gathered.
+    Beyond ``cache_words`` words all are forgotten."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
@@ -60,68 +65,123 @@ class WordCachedTokenizer:
         self.ends = np.zeros(self.encoder.get_vocab_size(), bool)
         for token, i in self.encoder.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.cache: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        if any(x in text for x in AS_IS):
-            return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, cache = text.lower().split(), self.cache
-        new = {w for w in words if w not in cache}
-        if new:
-            if len(cache) + 2 * len(new) > self.limit:
-                cache.clear()
-                new = set(words)
-            self._learn(new)
-        return b"".join([cache[w] for w in words])
-
-    def _learn(self, new: set[str]) -> None:
-        """Cache the ids of words. A run of letters is a unit of the tokenizer's own rules,
-        and so is one mark after it; units of letters are encoded many at a time and parted
-        after ids that end a unit."""
-        cache, marks = self.cache, {w for w in new if w[-1] in ".,;:" and w[:-1].isalpha()}
-        letters = [w for w in {*new, *(w[:-1] for w in marks)} if w.isalpha() and w not in cache]
-        others = [w for w in {*new, *(w[-1] for w in marks)} if w not in cache and w not in marks and not w.isalpha()]
-        groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
-        for words, e in zip(groups, self.encoder.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(words):  # not parted as expected: each on its own
-                others += words
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([""])  # what lies between two white spaces has no ids
+        self.flat, self.size, self.start = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    @staticmethod
+    def _gather(at: np.ndarray, ids: np.ndarray, size: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words, one after another, and how many each has."""
+        sizes = size[at]
+        ends = np.cumsum(sizes)
+        return ids[np.repeat(start[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def _encoded(self, words: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many each has; words of letters may be
+        ``joined``: encoded many at a time, and parted after ids that end one."""
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)] if joined else [[w] for w in words]
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for group, e in zip(groups, self.encoder.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            x = np.array(e.ids, "<u4")
+            n = np.array([len(x)])
+            if len(group) > 1:
+                cut = np.flatnonzero(self.ends[x]) + 1
+                n = np.diff(cut, prepend=0)
+                if len(cut) != len(group) or cut[-1] != len(x):  # not parted as expected: each on its own
+                    x, n = self._encoded(group, False)
+            ids.append(x)
+            sizes.append(n)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, words: list[str]) -> pa.Array:
+        """Encode new words; they are returned in the order in which they became known.
+
+        Letters, and marks after them, are units of the vocabulary's rules."""
+        letters, tails, others = [], [], []
+        for w in words:
+            if w.isalpha():
+                letters.append(w)
                 continue
-            raw, at = ids.tobytes(), 0
-            for w, to in zip(words, cut.tolist(), strict=True):
-                cache[w], at = raw[4 * at : 4 * to], to
-        for w, e in zip(others, self.encoder.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-        for w in marks:
-            cache[w] = cache[w[:-1]] + cache[w[-1]]
+            stem = w.rstrip(MARKS)
+            # some letters become a letter and a mark, which goes with those after it
+            if stem != w and stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):
+                tails.append((w, stem, w[len(stem) :]))
+            else:
+                others.append(w)
+        units = {w: i for i, w in enumerate(dict.fromkeys([*letters, *(t[1] for t in tails)]))}
+        marks = {w: i + len(units) for i, w in enumerate(dict.fromkeys(t[2] for t in tails))}
+        (x, n), (y, m) = self._encoded(list(units), True), self._encoded([*marks, *others], False)
+        ids, size = np.concatenate([x, y]), np.concatenate([n, m])
+        start = np.cumsum(size) - size
+        both, parts = self._gather(np.array([i for t in tails for i in (units[t[1]], marks[t[2]])], np.int64), ids, size, start)
+        at = np.concatenate([np.arange(len(letters)), np.arange(len(units) + len(marks), len(size))])
+        alone, n_alone = self._gather(at, ids, size, start)
+        found = pa.array([*letters, *others, *(t[0] for t in tails)], pa.string())
+        self.known = pa.concat_arrays([self.known, found])
+        self.flat = np.concatenate([self.flat, alone, both])
+        self.size = np.concatenate([self.size, n_alone, parts.reshape(-1, 2).sum(axis=1)])
+        self.start = np.cumsum(self.size) - self.size
+        return found
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after another, and how many each has."""
+        if len(self.known) > self.limit:
+            self._forget()
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        flat, before = words.flatten(), len(self.known)
+        at = pc.index_in(flat, value_set=self.known)
+        gaps = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
+        at = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        if len(gaps):
+            missing = flat.take(pa.array(gaps))
+            at[gaps] = before + pc.index_in(missing, value_set=self._learn(missing.unique().to_pylist())).to_numpy()
+        ids, sizes = self._gather(at, self.flat, self.size, self.start)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])]
+        return ids, np.diff(ends)
 
 
 _TOKENIZERS: dict[str, WordCachedTokenizer] = {}
 
 
+def _chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` bytes, at least one text each."""
+    held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    first = 0
+    while first < len(held):
+        before = held[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(held, before + most, "right")))
+        yield first, last
+        first = last
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids; ``ids`` itself is kept on request."""
-    end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = WordCachedTokenizer(path)
-        encode = _TOKENIZERS[path].ids
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"].tolist(), b["text"], strict=True):
-                ids = (encode(text) if text else b"") + end
-                total = len(ids) // 4
-                for at in range(0, total, capacity):
-                    part = ids[4 * at : 4 * (at + capacity)]
-                    row = (doc_id, at, len(part) // 4, zlib.crc32(part), total)
-                    rows.append((*row, part) if with_ids else row)
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
-
-    # null ids travel as a number: pandas would make floats of a column with nulls
+            names, texts = b.column(0).to_numpy(), b.column(1)
+            for first, last in _chunks(texts):
+                ids, sizes = _TOKENIZERS[path].many(texts.slice(first, last - first))
+                ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4", copy=False)  # the closing id after each text
+                sizes = sizes + 1
+                n = -(-sizes // capacity)
+                which = np.repeat(np.arange(len(sizes)), n)
+                start = (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)) * capacity
+                length = np.minimum(sizes[which] - start, capacity)
+                begin = (np.cumsum(sizes) - sizes)[which] + start
+                raw = memoryview(ids).cast("B")
+                parts = [raw[4 * a : 4 * z] for a, z in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+                columns = [names[first:last][which], start, length, np.array([zlib.crc32(x) for x in parts], np.int64), sizes[which]]
+                arrays = [pa.array(x, pa.int64()) for x in columns] + [pa.array([bytes(x) for x in parts], pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids)
+
+    # null ids travel as a number: numpy would make floats of a column with nulls
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    return rows.mapInPandas(run, PIECES + ", ids binary" * with_ids)
+    return rows.mapInArrow(run, PIECES + ", ids binary" * with_ids)
 
 
 def fill_window(counts: dict[int, int], capacity: int) -> dict[int, int]:
