@@ -19,8 +19,11 @@ How it is spread out, without cross joins, pairs inside groups, or sampled count
    frequent already inside one batch of input is kept out of the shuffle (it is counted
    there, and ordered last), so no hot list reaches one task.
 3. Lists are joined to stars around their smallest class, whose connected components hold
-   every possible link. Components are dealt into blocks of bounded size; one too large
-   for a block is cut into chunks, and each pair of chunks is a block.
+   every possible link. Hot lists are nodes of that graph themselves: a task contracts the
+   ones of the classes it reads to a spanning forest, so that a group of near copies costs
+   about one edge a class, whatever the number of hashes that all of them have.
+   Components are dealt into blocks of bounded size; one too large for a block is cut into
+   chunks, and each pair of chunks is a block.
 4. Inside a block the T-occurrence search runs over the full sets. Two classes already
    connected are not searched again: the result is components, not all pairs.
    ``link_counts`` searches these as well, and counts every link.
@@ -47,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._common import NO_ID, materialize, table
-from .components import connected_components
+from .components import connected_components, spanning_stars
 
 SHINGLE = 4
 NUM, DEN = 85, 100
@@ -133,6 +136,7 @@ def link_block(sets: list[np.ndarray], num: int = NUM, den: int = DEN, every: bo
     rank = np.empty(len(doc), np.int64)  # how many smaller documents are in the list
     rank[by] = np.arange(len(doc)) - start[token[by]]
     first = np.concatenate([[0], np.cumsum(size)])
+    entry = token[by] * n_docs + posting  # all lists, each sorted, one after another
     label, links = np.arange(n_docs), []
     for q in range(n_docs):
         mine, before = token[first[q] : first[q + 1]], rank[first[q] : first[q + 1]]
@@ -153,9 +157,9 @@ def link_block(sets: list[np.ndarray], num: int = NUM, den: int = DEN, every: bo
             found = None
             for r, count in merge_skip(lists, t - n_long):
                 seen = r
-                theirs = token[first[r] : first[r + 1]]
-                at = np.searchsorted(theirs, long_tokens)
-                both = count + int(np.count_nonzero(theirs[np.minimum(at, len(theirs) - 1)] == long_tokens))
+                wanted = long_tokens * n_docs + r  # binary probes of the long lists
+                at = np.searchsorted(entry, wanted)
+                both = count + int(np.count_nonzero(entry[np.minimum(at, len(entry) - 1)] == wanted))
                 if den * both >= num * (int(size[q] + size[r]) - both):
                     if every:
                         links.append((order[q], order[r]))
@@ -231,7 +235,8 @@ def packed_windows(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def short_lists(rows: DataFrame, num: int = NUM, den: int = DEN, local_hot: int = LOCAL_HOT) -> DataFrame:
-    """(token, sid): the rarest window hashes of each class that can have a partner."""
+    """(sid, rare, hot): the rarest window hashes of each class that can have a partner, and
+    which of them are in more than ``local_hot`` classes."""
     total = rows.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-total // BUCKET_TOKENS))
     each = packed_windows(rows, buckets).repartitionById(buckets, F.col("bucket")).select("bucket", "is_hot", F.inline(F.arrays_zip("tokens", "xs")))
@@ -241,24 +246,56 @@ def short_lists(rows: DataFrame, num: int = NUM, den: int = DEN, local_hot: int
     # hashes of one class only can't join anything (hot ones are never alone)
     shared = seen.filter(F.col("sid").isNotNull() & ((F.col("lo") < F.col("hi")) | (F.col("df") > local_hot)))
     rank = F.when(F.col("df") > local_hot, F.lit(_HOT_RANK)).otherwise(F.col("df"))
-    first = rows.filter("sid is not null and (tokens is not null or hot is not null)")
-    hot = first.filter("hot is not null").select("sid", F.lit(_HOT_RANK).alias("rank"), F.explode("hot").alias("token"))
-    tokens = shared.select("sid", F.lit(None).cast("long").alias("n"), rank.alias("rank"), "token").unionByName(hot, allowMissingColumns=True)
-    back = tokens.unionByName(first.select("sid", F.col("n").cast("long").alias("n")), allowMissingColumns=True)
+    first = rows.filter("sid is not null and (tokens is not null or hot is not null)").select("sid", F.col("n").cast("long").alias("n"), "hot")
+    back = shared.select("sid", rank.alias("rank"), "token").unionByName(first, allowMissingColumns=True)
+    # a class has a row for each task that met it: whatever is not hot there was shuffled,
+    # so the hot hashes of any one of them complete the others'
     kept = F.when(F.col("token").isNotNull(), F.struct("rank", "token"))
-    sets = back.groupBy("sid").agg(F.max("n").alias("n"), F.array_sort(F.collect_set(kept)).alias("shared"))
+    sets = back.groupBy("sid").agg(F.max("n").alias("n"), F.max("hot").alias("hot"), F.collect_set(kept).alias("cold"))
+    known = F.transform("cold", lambda x: x["token"])
+    hot = F.transform(F.array_except(F.coalesce("hot", F.array().cast("array<bigint>")), known), lambda x: F.struct(F.lit(_HOT_RANK).alias("rank"), x.alias("token")))
+    sets = sets.select("sid", "n", F.array_sort(F.concat("cold", hot)).alias("shared"))
     t = F.call_function("div", F.col("n") * num + (den - 1), F.lit(den))
     quarter = lambda c: F.call_function("div", c + 3, F.lit(4))
     window = F.least(F.col("n"), F.col("n") - t + quarter(F.col("n")))
     length = window - quarter(t) + 1
     take = (length - (window - F.size("shared"))).cast("int")  # hashes of its own come first, and join nothing
-    return sets.withColumn("_take", take).filter("_take > 0").select("sid", "n", F.explode(F.slice("shared", 1, F.col("_take"))).alias("x")).select("x.token", "sid", "n")
+    chosen = sets.withColumn("take", take).filter("take > 0").select("sid", F.slice("shared", 1, F.col("take")).alias("lists"))
+    part = lambda keep: F.transform(F.filter("lists", keep), lambda x: x["token"])
+    return chosen.select("sid", part(lambda x: x["rank"] < _HOT_RANK).alias("rare"), part(lambda x: x["rank"] == _HOT_RANK).alias("hot"))
 
 
-def stars(lists: DataFrame) -> DataFrame:
-    """Edges (u, v) from each class of a list to the list's smallest one."""
-    hubs = lists.groupBy("token").agg(F.min("sid").alias("v"), F.max("sid").alias("_hi")).filter("v < _hi").drop("_hi")
-    return lists.join(hubs, "token").filter("sid <> v").select(F.col("sid").alias("u"), "v").distinct()
+def _list_node(token: np.ndarray) -> np.ndarray:
+    """A node number for a list; as a class's, a 64-bit digest."""
+    x = (token.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def rare_edges(lists: DataFrame) -> DataFrame:
+    """Edges (u, v) from each class of a list, which are few, to the list's smallest one."""
+    each = lists.select("sid", F.explode("rare").alias("token"))
+    hubs = each.groupBy("token").agg(F.min("sid").alias("v"), F.max("sid").alias("top")).filter("v < top").drop("top")
+    return each.join(hubs, "token").filter("sid <> v").select(F.col("sid").alias("u"), "v").distinct()
+
+
+def hot_edges(lists: DataFrame, edges_a_task: int = 1_000_000) -> DataFrame:
+    """Edges (u, v) between classes and their hot lists, which are nodes too, contracted in
+    each task: about one edge a node stands for all that connects what a task has seen."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[int, int]] = []
+        for b in batches:
+            if len(b):
+                node = _list_node(np.concatenate([np.asarray(x, np.int64) for x in b["hot"]]))
+                held += zip(np.repeat(b["sid"].to_numpy(np.int64), [len(x) for x in b["hot"]]).tolist(), node.tolist(), strict=True)
+            if len(held) > edges_a_task:
+                held = spanning_stars(held)
+                if len(held) > edges_a_task // 2:  # little to contract: hand on
+                    yield pd.DataFrame(held, columns=["u", "v"], dtype="int64")
+                    held = []
+        yield pd.DataFrame(spanning_stars(held), columns=["u", "v"], dtype="int64")
+
+    return lists.filter(F.size("hot") > 0).select("sid", "hot").mapInPandas(run, "u long, v long")
 
 
 def block_keys(members: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -327,8 +364,8 @@ def _blocks(docs: DataFrame, size: int, num: int, den: int, local_hot: int, bloc
     """Window rows, classes, and the sets and keys of the blocks."""
     rows = materialize(window_rows(docs, size, num, den, local_hot), "jaccard-windows")
     lists = materialize(short_lists(rows, num, den, local_hot), "jaccard-lists")
-    coarse = connected_components(stars(lists), "jaccard-coarse")
-    # a component's smallest class is no row of ``coarse``: it is added
+    coarse = connected_components(rare_edges(lists).unionByName(hot_edges(lists)), "jaccard-coarse")
+    # a component's smallest node is no row of ``coarse``: it is added; lists go by the join with classes
     members = coarse.select(F.col("u").alias("sid"), F.col("v").alias("comp")).unionByName(coarse.select(F.col("v").alias("sid"), F.col("v").alias("comp")).distinct())
     classes = rows.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("times"))
     wanted = materialize(members.join(classes.drop("times"), "sid"), "jaccard-members")
@@ -360,8 +397,10 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den
     named = links.join(classes.select("sid", "id"), F.col("u") == F.col("sid")).groupBy("v").agg(F.min("id").alias("low"))
     ends = named.join(classes.select("sid", "id"), F.col("v") == F.col("sid")).select("v", F.least("low", "id").alias("component"))
     linked = links.join(ends, "v").select(F.col("u").alias("sid"), "component").unionByName(ends.select(F.col("v").alias("sid"), "component"))
-    # every class's smallest id, and its component's where it has links
-    answer = classes.join(linked, "sid", "left").select("sid", F.coalesce("component", "id").alias("component"))
+    # classes of several rows or with links: the others' component is their own id. Written
+    # down: the engine broadcasts a small table, and splits the partition of a hot class
+    answer = classes.join(linked, "sid", "left").filter("times > 1 or component is not null").select("sid", F.coalesce("component", "id").alias("component"))
+    answer = materialize(answer, "jaccard-answer")
     per_doc = rows.filter("n >= 0").select("id", "sid", "n")
     out = per_doc.join(answer, "sid", "left")
     real = lambda c: F.when(c != NO_ID, c)
@@ -373,15 +412,16 @@ def keep_one(docs: DataFrame, **how: int) -> DataFrame:
 
     Rows are numbered in a written copy and judged by their number, so repeated and null
     ids are rows like any other."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
-    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), **how)
-    tied = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_comp")), "jaccard-tied")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number"))
+    rows = materialize(whole, "jaccard-rows")
+    found = jaccard_components(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), **how)
+    tied = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("number"), F.col("component_id").alias("comp")), "jaccard-tied")
     # the row a component is named by is no row of ``tied``: it is added
-    members = tied.unionByName(tied.select(F.col("_comp").alias("_row"), "_comp").distinct())
-    ids = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"))
-    first = members.join(ids, "_row").groupBy("_comp").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_row"))
-    gone = members.select("_row").join(first, "_row", "left_anti")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    members = tied.unionByName(tied.select(F.col("comp").alias("number"), "comp").distinct())
+    ids = rows.select("number", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    first = members.join(ids, "number").groupBy("comp").agg(F.min(F.struct("id", "number"))["number"].alias("number"))
+    gone = materialize(members.select("number").join(first, "number", "left_anti"), "jaccard-gone")
+    return rows.join(gone, "number", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
