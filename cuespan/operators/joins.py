@@ -8,27 +8,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def assign_captions(chunks: DataFrame, captions: DataFrame) -> DataFrame:
+def assign_captions(chunks: DataFrame, captions: DataFrame, bucket_seconds: float = 45.0) -> DataFrame:
     """Chunks with the captions inside [start, end), in order; a chunk without any gets the
     one nearest to its middle (the first of equals), and without captions in the video none.
 
-    ``captions``: video_id, seq, time, caption. The nearest is kept by an aggregate, so a
-    chunk's captions never gather but for those inside."""
-    c = captions.select(F.col("video_id").alias("_v"), F.col("seq").alias("_seq"), "time", "caption")
-    middle = (F.col("start_time") + F.col("end_time")) / 2
-    inside = (F.col("time") >= F.col("start_time")) & (F.col("time") < F.col("end_time"))
-    pairs = chunks.join(c, F.col("video_id") == F.col("_v"), "left")
-    one = F.struct("_seq", "time", "caption")
-    keys = [x for x in chunks.columns]
-    grouped = pairs.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(inside, one))).alias("_in"),
-        F.min_by(one, F.struct(F.abs(F.col("time") - middle), F.col("_seq"))).alias("_near"),
-    )
-    used = F.when(F.size("_in") > 0, F.col("_in")).when(F.col("_near._seq").isNotNull(), F.array("_near")).otherwise(F.slice("_in", 1, 0))
-    marks = F.array_join(F.transform("_used", lambda x: F.concat(F.lit("[frame caption: "), x["caption"], F.lit("]"))), " ")
-    text = F.when(F.size("_used") > 0, F.concat_ws(" ", F.col("text"), marks)).otherwise(F.col("text"))
-    shown = F.transform("_used", lambda x: F.struct(x["time"].alias("time"), x["caption"].alias("caption")))
-    return grouped.withColumn("_used", used).select(*[text.alias("text") if k == "text" else k for k in keys], shown.alias("frame_captions"))
+    ``captions``: video_id, seq, time, caption. Those inside meet their chunks in buckets of
+    time, so a pair is made for a bucket that both touch and no other; the nearest are the
+    last before and the first after a middle, found by windows over the union of both."""
+    held = captions.select(F.col("video_id").alias("of"), F.struct("seq", "time", "caption").alias("one"), F.col("time").alias("at"))
+    number = lambda t: F.floor(t / bucket_seconds).cast("long")
+    reach = chunks.select("chunk_id", F.col("video_id").alias("of"), "start_time", "end_time", F.explode(F.sequence(number(F.col("start_time")), number(F.col("end_time")))).alias("bucket"))
+    pairs = reach.join(held.withColumn("bucket", number(F.col("at"))), ["of", "bucket"]).filter("at >= start_time and at < end_time")
+    inside = pairs.groupBy("chunk_id").agg(F.array_sort(F.collect_list("one")).alias("inside"))
+    middle = ((F.col("start_time") + F.col("end_time")) / 2).alias("at")
+    alone = chunks.join(inside, "chunk_id", "left_anti").select("chunk_id", F.col("video_id").alias("of"), middle, F.lit(None).cast(held.schema["one"].dataType).alias("one"))
+    first = held.groupBy("of", "at").agg(F.min("one").alias("one")).select(F.lit(None).cast("string").alias("chunk_id"), "of", "at", "one")
+    by, back = W.partitionBy("of").orderBy("at", F.col("chunk_id").isNotNull()), W.partitionBy("of").orderBy(F.desc("at"), F.col("chunk_id").isNotNull())
+    upto = lambda w: F.last("one", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    line = first.unionByName(alone).select("*", upto(by).alias("before"), upto(back).alias("after")).filter("chunk_id is not null")
+    gap = lambda c: F.struct(F.abs(F.col(c)["time"] - F.col("at")).alias("gap"), F.col(c)["seq"].alias("seq"))
+    nearer = F.when(F.col("before").isNull() | (F.col("after").isNotNull() & (gap("after") < gap("before"))), F.col("after")).otherwise(F.col("before"))
+    near = line.select("chunk_id", nearer.alias("near"))
+    both = chunks.join(inside, "chunk_id", "left").join(near, "chunk_id", "left")
+    used = F.when(F.col("inside").isNotNull(), F.col("inside")).when(F.col("near").isNotNull(), F.array("near")).otherwise(F.slice(F.array("near"), 1, 0))
+    marks = lambda u: F.array_join(F.transform(u, lambda x: F.concat(F.lit("[frame caption: "), x["caption"], F.lit("]"))), " ")
+    text = F.when(F.size(used) > 0, F.concat_ws(" ", F.col("text"), marks(used))).otherwise(F.col("text"))
+    shown = F.transform(used, lambda x: F.struct(x["time"].alias("time"), x["caption"].alias("caption")))
+    return both.select(*[text.alias("text") if k == "text" else F.col(k) for k in chunks.columns], shown.alias("frame_captions"))
 
 
 def oracle_window(hops: DataFrame, chunks: DataFrame, margin: float = 120.0) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.text import concept_hits, evidence_coverage, percent, span_erro
 
 MIN_GAP = 70.0
 FAIL_SHARE = 0.30
+_PAIR_TYPES = {"num_hops": "int", "ground_truth_spans": f"array<{schemas.SPAN}>", "source_chunk_ids": "array<string>", "answerable": "boolean", "key_concepts": "array<string>"}
 TIERS = ("zero", "1-3", "4-9", "10-11", "12+")
 
 
@@ -27,32 +28,104 @@ def span_gaps(spans: Column) -> Column:
 
 
 def rule_violations(pairs: DataFrame, min_gap: float = MIN_GAP) -> DataFrame:
-    """``pairs`` with ``errors``: one message for each broken rule (schema, spans, hops)."""
+    """``pairs`` with ``errors``: one message for each broken rule (schema, spans, hops).
+
+    A null field, or a column that the table lacks, is a missing one; a missing
+    ``answerable`` counts as true."""
+    absent = [c for c in schemas.PAIR_FIELDS if c not in pairs.columns]
+    given = pairs.columns
+    pairs = pairs.withColumns({c: F.lit(None).cast(_PAIR_TYPES.get(c, "string")) for c in absent})
+    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in schemas.PAIR_FIELDS]), lambda x: x.isNotNull())
     t, spans = F.col("question_type"), F.col("ground_truth_spans")
     multi, none = t.isin(*schemas.MULTIHOP_TYPES), t == "unanswerable"
     answerable = F.coalesce(F.col("answerable"), F.lit(True))
     n = F.coalesce(F.when(spans.isNotNull(), F.size(spans)), F.lit(0))
     judged = ~none & (n > 0)
-    bad_end = F.transform(F.filter(F.transform(spans, lambda s, i: F.struct(i.alias("i"), (s["end"] <= s["start"]).alias("bad"))), lambda x: x["bad"]), lambda x: F.format_string("span %d ends before it starts", x["i"]))
+    no_time = lambda s: s["start"].isNull() | s["end"].isNull()
+    each = F.transform(spans, lambda s, i: F.when(no_time(s), F.format_string("span %d has no start or no end", i)).when(s["end"] <= s["start"], F.format_string("span %d ends before it starts", i)))
+    bad_end = F.filter(each, lambda x: x.isNotNull())
     bad_gap = F.transform(F.filter(span_gaps(spans), lambda g: g < min_gap), lambda g: F.format_string("span gap %.0f s is below %.0f s", g, F.lit(float(min_gap))))
     hops = F.coalesce(F.col("num_hops"), F.lit(0))
     schema = _messages(
+        (F.size(missing) > 0, F.concat(F.lit("missing fields: "), F.array_join(missing, ", "))),
         (t.isNull() | ~t.isin(*schemas.QUESTION_TYPES), "invalid question_type"),
         (F.col("difficulty").isNull() | ~F.col("difficulty").isin(*schemas.DIFFICULTIES), "invalid difficulty"),
         (spans.isNull(), "ground_truth_spans must be a list"),
+        (F.col("source_chunk_ids").isNull(), "source_chunk_ids must be a list"),
+        (F.col("key_concepts").isNull(), "key_concepts must be a list"),
     )
     whole = _messages((none & (n > 0), "unanswerable question has spans"), (~none & answerable & (n == 0), "answerable question has no spans"))
     empty = F.array().cast("array<string>")
     ends = F.when(judged, bad_end).otherwise(empty)
     gaps = F.when(judged & multi & (n >= 2), bad_gap).otherwise(empty)
     counts = _messages((multi & (hops < 2), "multi-hop type with fewer than 2 hops"), (multi & (n < 2), "multi-hop type with fewer than 2 spans"), (~multi & ~none & (hops != 1), "single-hop type without exactly 1 hop"))
-    return pairs.withColumn("errors", F.concat(schema, whole, ends, gaps, counts))
+    return pairs.select(*given, F.concat(schema, whole, ends, gaps, counts).alias("errors"))
 
 
-def first_violation(items: DataFrame, batch: str, position: str = "position") -> DataFrame:
-    """A batch fails as a whole with its first violation, by item and then by rule."""
-    broken = items.filter(F.size("errors") > 0)
-    return items.select(batch).distinct().join(broken.groupBy(batch).agg(F.min_by(F.col("errors")[0], F.col(position)).alias("violation")), batch, "left")
+def batch_item_errors(items: DataFrame, durations: DataFrame | None = None) -> DataFrame:
+    """``items`` of generated batches with ``errors``, in the order in which a batch is read:
+    fields, type, hops, what an unanswerable question may not have, and spans that start
+    after the video's end (``durations``: video_id, duration; a video without one, and
+    regenerated batches, are not checked for that)."""
+    t, hops = F.col("question_type"), F.col("num_hops")
+    multi, none = t.isin(*schemas.MULTIHOP_TYPES), t == "unanswerable"
+    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in schemas.PAIR_FIELDS if c in items.columns]), lambda x: x.isNotNull())
+    known = t.isin(*schemas.QUESTION_TYPES)
+    rows, late = items, F.lit(False)
+    if durations is not None:
+        rows = items.join(durations.select(F.col("video_id").alias("of_video"), F.col("duration").alias("of_duration")), F.col("video_id") == F.col("of_video"), "left").drop("of_video")
+        late = F.exists("ground_truth_spans", lambda s: s["start"] > F.col("of_duration"))
+    found = _messages(
+        (F.size(missing) > 0, F.concat(F.lit("missing fields: "), F.array_join(missing, ", "))),
+        (~known, "invalid question_type"),
+        (known & multi & (hops < 2), "multi-hop question with fewer than 2 hops"),
+        (known & ~multi & (hops != 1), "single-hop question without exactly 1 hop"),
+        (none & F.col("answerable"), "unanswerable question is marked answerable"),
+        (none & (F.size("ground_truth_spans") > 0), "unanswerable question has spans"),
+    )
+    return rows.select(*items.columns, F.concat(found, _messages((late, "span starts after the video's end"))).alias("errors"))
+
+
+def batch_verdict(items: DataFrame, batch: str, expected: dict[str, int], durations: DataFrame | None = None, position: str = "position") -> DataFrame:
+    """One row a batch with ``violation``, null where it is accepted as a whole: the first
+    broken rule of the first item that breaks one, the durations after all others, and the
+    number of questions of each type last."""
+    checked = batch_item_errors(items, durations)
+    late = "span starts after the video's end"
+    own = F.filter("errors", lambda e: e != late)
+    first = checked.groupBy(batch).agg(
+        F.min_by(F.when(F.size(own) > 0, own[0]), F.when(F.size(own) > 0, F.col(position))).alias("item"),
+        F.bool_or(F.array_contains("errors", late)).alias("late"),
+    )
+    counts = distribution_check(items, batch, expected).select(F.col(batch), "ok")
+    violation = F.coalesce(F.col("item"), F.when(F.col("late"), late), F.when(~F.col("ok"), "wrong question type distribution"))
+    return first.join(counts, batch).select(batch, violation.alias("violation"))
+
+
+def without_type(pairs: DataFrame, question_type: str = "unanswerable", key: str = "video_id") -> DataFrame:
+    """Lectures that have no question of a type: a report, not an error."""
+    has = F.bool_or(F.col("question_type").eqNullSafe(F.lit(question_type)))
+    return pairs.groupBy(key).agg(has.alias("has")).filter(~F.col("has")).select(key)
+
+
+def error_by_type(worst: DataFrame, types: tuple[str, ...] = ("multi-hop-visual", "visual", "multi-hop", "text")) -> DataFrame:
+    """Mean error of the audited questions of each type, in a fixed order (``place``); types
+    without any are left out."""
+    place = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("question_type")).cast("int")
+    by = worst.withColumn("place", place).filter("place > 0").groupBy("place", "question_type")
+    return by.agg(F.count("*").alias("n"), F.bround(F.avg("estimated_error_s"), 1).alias("mean_error_s"))
+
+
+def merge_regenerated(stored: DataFrame, log: DataFrame, regenerated: DataFrame, key: str = "video_id", floor: int = 12, offset: int = 15) -> DataFrame:
+    """Reviewed pairs after a regeneration: what is stored, and the accepted new ones (key,
+    position, question, accepted) under ids from offset + 1 by position. Lectures with
+    ``floor`` accepted reviews in the *first* run's log get none. Since neither the test nor
+    the union looks at what is stored, a second run adds its pairs again under the same ids."""
+    low = log.groupBy(key).agg(F.count_if(F.col("overall") == "ACCEPT").alias("had")).filter(F.col("had") < floor).select(key)
+    new = regenerated.join(low, key, "left_semi")
+    n = F.row_number().over(W.partitionBy(key).orderBy("position")) + offset
+    numbered = new.withColumn("qa_id", F.format_string("%s_q%03d", F.col(key).cast("string"), n)).filter("accepted")
+    return stored.unionByName(numbered.select(*stored.columns))
 
 
 def distribution_check(items: DataFrame, batch: str, expected: dict[str, int]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice
 
@@ -24,24 +24,36 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def topk_within(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, dims: int | None = None, digits: int = 9) -> DataFrame:
-    """Top k of the query's own video (an equi-join before anything is scored).
+def topk_views(queries: DataFrame, corpus: DataFrame, k: int, views: dict[str, Callable[[Column], Column]], exclude_self: bool = False, digits: int = 9) -> DataFrame:
+    """Top k of the query's own video (an equi-join before anything is scored) under several
+    configurations: ``views`` names each and says what it makes of an embedding.
 
     queries: query_id, video_id, embedding; corpus: chunk_id, video_id, embedding, ....
-    Norms are computed once a vector; ties go to the smaller chunk_id; the rank filter
-    keeps k rows a query before the shuffle of the window."""
-    cut = (lambda c: F.slice(c, 1, dims)) if dims else (lambda c: c)
-    q = queries.select("query_id", F.col("video_id").alias("_v"), cut(F.col("embedding")).alias("_q")).withColumn("_qn", norm(F.col("_q")))
-    c = corpus.withColumn("_c", cut(F.col("embedding"))).withColumn("_cn", norm(F.col("_c"))).drop("embedding")
-    on = F.col("video_id") == F.col("_v")
+    Vectors and norms are made once a row, and one pass over the pairs scores all views;
+    ties go to the smaller chunk_id; the rank filter keeps k rows a query and view before
+    the shuffle of the window."""
+
+    def viewed(rows: DataFrame, to: str) -> DataFrame:
+        made = F.array(*[view(F.col("embedding")) for view in views.values()])
+        return rows.withColumn(to, F.transform(made, lambda v: F.struct(v.alias("v"), norm(v).alias("n")))).drop("embedding")
+
+    q = viewed(queries.select("query_id", F.col("video_id").alias("of_video"), "embedding"), "q")
+    on = F.col("video_id") == F.col("of_video")
     if exclude_self:
         on = on & (F.col("query_id") != F.col("chunk_id"))
-    score = F.bround(F.when(F.col("_qn") * F.col("_cn") > 0, dot(F.col("_q"), F.col("_c")) / (F.col("_qn") * F.col("_cn"))).otherwise(0.0), digits)
-    scored = q.join(c, on).withColumn("score", score).drop("_q", "_c", "_qn", "_cn", "_v")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    cosine = lambda a, b: F.bround(F.when(a["n"] * b["n"] > 0, dot(a["v"], b["v"]) / (a["n"] * b["n"])).otherwise(0.0), digits)
+    each = F.array(*[F.struct(F.lit(name).alias("config"), cosine(F.col("q")[i], F.col("c")[i]).alias("score")) for i, name in enumerate(views)])
+    kept = [c for c in corpus.columns if c != "embedding"]
+    scored = q.join(viewed(corpus, "c"), on).select("query_id", *kept, F.inline(each))
+    order = W.partitionBy("query_id", "config").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def topk_within(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, digits: int = 9) -> DataFrame:
+    """``topk_views`` of the embeddings as they are."""
+    return topk_views(queries, corpus, k, {"as is": lambda x: x}, exclude_self, digits).drop("config")
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
 

@@ -69,3 +69,15 @@ def renumber(rows: DataFrame, key: str, order: str, to: str, kind: str = "q", of
     """Ids overwritten by position, from offset + 1."""
     n = F.row_number().over(W.partitionBy(key).orderBy(order)) + offset
     return rows.withColumn(to, F.format_string(f"%s_{kind}%03d", F.col(key).cast("string"), n))
+
+
+def in_hop_order(spans: Column) -> Column:
+    """Spans by hop; of equal hops the order they came in."""
+    keyed = F.transform(spans, lambda s, i: F.struct(s["hop"].alias("hop"), i.alias("i"), s.alias("s")))
+    return F.transform(F.array_sort(keyed), lambda x: x["s"])
+
+
+def first_of(rows: DataFrame, position: str, video: Column | None = None, limit: int | None = None) -> DataFrame:
+    """Rows of one video, if asked, and of these the first ``limit`` by input position."""
+    chosen = rows.filter(video) if video is not None else rows
+    return chosen.orderBy(position).limit(limit) if limit else chosen

@@ -280,17 +280,6 @@ def q28_table_hr(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("question_type").agg(*[mean(c, cfg).alias(f"{c}_{i}") for c in _HR for i, cfg in enumerate(CONFIGS, 1)])
 
 
-@query(f"""WITH {V.PAIRS}, s AS (SELECT unnest(['a','b','c','absent']) AS system), x AS (SELECT CASE turn%3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS system, length(reference) AS r, length(answer) AS h FROM tp WHERE trim(answer) <> '' AND reference <> '')
-SELECT system, count(h)::BIGINT AS n, coalesce(round_even(avg(h/r::DOUBLE), 9), 0.0::DOUBLE) AS ratio, coalesce(round_even(avg(least(h, r)::DOUBLE/greatest(h, r)), 9), 0.0::DOUBLE) AS closeness FROM s LEFT JOIN x USING (system) GROUP BY 1""")
-def q29_systems(spark: SparkSession, d: str) -> DataFrame:
-    p = V.text_pairs(spark, d).filter((text.strip(F.col("answer")) != "") & (F.col("reference") != ""))
-    r, h = F.length("reference").cast("double"), F.length("answer").cast("double")
-    scored = p.select(F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("turn") % 3 + 1).cast("int")).alias("system"), (h / r).alias("ratio"), (F.least(h, r) / F.greatest(h, r)).alias("closeness"))
-    by = scored.groupBy("system").agg(F.count("*").alias("n"), F.bround(F.avg("ratio"), 9).alias("ratio"), F.bround(F.avg("closeness"), 9).alias("closeness"))
-    systems = spark.createDataFrame([("a",), ("b",), ("c",), ("absent",)], "system string")
-    return systems.join(by, "system", "left").na.fill(0)
-
-
 @query(f"""WITH {V.CORPUS}, {V.QA}, t AS (SELECT question_type AS label, count(*) AS n FROM qa GROUP BY 1 UNION ALL SELECT CASE WHEN question_type IN ('visual','multi-hop-visual') THEN 'group: visual' ELSE 'group: other' END, count(*) FROM qa GROUP BY 1)
 SELECT label, n::BIGINT AS n, round_even(100.0::DOUBLE*n/(SELECT count(*) FROM qa), 1) AS pct FROM t""")
 def q30_fig_distribution(spark: SparkSession, d: str) -> DataFrame:
@@ -336,15 +325,26 @@ def _pairs_to_validate(spark: SparkSession, d: str) -> DataFrame:
     extra = F.array(F.struct(F.lit(1.0).alias("start"), F.lit(2.0).alias("end"), F.lit(1).alias("hop"), F.lit("").alias("description")))
     gt = F.when((F.col("question_type") == "unanswerable") & (F.col("qa_id") % 3 == 0), extra).otherwise(gt)
     level = F.element_at(F.array(*[F.lit(x) for x in ("easy", "medium", "hard", "odd")]), (F.col("qa_id") % 4 + 1).cast("int"))
-    return q.select("qa_id", "video_id", "question_type", "answerable", gt.alias("ground_truth_spans"), level.alias("difficulty"), (F.col("qa_id") % 3).cast("int").alias("num_hops"))
+    # a span without an end, and fields that are missing
+    gt = F.when(F.col("qa_id") % 55 == 0, F.transform(gt, lambda s: F.struct(s["start"].alias("start"), F.lit(None).cast("double").alias("end"), s["hop"].alias("hop"), s["description"].alias("description")))).otherwise(gt)
+    some = lambda c, every: F.when(F.col("qa_id") % every != 0, c)
+    return q.select(
+        "qa_id", "video_id", "question_type", "answerable", gt.alias("ground_truth_spans"), level.alias("difficulty"), (F.col("qa_id") % 3).cast("int").alias("num_hops"),
+        F.lit("q").alias("question"), some(F.lit("a"), 25).alias("answer"), some(F.array(F.lit("c")), 45).alias("source_chunk_ids"), some(F.array(F.lit("k")), 65).alias("key_concepts"),
+    )
 
 
 _VALIDATE = f"""WITH {V.CORPUS}, {V.QA}, sp AS (SELECT qa_id, hop, gs, ge - CASE WHEN qa_id%7=0 THEN 60.0 ELSE 0.0 END AS ge FROM hops UNION ALL SELECT qa_id, 1, 1.0, 2.0 FROM qa WHERE question_type='unanswerable' AND qa_id%3=0),
 b AS (SELECT qa.qa_id, question_type AS t, qa.qa_id%3 AS nh, qa.qa_id%4=3 AS odd, (SELECT count(*) FROM sp WHERE sp.qa_id=qa.qa_id) AS n FROM qa),
 gp AS (SELECT qa_id, lead(gs) OVER (PARTITION BY qa_id ORDER BY gs) - gs AS gap FROM sp),
+mf AS (SELECT qa_id, concat_ws(', ', CASE WHEN qa_id%25=0 THEN 'answer' END, CASE WHEN qa_id%45=0 THEN 'source_chunk_ids' END, CASE WHEN qa_id%65=0 THEN 'key_concepts' END) AS f FROM qa),
 e AS (SELECT qa_id, 10 AS o, 0 AS i, 'invalid difficulty' AS m FROM b WHERE odd
+ UNION ALL SELECT qa_id, 5, 0, 'missing fields: ' || f FROM mf WHERE f <> ''
+ UNION ALL SELECT qa_id, 12, 0, 'source_chunk_ids must be a list' FROM b WHERE qa_id%45=0
+ UNION ALL SELECT qa_id, 14, 0, 'key_concepts must be a list' FROM b WHERE qa_id%65=0
+ UNION ALL SELECT sp.qa_id, 30, hop, 'span ' || (hop-1)::VARCHAR || ' has no start or no end' FROM sp JOIN b USING (qa_id) WHERE t<>'unanswerable' AND sp.qa_id%55=0
  UNION ALL SELECT qa_id, 20, 0, 'unanswerable question has spans' FROM b WHERE t='unanswerable' AND n>0
- UNION ALL SELECT sp.qa_id, 30, hop, 'span ' || (hop-1)::VARCHAR || ' ends before it starts' FROM sp JOIN b USING (qa_id) WHERE t<>'unanswerable' AND ge<=gs
+ UNION ALL SELECT sp.qa_id, 30, hop, 'span ' || (hop-1)::VARCHAR || ' ends before it starts' FROM sp JOIN b USING (qa_id) WHERE t<>'unanswerable' AND sp.qa_id%55<>0 AND ge<=gs
  UNION ALL SELECT gp.qa_id, 40, 0, 'span gap ' || printf('%.0f', gap) || ' s is below 70 s' FROM gp JOIN b USING (qa_id) WHERE t LIKE 'multi-hop%' AND gap < 70
  UNION ALL SELECT qa_id, 50, 0, 'multi-hop type with fewer than 2 hops' FROM b WHERE t LIKE 'multi-hop%' AND nh<2
  UNION ALL SELECT qa_id, 70, 0, 'single-hop type without exactly 1 hop' FROM b WHERE t IN ('visual','text') AND nh<>1)
@@ -383,12 +383,12 @@ def q38_failure_triggers(spark: SparkSession, d: str) -> DataFrame:
     return quality.failure_triggers(_decided(spark, d)).select("video_id", "criterion", r9("fail_share"))
 
 
-_COUNTS = "n AS (SELECT s.video_id, count(a.qa_id) AS n FROM (SELECT DISTINCT source AS video_id FROM documents) s LEFT JOIN (SELECT * FROM dec WHERE decision='ACCEPT' AND qa_id%3=0 AND qa_id%17<>0) a USING (video_id) GROUP BY 1)"
+_COUNTS = "n AS (SELECT s.video_id, count(a.qa_id) AS n FROM (SELECT DISTINCT source AS video_id FROM documents) s LEFT JOIN (SELECT * FROM dec WHERE decision='ACCEPT') a USING (video_id) GROUP BY 1)"
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
     keys = V.table(spark, d, "documents").select(F.col("source").alias("video_id")).distinct()
-    return joins.counts_with_zero(keys, _decided(spark, d).filter("decision = 'ACCEPT' and qa_id % 3 = 0 and qa_id % 17 <> 0"))
+    return joins.counts_with_zero(keys, _decided(spark, d).filter("decision = 'ACCEPT'"))
 
 
 @query(f"""WITH {V.REVIEW}, {_COUNTS} SELECT CASE WHEN n=0 THEN 'zero' WHEN n<=3 THEN '1-3' WHEN n<=9 THEN '4-9' WHEN n<=11 THEN '10-11' ELSE '12+' END AS tier, count(*)::BIGINT AS lectures, sum(n)::BIGINT AS questions, (SELECT sum(n) FROM n) >= 500 AS gate_met FROM n GROUP BY 1""")
@@ -413,14 +413,14 @@ def _audit(spark: SparkSession, d: str) -> DataFrame:
     h = V.questions(spark, d).select("qa_id", "video_id", "question_type", F.posexplode("hops").alias("span_idx", "h"))
     h = h.select("qa_id", "video_id", "question_type", "span_idx", F.col("h.start").alias("start"), F.col("h.end").alias("end"))
     docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    c = V.corpus(spark, d).drop("embedding").filter("idx % 4 <> 1").join(docs, "chunk_id").withColumnRenamed("idx", "seq")
+    c = V.corpus(spark, d).drop("embedding").join(docs, "chunk_id").withColumnRenamed("idx", "seq")
     found = joins.containing_or_near(h, c)
     concepts = F.when(F.col("qa_id") % 4 == 0, F.slice(F.array(*[F.lit(x) for x in _CONCEPTS]), 1, 0)).otherwise(F.slice(F.array(*[F.lit(x) for x in _CONCEPTS]), F.lit(1), (F.col("qa_id") % 5 + 1).cast("int")))
     return quality.span_audit(found.withColumns({"concepts": concepts, "duration": F.col("end") - F.col("start")}))
 
 
 _NORM = "regexp_replace(lower({x}), '[^a-z0-9\\s]', ' ', 'g')"
-_AUDIT = f"""{V.CORPUS}, {V.QA}, ch AS (SELECT chunk_id, video_id, idx AS seq, start_time, end_time, text FROM corpus JOIN documents ON chunk_id = doc_id WHERE idx % 4 <> 1),
+_AUDIT = f"""{V.CORPUS}, {V.QA}, ch AS (SELECT chunk_id, video_id, idx AS seq, start_time, end_time, text FROM corpus JOIN documents ON chunk_id = doc_id),
 pr AS (SELECT h.*, c.seq, c.text, row_number() OVER (PARTITION BY h.qa_id, h.hop ORDER BY CASE WHEN start_time <= gs AND end_time >= ge THEN 0 ELSE 1 END, CASE WHEN start_time <= gs AND end_time >= ge THEN seq ELSE abs(start_time-gs) END, seq) AS rn
  FROM hops h LEFT JOIN ch c ON h.video_id = c.video_id AND ((start_time <= gs AND end_time >= ge) OR abs(start_time-gs) < 50)),
 cc AS (SELECT *, CASE WHEN qa_id%4=0 THEN [] ELSE {_CONCEPTS!r}[1:(qa_id%5+1)::INT] END AS cs FROM pr WHERE rn=1),
@@ -459,11 +459,14 @@ def q45_type_distribution_check(spark: SparkSession, d: str) -> DataFrame:
 def _raw_citations(spark: SparkSession, d: str) -> DataFrame:
     q = V.questions(spark, d).select("qa_id")
     a = F.concat(F.lit('{"answer": "a'), F.col("qa_id").cast("string"), F.lit('", "citations": ['), (F.col("qa_id") % 4).cast("string"), F.lit(", 2]}"))
+    odd = F.element_at(F.array(*[F.lit(x) for x in ('["1"]', "[1.0]", "[true, 2]", "[]", "7", "[[1]]", "[1, null]", "[2 , 4]")]), (F.call_function("div", F.col("qa_id"), F.lit(35)) % 8 + 1).cast("int"))
+    a = F.when(F.col("qa_id") % 7 == 0, F.concat(F.lit('{"answer": "a'), F.col("qa_id").cast("string"), F.lit('", "citations": '), odd, F.lit("}"))).otherwise(a)
     return q.select("qa_id", F.when(F.col("qa_id") % 3 == 0, F.concat(F.lit("```json\n"), a, F.lit("\n```"))).when(F.col("qa_id") % 11 == 0, F.lit('{"answer": "x"}')).otherwise(a).alias("raw"))
 
 
-@query(f"""WITH {V.CORPUS}, {V.QA}, b AS (SELECT qa_id, qa_id%3<>0 AND qa_id%11=0 AS miss, qa_id%4=0 AS zero FROM qa)
-SELECT qa_id, CASE WHEN miss OR zero THEN NULL ELSE 'a' || qa_id::VARCHAR END AS answer, CASE WHEN miss OR zero THEN NULL ELSE (qa_id%4)::VARCHAR || ',2' END AS indices, CASE WHEN miss THEN 'missing citations' WHEN zero THEN 'citation out of range' END AS error FROM b""")
+@query(f"""WITH {V.CORPUS}, {V.QA}, b AS (SELECT qa_id, qa_id%3<>0 AND qa_id%11=0 AS miss, qa_id%4=0 AS zero, CASE WHEN qa_id%7=0 THEN qa_id//35%8 END AS odd FROM qa),
+e AS (SELECT *, CASE WHEN miss THEN 'missing citations' WHEN odd=4 THEN 'citations must be a list' WHEN odd IN (0,1,5,6) THEN 'citation out of range' WHEN odd IS NULL AND zero THEN 'citation out of range' END AS error FROM b)
+SELECT qa_id, CASE WHEN error IS NULL THEN 'a' || qa_id::VARCHAR END AS answer, CASE WHEN error IS NULL THEN CASE odd WHEN 2 THEN '1,2' WHEN 3 THEN '' WHEN 7 THEN '2,4' ELSE (qa_id%4)::VARCHAR || ',2' END END AS indices, error FROM e""")
 def q46_parse_citations(spark: SparkSession, d: str) -> DataFrame:
     p = _raw_citations(spark, d).select("qa_id", parsing.parse_citations(F.col("raw"), F.lit(4)).alias("p"))
     return p.select("qa_id", "p.answer", F.array_join("p.indices", ",").alias("indices"), "p.error")
@@ -481,9 +484,9 @@ def q47_parse_judge(spark: SparkSession, d: str) -> DataFrame:
     return p.select("qa_id", F.coalesce("p.C1", F.lit(0)).cast("long").alias("c1"), F.coalesce("p.aggregate", F.lit(0)).cast("long").alias("aggregate"))
 
 
-@query(f"""WITH {V.CORPUS}, {V.QA}, b AS (SELECT qa_id, qa_id%9 AS a, qa_id%6 AS b FROM qa) SELECT qa_id, CASE WHEN b>0 AND a<=b THEN round_even(a/b::DOUBLE, 9) END AS score FROM b""")
+@query(f"""WITH {V.CORPUS}, {V.QA}, b AS (SELECT qa_id, qa_id%9 AS a, qa_id%6 AS b, qa_id//5%4 = 3 AS apart FROM qa) SELECT qa_id, CASE WHEN NOT apart AND b>0 AND a<=b THEN round_even(a/b::DOUBLE, 9) END AS score FROM b""")
 def q48_parse_score(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit("Some claims hold.\nScore: "), (F.col("qa_id") % 9).cast("string"), F.lit(" / "), (F.col("qa_id") % 6).cast("string"))
+    raw = F.concat(F.lit("Some claims hold.\nScore: "), (F.col("qa_id") % 9).cast("string"), F.when(F.call_function("div", F.col("qa_id"), F.lit(5)) % 4 == 3, " / ").otherwise("/"), (F.col("qa_id") % 6).cast("string"))
     return V.questions(spark, d).select("qa_id", r9(parsing.parse_score(raw), "score"))
 
 
@@ -539,11 +542,26 @@ def q53_bleu(spark: SparkSession, d: str) -> DataFrame:
     return p.select("conv_id", "turn", r9(textmetrics.bleu(F.col("reference"), F.col("answer")), "bleu"))
 
 
-@query()
+#: The longest common subsequence, word by word of the answer: ``row[j]`` is its length for the
+#: first j words of the reference, and a running maximum of what each word can add.
+_LCS = """w AS (SELECT conv_id, turn, regexp_extract_all(lower(reference), '[a-z0-9]+') AS r, regexp_extract_all(lower(answer), '[a-z0-9]+') AS h FROM tp),
+st AS (SELECT conv_id, turn, 0 AS k, list_transform(range(0, len(r)+1), lambda j: 0) AS l FROM w
+ UNION ALL SELECT s.conv_id, s.turn, k+1, list_prepend(0, list_transform(range(1, len(r)+1), lambda j: list_max(list_transform(range(1, j+1), lambda i: greatest(l[i+1], l[i] + (r[i] = h[k+1])::INT)))))
+ FROM st s JOIN w ON s.conv_id = w.conv_id AND s.turn = w.turn WHERE k < len(h))"""
+
+
+@query(f"""WITH RECURSIVE {V.PAIRS}, {_LCS}
+SELECT w.conv_id, w.turn, round_even(CASE WHEN len(r)=0 OR len(h)=0 THEN 0.0 ELSE 2.0::DOUBLE*l[len(l)]/(len(r)+len(h)) END, 9)::DOUBLE AS rouge_l FROM w JOIN st ON w.conv_id = st.conv_id AND w.turn = st.turn AND k = len(h)""")
 def q54_rouge_l(spark: SparkSession, d: str) -> DataFrame:
+    """Without the stemmer, which SQL can't say."""
+    p = V.text_pairs(spark, d)
+    return p.select("conv_id", "turn", r9(textmetrics.rouge_l_plain(F.col("reference"), F.col("answer")), "rouge_l"))
+
+
+@query()
+def q54_rouge_l_stemmed(spark: SparkSession, d: str) -> DataFrame:
     p = V.text_pairs(spark, d)
-    r, a = F.col("reference"), F.col("answer")
-    return p.select("conv_id", "turn", r9(textmetrics.rouge_l(r, a), "rouge_l"), r9(textmetrics.rouge_l_plain(r, a), "rouge_l_plain"))
+    return p.select("conv_id", "turn", r9(textmetrics.rouge_l(F.col("reference"), F.col("answer")), "rouge_l"))
 
 
 @query()

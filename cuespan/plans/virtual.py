@@ -54,10 +54,13 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    """Top five of the question's video under both configurations, the question itself left out."""
+    """Top five of the question's video under both configurations, the question itself left
+    out: vectors folded in half (each pair of dimensions added), and vectors as they are."""
     q, c = questions(spark, d).select(F.col("qa_id").alias("query_id"), "video_id", "embedding"), corpus(spark, d)
-    both = [retrieval.topk_within(q, c, 5, exclude_self=True, dims=n).withColumn("config", F.lit(name)) for name, n in zip(CONFIGS, (32, None), strict=True)]
-    return both[0].unionByName(both[1]).withColumn("cited", (F.col("rank") <= 4) & ((F.col("query_id") + F.col("rank")) % 2 == 0))
+    half = lambda x: F.call_function("div", F.size(x), F.lit(2)).cast("int")
+    folded = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda a, b: a.cast("double") + b.cast("double"))
+    both = retrieval.topk_views(q, c, 5, dict(zip(CONFIGS, (folded, lambda x: x.cast("array<double>")), strict=True)), exclude_self=True)
+    return both.withColumn("cited", (F.col("rank") <= 4) & ((F.col("query_id") + F.col("rank")) % 2 == 0))
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -119,15 +122,15 @@ QA = f"""qa AS (SELECT chunk_id AS qa_id, video_id, idx, start_time, embedding,
 hops AS (SELECT qa_id, video_id, question_type, 1 AS hop, start_time+10.0 AS gs, start_time+45.0 AS ge FROM qa WHERE question_type <> 'unanswerable'
  UNION ALL SELECT qa_id, video_id, question_type, 2, 35.0::DOUBLE*((idx+5)%12)+10.0, 35.0::DOUBLE*((idx+5)%12)+45.0 FROM qa WHERE question_type LIKE 'multi-hop%')"""
 _RANK = "row_number() OVER (PARTITION BY q.qa_id ORDER BY {s} DESC, c.chunk_id)"
-_COS = "round_even(list_cosine_similarity(q.embedding{cut}::DOUBLE[], c.embedding{cut}::DOUBLE[]), 9)"
+_FOLD = "list_transform(range(1, len({x}.embedding)//2+1), lambda i: {x}.embedding[i]::DOUBLE + {x}.embedding[i+len({x}.embedding)//2]::DOUBLE)"
 
 
-def _hits(config: str, cut: str) -> str:
-    s = _COS.format(cut=cut)
+def _hits(config: str, vector: str) -> str:
+    s = f"round_even(list_cosine_similarity({vector.format(x='q')}, {vector.format(x='c')}), 9)"
     return f"SELECT q.qa_id, c.chunk_id, c.start_time AS cs, c.end_time AS ce, {s} AS score, {_RANK.format(s=s)} AS rank, '{config}' AS config FROM qa q JOIN corpus c ON q.video_id = c.video_id AND q.qa_id <> c.chunk_id"
 
 
-HITS = f"hits AS (SELECT *, rank <= 4 AND (qa_id + rank) % 2 = 0 AS cited FROM ({_hits(CONFIGS[0], '[1:32]')} UNION ALL {_hits(CONFIGS[1], '')}) WHERE rank <= 5)"
+HITS = f"hits AS (SELECT *, rank <= 4 AND (qa_id + rank) % 2 = 0 AS cited FROM ({_hits(CONFIGS[0], _FOLD)} UNION ALL {_hits(CONFIGS[1], '{x}.embedding::DOUBLE[]')}) WHERE rank <= 5)"
 IOU = "CASE WHEN ({pe}-{ps})+({ge}-{gs})-greatest(0.0,least({pe},{ge})-greatest({ps},{gs})) > 0 THEN greatest(0.0,least({pe},{ge})-greatest({ps},{gs}))/(({pe}-{ps})+({ge}-{gs})-greatest(0.0,least({pe},{ge})-greatest({ps},{gs}))) ELSE 0.0 END"
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions.parsing import missing_keys
 
 
 def read_json_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -28,11 +33,21 @@ def read_wrapped_arrays(spark: SparkSession, path: str, schema: str, key: str) -
 def read_checkpoint(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...]) -> DataFrame:
     """JSON lines with the last row of each key; blank lines are skipped. Lines are ordered
     by file name, then by place in the file (a file is read in order within its splits)."""
-    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    lines = spark.read.option("recursiveFileLookup", True).text(path).filter(F.length(F.trim("value")) > 0)
     placed = lines.select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_n"), F.from_json("value", schema).alias("_r"))
     return last_wins(placed.select("_f", "_b", "_n", "_r.*"), keys, ("_f", "_b", "_n"))
 
 
+def split_valid(rows: DataFrame, schema: str, required: tuple[str, ...], raw: str = "raw") -> tuple[DataFrame, DataFrame]:
+    """Rows whose JSON object has the required keys, with it as ``row``, and the others with
+    their ``problem``: nothing is dropped without a trace."""
+    lost = missing_keys(F.col(raw), required)
+    no_object = F.json_object_keys(F.col(raw)).isNull()
+    problem = F.when(no_object, "not an object").when(F.size(lost) > 0, F.concat(F.lit("missing: "), F.array_join(lost, ", ")))
+    marked = rows.withColumn("problem", problem)
+    return marked.filter("problem is null").drop("problem").withColumn("row", F.from_json(raw, schema)), marked.filter("problem is not null")
+
+
 def last_wins(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """One row for each key: the last in ``order``. An aggregate, so hot keys combine early."""
     rest = [c for c in rows.columns if c not in keys and c not in order]
@@ -84,8 +99,10 @@ def write_partitioned(rows: DataFrame, path: str, key: str = "video_id", mode: s
     rows.repartition(key).write.mode(mode).partitionBy(key).format(fmt).save(path)
 
 
-def append_checkpoint(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def append_checkpoint(rows: DataFrame, path: str, batch: str) -> None:
+    """Add a batch of JSON lines. A batch is a folder, written as a whole: one that is sent
+    again, or again after a failure, replaces itself. Names of batches are in their order."""
+    rows.write.mode("overwrite").json(f"{path}/{batch}")
 
 
 def new_keys(rows: DataFrame, stored: DataFrame, key: str = "video_id") -> DataFrame:
@@ -124,11 +141,41 @@ class VectorStore:
             new_keys(vectors, self.rows()).write.mode("append").partitionBy("video_id").parquet(self.path)
 
 
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors share; without it
+    a session in one process uses a temporary one, and a cluster is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors of a cluster share no other folder")
+        root = "file://" + tempfile.mkdtemp(prefix="cuespan-")
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def merge_in_place(rows: DataFrame, path: str, key: str = "video_id", skip_existing: bool = False) -> None:
+    """Write ``rows`` into a table partitioned by ``key``: keys that are there already are
+    left alone, or replaced as a whole."""
+    spark = rows.sparkSession
+    if not skip_existing:
+        overwrite_partitions(rows, path, key)
+        return
+    try:
+        stored = spark.read.schema(rows.schema).parquet(path)
+    except AnalysisException as e:  # the table's first use
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        stored = rows.limit(0)
+    new_keys(rows, stored, key).write.mode("append").partitionBy(key).parquet(path)
+
+
 def pair_of_outputs(pairs: DataFrame, done: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Resume: work that has no result yet."""
     return pairs.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def show_table(rows: DataFrame, n: int = 100) -> str:
-    """A report table as text; for small results."""
-    return rows.limit(n).toPandas().to_string(index=False)
+def show_table(rows: DataFrame, n: int = 100, tee: str | None = None) -> str:
+    """A report table as text; for small results. With ``tee`` it is written there as well."""
+    shown = rows.limit(n).toPandas().to_string(index=False)
+    if tee is not None:
+        rows.sparkSession.createDataFrame([(shown,)], "value string").coalesce(1).write.mode("overwrite").text(tee)
+    return shown

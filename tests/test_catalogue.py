@@ -1,6 +1,6 @@
 import pytest
 
-from cuespan.plans.catalogue import ORACLES, QUERIES
+from cuespan.plans.registry import ORACLES, QUERIES
 
 from .conftest import SMALL, same_rows
 
