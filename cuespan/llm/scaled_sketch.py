@@ -55,6 +55,17 @@ def fingerprint(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), HASH_BITS // 4, "0")), "")
 
 
+def packed(hashes: Column) -> Column:
+    """Six bytes a hash: what is shuffled of a sketch."""
+    return F.unhex(fingerprint(hashes))
+
+
+def unpacked(raw: Column) -> Column:
+    width = HASH_BITS // 8
+    number = lambda i: F.conv(F.hex(F.substring(raw, i * width + 1, width)), 16, 10).cast("long")
+    return F.when(F.length(raw) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.call_function("div", F.length(raw), F.lit(width)).cast("int") - 1), number))
+
+
 def merge(a: Column, b: Column) -> Column:
     """The sketch of two texts' shingles together."""
     return F.array_sort(F.array_union(a, b))
@@ -99,13 +110,13 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     keys = rows.groupBy(*KEY).agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("need"))
     asked = materialize(next_keys(keys), "sketch-next")
     asks = asked.select(*[F.col("then")[c].alias(c) for c in KEY], F.struct(*KEY).alias("by"), "need")
-    told = rows.join(asks, KEY).select("by", F.substring("text", F.lit(1), F.col("need")).alias("start"), sketch(F.col("text")).alias("next_sketch"))
+    told = rows.join(asks, KEY).select("by", F.substring("text", F.lit(1), F.col("need")).alias("start"), packed(sketch(F.col("text"))).alias("next_packed"))
     # one answer for each key, however often the next document is repeated
-    told = told.select("by.*", "start", "next_sketch").groupBy(*KEY).agg(F.max("start").alias("start"), F.max("next_sketch").alias("next_sketch"))
+    told = told.select("by.*", "start", "next_packed").groupBy(*KEY).agg(F.max("start").alias("start"), F.max("next_packed").alias("next_packed"))
     both = rows.join(told, KEY)
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")), F.col("start"))
-    out = both.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("sketch"), "next_sketch")
+    out = both.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("sketch"), unpacked(F.col("next_packed")).alias("next_sketch"))
     return out.withColumn("edited_sketch", sketch(F.col("edited")))
 
 
