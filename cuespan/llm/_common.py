@@ -10,7 +10,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -55,6 +57,13 @@ def unit_hash(seed: int, *cols: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def some_rows(batches: Iterable[pa.RecordBatch], n: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``n`` rows: a worker holds no more texts as Python strings."""
+    for b in batches:
+        for at in range(0, b.num_rows, n):
+            yield b.slice(at, n)
+
+
 def ranged(rows: DataFrame, order: list[Column], tag: str) -> tuple[DataFrame, DataFrame]:
     """``rows`` cut into ranges of ``order`` and written down with the number ``part`` of the
     range, and one row a range: part, its rows ``n``, and the rows of the ranges before it.

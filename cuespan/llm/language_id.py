@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_fold, materialize, table, unit_hash
+from ._common import id_fold, materialize, some_rows, table, unit_hash
 
 FOLDS = 5
 HELD_OUT = 0
@@ -146,7 +146,7 @@ def training_sample(docs: DataFrame, per_language: int = 1500, max_rows: int = 1
     chosen = usable.join(counts, "lang").filter(unit_hash(seed, "doc_id") < F.lit(each) / F.col("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in some_rows(batches):
             bags = [bag(t) for t in b.column("text").to_pylist()]
             ids, shares = [x.astype("<u2").tobytes() for x, _ in bags], [w.astype("<f4").tobytes() for _, w in bags]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], names=["doc_id", "lang", "ids", "shares"])
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score, and rejected: the score is below the calibrated threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in some_rows(batches):
             found = [model.predict(t) for t in b.column("text").to_pylist()]
             langs, scores = [x[0] for x in found], [x[1] for x in found]
             off = [x == UND or s < model.threshold for x, s in found]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_fold, table, unit_hash
+from ._common import id_fold, some_rows, table, unit_hash
 
 FOLDS = 4
 HELD_OUT = 2
@@ -108,6 +108,7 @@ def risk(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tup
     """The two parts of the unbiased logistic risk, ``prior * R+`` and ``Ru- - prior * R-``, and
     their gradients; rows of ``xp`` and ``xu`` end in a one."""
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    xp, xu = xp.astype(np.float64), xu.astype(np.float64)
     zp, zu = xp @ theta, xu @ theta
     positive = prior * np.logaddexp(0, -zp).mean()
     negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
@@ -125,8 +126,15 @@ def step_direction(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: flo
 def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 60, batch: int = 256, rate: float = 0.02, l2: float = 1e-4, seed: int = 5) -> QualityModel:
     """Minimise the non-negative risk of a linear scorer with logistic loss (Adam steps)."""
     rng = np.random.default_rng(seed)
-    mean, scale = unl.mean(axis=0), unl.std(axis=0) + 0.05
-    with_one = lambda x: np.concatenate([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))], axis=1)
+    mean = unl.mean(axis=0, dtype=np.float64)
+    scale = unl.std(axis=0, dtype=np.float64) + 0.05
+
+    def with_one(x: np.ndarray) -> np.ndarray:
+        out = np.ones((len(x), x.shape[1] + 1), np.float32)
+        for at in range(0, len(x), 1024):  # the driver holds one copy, in single precision
+            out[at : at + 1024, :-1] = np.clip((x[at : at + 1024] - mean) / scale, -8, 8)
+        return out
+
     p, u = with_one(pos), with_one(unl)
     theta = np.zeros(p.shape[1])
     m, v, t = np.zeros(len(theta)), np.zeros(len(theta)), 0
@@ -192,11 +200,11 @@ def vectors(docs: DataFrame, *keep: str) -> DataFrame:
     fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = pa.array([features(t) for t in b.column("text").to_pylist()], pa.list_(pa.float32()))
+        for b in some_rows(batches):
+            found = pa.array([features(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [found], names=[*keep, "features"])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, features array<float>")
+    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, features binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positives: int = 9000, max_unlabelled: int = 18000, seed: int = 3) -> QualityModel:
@@ -208,17 +216,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_positives: int = 9000, max_unlab
     flat = QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 0.5, usable=False)
     if not n_good or not total:
         return flat
-    # the smallest hashes; the filter only spares the sort rows
-    some = good.filter(F.col("hash") < (2 * max_positives + 40) / n_good).orderBy("hash", "good_id").limit(max_positives).select("good_id")
-    pos = pool.join(F.broadcast(some), F.col("doc_id") == F.col("good_id")).select("doc_id", "text", F.lit(1).alias("y"))  # bounded by the limit
-    unl = pool.filter(F.col("hash") < (2 * max_unlabelled + 40) / total).orderBy("hash", "doc_id").limit(max_unlabelled).select("doc_id", "text", F.lit(0).alias("y"))
-    got = vectors(pos.unionByName(unl), "doc_id", "y").toPandas()
-    if not (got["y"] == 1).any():
+    # the smallest hashes; the filter only spares the sort rows. Ids are chosen first: texts
+    # stay where they are, and the tables of ids are bounded by the limits
+    least = lambda df, most, of, name: df.filter(F.col("hash") < (2 * most + 40) / of).orderBy("hash", name).limit(most).select(F.col(name).alias("chosen"))
+    some = least(good, max_positives, n_good, "good_id").withColumn("y", F.lit(1)).unionByName(least(pool.filter("doc_id is not null"), max_unlabelled, total, "doc_id").withColumn("y", F.lit(0)))
+    sample = pool.join(F.broadcast(some), F.col("doc_id") == F.col("chosen")).select("doc_id", "text", "y")
+    # ids may repeat: the limit bounds what reaches the driver
+    got = vectors(sample, "doc_id", "y").limit(2 * (max_positives + max_unlabelled)).toPandas()
+    x = np.frombuffer(b"".join(got["features"]), np.float32).reshape(-1, N_FEATURES)
+    y, ids = got["y"].to_numpy(), got["doc_id"].to_numpy()
+    del got
+    if not (y == 1).any():
         return flat
-    x = np.stack(got["features"].to_numpy()).astype(np.float64)
-    ids = got["doc_id"].fillna(-1).to_numpy()
     order = np.lexsort((x[:, 0], ids, np.array([zlib.crc32(str(i).encode()) for i in ids])))  # whatever order the tasks came in
-    x, y = x[order], got["y"].to_numpy()[order]
+    x, y = x[order], y[order]
     return learn(x[y == 1], x[y == 0])
 
 
@@ -227,7 +238,7 @@ def score(docs: DataFrame, model: QualityModel, *keep: str) -> DataFrame:
     fields = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in some_rows(batches):
             x = np.array([features(t) for t in b.column("text").to_pylist()], dtype=np.float64).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(model.score(x))], names=[*keep, "score"])
 
