@@ -36,7 +36,7 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_DOCS = 4096
 CACHE_WORDS = 1_000_000
-CHUNK_BYTES = 1 << 23
+CHUNK_BYTES = 1 << 22
 #: Marks after a run of letters are a unit of the vocabulary's rules; "'" may begin another.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
