@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -37,6 +38,17 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def sweep_scratch(spark: SparkSession, hours: float = 24.0) -> int:
+    """Remove scratch tables that are older than ``hours`` and say how many they were. They
+    outlive their query, whose result is read lazily: to be called when no job needs them."""
+    root = scratch_path(spark, "x").rpartition("/")[0]
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = time.time() - hours * 3600
+    found = [s.getPath() for s in fs.listStatus(p) if s.getModificationTime() / 1000 < old and re.search(r"-[0-9a-f]{32}$", s.getPath().getName())] if fs.exists(p) else []
+    return sum(bool(fs.delete(x, True)) for x in found)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a cut in the lineage
     that outlives executors and keeps what comes before from being computed twice."""

@@ -5,6 +5,9 @@ and one small-star step (Kiveris et al. 2014), and is written to the shared fold
 rounds end when the edges no longer change, and are then stars around their smallest node.
 Partitions are cut by the number of edges (``EDGES_A_TASK``), not by the engine's number of
 shuffle partitions: few edges are contracted in few tasks, and in one the answer is there.
+
+Defined edge cases: an edge with a null, or from a node to itself, connects nothing;
+repeated edges count once; without edges the result is empty; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -59,6 +59,7 @@ BLOCK_TOKENS = 1_000_000
 MU = 0.0085  # cost of a probe against a merge step, as published for DivideSkip
 MAX_FILTER_BITS = 27  # 16 MB at most
 MIN_BUCKETS, BUCKET_TOKENS = 64, 3_000_000  # of the hash range, in which windows are counted
+MAX_BUCKETS = 16_384  # beyond that buckets grow, and their sort spills: arrays stay long
 _CACHE_WORDS = 200_000
 _BATCH_DOCS = 2000  # of an input batch at a time: bounds what a task holds
 _HOT_RANK = 1 << 62
@@ -238,7 +239,7 @@ def short_lists(rows: DataFrame, num: int = NUM, den: int = DEN, local_hot: int
     """(sid, rare, hot): the rarest window hashes of each class that can have a partner, and
     which of them are in more than ``local_hot`` classes."""
     total = rows.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
-    buckets = max(MIN_BUCKETS, -(-total // BUCKET_TOKENS))
+    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, -(-total // BUCKET_TOKENS)))
     each = packed_windows(rows, buckets).repartitionById(buckets, F.col("bucket")).select("bucket", "is_hot", F.inline(F.arrays_zip("tokens", "xs")))
     each = each.select("bucket", F.col("tokens").alias("token"), F.when(~F.col("is_hot"), F.col("xs")).alias("sid"), F.when(F.col("is_hot"), F.col("xs")).otherwise(1).alias("times"))
     by = W.partitionBy("bucket", "token")  # a bucket is a partition: nothing moves

@@ -252,3 +252,30 @@ def test_shards_on_table(spark, tmp_path):
     assert all(r.size == len(docs[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(docs[r.doc_id].encode()) for r in rows)
     hilbert_sharding.write_shards(got, str(tmp_path / "s"))
     assert len(list((tmp_path / "s").glob("shard=*"))) == 24
+
+
+def test_scratch(spark, odd):
+    from cuespan.llm import _common
+
+    _common.materialize(odd.select("doc_id"), "swept")
+    assert _common.sweep_scratch(spark, hours=24) == 0
+    assert _common.sweep_scratch(spark, hours=-1) > 0 and _common.sweep_scratch(spark, hours=-1) == 0
+
+
+@pytest.mark.parametrize("master, fine", [("local", True), ("local[4]", True), ("local[*]", True), ("local-cluster[3,2,1000]", False), ("spark://x:7077", False), ("yarn", False)])
+def test_no_local_folder_on_a_cluster(master, fine):
+    from types import SimpleNamespace
+
+    from cuespan.llm import _common
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    if fine:
+        assert _common.scratch_path(session, "t").startswith("file://")
+    else:
+        with pytest.raises(RuntimeError):
+            _common.scratch_path(session, "t")
+
+
+def test_components_edge_cases(spark):
+    edges = spark.createDataFrame([(1, 1), (None, 2), (3, None), (5, 4), (4, 5), (5, 4)], "u long, v long")
+    assert [tuple(r) for r in components.connected_components(edges).collect()] == [(5, 4)]
