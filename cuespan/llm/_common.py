@@ -6,6 +6,8 @@ not set, a session in one process uses a temporary folder, and a cluster is an e
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import re
 import tempfile
@@ -22,6 +24,8 @@ from pyspark.sql import Window as W
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 NO_ID = (1 << 63) - 1
+#: Keys with more than one in so many of all rows are hot; there are fewer of them than this.
+HOT_KEYS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,11 +73,37 @@ def unit_hash(seed: int, *cols: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the system. Workers outlive their task, and an idle
+    one takes its memory from the executor's next stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def some_rows(batches: Iterable[pa.RecordBatch], n: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices of ``n`` rows: a worker holds no more texts as Python strings."""
     for b in batches:
         for at in range(0, b.num_rows, n):
             yield b.slice(at, n)
+        del b
+    give_back()
+
+
+def hot_join(rows: DataFrame, few: DataFrame, keys: list[str], is_hot: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few``, which has one row a key; ``how`` is inner or left.
+
+    Rows of hot keys stay where they are, and the hot part of ``few``, which must have a
+    bound, goes to them; the others are left to the engine. Null keys meet nothing and
+    aren't shuffled either: they would all be dealt to one task."""
+    hot = few.filter(is_hot)
+    some = rows.dropna(subset=keys)
+    cold = some.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(few.filter(~is_hot), keys, how)
+    both = some.join(F.broadcast(hot), keys).unionByName(cold)
+    if how == "inner":
+        return both
+    no_key = functools.reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    return both.unionByName(rows.filter(no_key), allowMissingColumns=True)
 
 
 def ranged(rows: DataFrame, order: list[Column], tag: str) -> tuple[DataFrame, DataFrame]:

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import NO_ID, materialize, table
+from ._common import HOT_KEYS, NO_ID, give_back, hot_join, materialize, table
 from .components import connected_components, spanning_stars
 
 SHINGLE = 4
@@ -202,6 +202,7 @@ def window_rows(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int =
             yield out.assign(tokens=tokens, hot=hot_tokens, counts=None)
             if len(hot):
                 yield pd.DataFrame({"id": [NO_ID], "sid": [0], "n": [-1], "tokens": [hot], "hot": [None], "counts": [times]})
+        give_back()
 
     kept = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     # no nulls among the numbers on the way: pandas would make floats of them
@@ -230,6 +231,7 @@ def packed_windows(rows: DataFrame, buckets: int) -> DataFrame:
             yield pieces(own["tokens"].tolist(), np.repeat(own["sid"].to_numpy(np.int64), sizes), False)
             if len(sums):
                 yield pieces(sums["tokens"].tolist(), np.concatenate(sums["counts"].tolist()), True)
+        give_back()
 
     kept = rows.filter("tokens is not null").select(F.coalesce("sid", F.lit(0)).alias("sid"), "tokens", "counts")
     return kept.mapInPandas(run, "bucket int, is_hot boolean, tokens array<long>, xs array<long>")
@@ -295,6 +297,8 @@ def hot_edges(lists: DataFrame, edges_a_task: int = 1_000_000) -> DataFrame:
                     yield pd.DataFrame(held, columns=["u", "v"], dtype="int64")
                     held = []
         yield pd.DataFrame(spanning_stars(held), columns=["u", "v"], dtype="int64")
+        held.clear()
+        give_back()
 
     return lists.filter(F.size("hot") > 0).select("sid", "hot").mapInPandas(run, "u long, v long")
 
@@ -346,6 +350,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     if len(h):
                         found[set_digest(h)] = h.tobytes()
                 yield pd.DataFrame({"sid": list(found), "hashes": list(found.values())}).astype({"sid": "int64"})
+        give_back()
 
     texts = docs.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), F.lit(bits)).alias("at"), "text")
     return texts.mapInPandas(run, "sid long, hashes binary")
@@ -387,7 +392,8 @@ def link_counts(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int =
     times = classes.select("sid", "times")
     others = both.join(times, F.col("v") == F.col("sid")).groupBy("u").agg(F.sum("times").alias("others"))
     each = times.join(others, F.col("sid") == F.col("u"), "left").select("sid", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    out = rows.filter("n >= 0").select("id", "sid", "n").join(each, "sid", "left")
+    each, total = materialize(each.join(times, "sid"), "jaccard-counts"), rows.count()
+    out = hot_join(rows.filter("n >= 0").select("id", "sid", "n"), each, ["sid"], F.col("times") * HOT_KEYS > total, "left")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -398,12 +404,10 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den
     named = links.join(classes.select("sid", "id"), F.col("u") == F.col("sid")).groupBy("v").agg(F.min("id").alias("low"))
     ends = named.join(classes.select("sid", "id"), F.col("v") == F.col("sid")).select("v", F.least("low", "id").alias("component"))
     linked = links.join(ends, "v").select(F.col("u").alias("sid"), "component").unionByName(ends.select(F.col("v").alias("sid"), "component"))
-    # classes of several rows or with links: the others' component is their own id. Written
-    # down: the engine broadcasts a small table, and splits the partition of a hot class
-    answer = classes.join(linked, "sid", "left").filter("times > 1 or component is not null").select("sid", F.coalesce("component", "id").alias("component"))
-    answer = materialize(answer, "jaccard-answer")
-    per_doc = rows.filter("n >= 0").select("id", "sid", "n")
-    out = per_doc.join(answer, "sid", "left")
+    # classes of several rows or with links: the others' component is their own id
+    answer = classes.join(linked, "sid", "left").filter("times > 1 or component is not null").select("sid", "times", F.coalesce("component", "id").alias("component"))
+    answer, total = materialize(answer, "jaccard-answer"), rows.count()
+    out = hot_join(rows.filter("n >= 0").select("id", "sid", "n"), answer, ["sid"], F.col("times") * HOT_KEYS > total, "left")
     real = lambda c: F.when(c != NO_ID, c)
     return out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "id")).alias("component_id"))
 

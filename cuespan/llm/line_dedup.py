@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, materialize, table
+from ._common import HOT_KEYS, NO_ID, hot_join, materialize, table
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -47,12 +47,13 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     """(id, h, drops): the positions, ascending, of the lines that a document loses."""
     held = materialize(line_hashes(docs, min_chars), "line-hashes")
     if min_docs == 2:  # two documents at least: the smallest and the largest id differ
-        keep = held.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
+        keep = held.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).filter("first < last").drop("last")
     else:
-        keep = held.select("id", "a", "b").distinct().groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter(F.col("n") >= min_docs).drop("n")
-    # written down: a join of two tables, of which the engine broadcasts a small one and
-    # splits a hot line's partition where both are shuffled
-    drops = held.join(materialize(keep, "line-keys"), ["a", "b"]).filter("id > first")
+        per_doc = held.groupBy("a", "b", "id").agg(F.count("*").alias("n"))
+        keep = per_doc.groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("docs"), F.sum("n").alias("n")).filter(F.col("docs") >= min_docs).drop("docs")
+    # a line of a boilerplate kind may be in a third of all documents: such keys are few
+    keep, total = materialize(keep, "line-keys"), held.count()
+    drops = hot_join(held, keep, ["a", "b"], F.col("n") * HOT_KEYS > total).filter("id > first")
     return drops.groupBy("id", "h").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, materialize, table
+from ._common import NO_ID, give_back, materialize, table
 
 CAPACITY = 4096
 END_ID = 2
@@ -178,6 +178,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                 columns = [names[first:last][which], start, length, np.array([zlib.crc32(x) for x in parts], np.int64), sizes[which]]
                 arrays = [pa.array(x, pa.int64()) for x in columns] + [pa.array([bytes(x) for x in parts], pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids)
+        give_back()
 
     # null ids travel as a number: numpy would make floats of a column with nulls
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")

@@ -135,8 +135,10 @@ def test_lines_odd(spark, odd, empty, min_docs):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_lines_by_brute_force(spark):
+@pytest.mark.parametrize("hot_keys", [1, 30, 10_000])
+def test_lines_by_brute_force(spark, monkeypatch, hot_keys):
     """Line ends that are none, blanks of all kinds, repeated lines, ids with several texts."""
+    monkeypatch.setattr(line_dedup, "HOT_KEYS", hot_keys)
     rng = random.Random(8)
     ends = ["", "\x85", "\u2028", "\u2029", "\xa0", " ", "\t\r", "\x0b\x0c", "\x1c"]
     pool = [f"{a}Some Line number {i % 7}{b}" for i, (a, b) in enumerate((a, b) for a in ends for b in ends)] + ["short", "", "  ", "just nine", "exactly 10"]

@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cuespan.llm import components, hilbert_sharding, jaccard_join, scaled_sketch
+from cuespan.llm._common import hot_join
 
 from ..conftest import SMALL
 from .conftest import odd_rows
@@ -279,3 +280,12 @@ def test_no_local_folder_on_a_cluster(master, fine):
 def test_components_edge_cases(spark):
     edges = spark.createDataFrame([(1, 1), (None, 2), (3, None), (5, 4), (4, 5), (5, 4)], "u long, v long")
     assert [tuple(r) for r in components.connected_components(edges).collect()] == [(5, 4)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_join_is_a_join(spark, how):
+    rows = spark.createDataFrame([(i, None if i % 5 == 4 else i % 3 + i % 2 * i, i % 2) for i in range(60)], "id long, k long, j long")
+    few = spark.createDataFrame([(k, k % 2, f"of {k}") for k in range(0, 50, 2)] + [(k, 1, f"of {k}") for k in range(1, 30)], "k long, j long, what string").dropDuplicates(["k", "j"])
+    for hot in (F.lit(False), F.lit(True), F.col("k") == 1):
+        got = hot_join(rows, few, ["k", "j"], hot, how).select("id", "k", "j", "what")
+        assert sorted(got.collect(), key=repr) == sorted(rows.join(few, ["k", "j"], how).select("id", "k", "j", "what").collect(), key=repr)
