@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_sharding, jaccard_join, language_id, line_dedup, mixing, packing, pu_quality, quality_rules, scaled_sketch, token_counts
+from . import filter_audit, hilbert_sharding, jaccard_join, language_id, line_dedup, merkle_manifest, mixing, packing, pu_quality, quality_rules, scaled_sketch, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -19,10 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert_sharding": hilbert_sharding.op8_hilbert_sharding,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.oracle(),
     "op3_poisson_mix": mixing.oracle(),
     "op9_line_dedup": line_dedup.oracle(),
     "op10_token_counts": token_counts.oracle(),
+    "op11_merkle_manifest": merkle_manifest.oracle(),
+    "op12_suffix_dedup": suffix_dedup.oracle(),
+    "op13_filter_audit": filter_audit.oracle(),
 }
