@@ -102,7 +102,31 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def half_even(x: Column, digits: int) -> Column:
-    return F.bround(x, digits)
+    """Round to ``digits`` decimals as Python's ``round`` does: by the binary value itself, of
+    which the shortest decimal text may lie on the other side of a half; exact halves go to
+    the even digit.
+
+    The product with 10^digits is kept as a double and its exact error (Dekker's split), so
+    the comparison with a half is exact; from 2^53 units on, a double has no such digits."""
+    scale = float(10**digits)
+
+    def split(a: Column) -> Column:
+        high = a * 134217729.0 - (a * 134217729.0 - a)
+        return F.struct(high.alias("h"), (a - high).alias("l"))
+
+    bh = 134217729.0 * scale - (134217729.0 * scale - scale)
+    bl = scale - bh
+    value = F.transform(F.array(x.cast("double")), lambda v: F.struct(v.alias("x"), F.abs(v).alias("a"), (F.abs(v) * scale).alias("p")))
+    parts = F.transform(value, lambda s: F.struct(s["x"].alias("x"), s["p"].alias("p"), F.floor(s["p"]).cast("double").alias("n"), split(s["a"]).alias("s")))
+    exact = F.transform(parts, lambda s: F.struct(s["x"].alias("x"), s["p"].alias("p"), s["n"].alias("n"), (((s["s"]["h"] * bh - s["p"]) + s["s"]["h"] * bl + s["s"]["l"] * bh) + s["s"]["l"] * bl).alias("e")))
+
+    def nearest(s: Column) -> Column:
+        odd = s["n"] % 2 == 1
+        above, below = (s["p"] - s["n"] - 0.5) + s["e"], (s["p"] - s["n"] + 0.5) + s["e"]
+        whole = F.when((above > 0) | ((above == 0) & odd), s["n"] + 1).when((below < 0) | ((below == 0) & odd), s["n"] - 1).otherwise(s["n"])
+        return F.when(s["p"] < float(1 << 53), F.when(s["x"] < 0, -(whole / scale)).otherwise(whole / scale)).otherwise(s["x"])
+
+    return F.transform(exact, nearest)[0]
 
 
 def signed(x: Column, digits: int = 3) -> Column:

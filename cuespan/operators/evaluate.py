@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import spans as S
-from ..functions.text import strip
+from ..functions.text import half_even, strip
 from .joins import with_every_config
 
 METRICS = ("temporal_iou", "multihop_per_hop_iou", "multihop_union_iou", "multihop_per_hop_recall_at_5", "citation_accuracy", "iou_at_03", "iou_at_05", "hit_rate_at_1", "hit_rate_at_3", "hit_rate_at_5", "multihop_complete_at_5")
@@ -115,7 +115,7 @@ def score_summary(results: DataFrame, pairs: DataFrame, scores: tuple[str, ...],
     missing = F.coalesce(F.col("gold"), F.lit("")) == ""
     empty = ~missing & (strip(F.coalesce(F.col("generated_answer"), F.lit(""))) == "")
     used = ~missing & ~empty
-    mean = lambda c: F.coalesce(F.bround(F.avg(F.when(used, F.col(c))), digits), F.lit(0.0)).alias(c)
+    mean = lambda c: F.coalesce(half_even(F.avg(F.when(used, F.col(c))), digits), F.lit(0.0)).alias(c)
     return joined.groupBy(by).agg(F.count_if(used).alias("n"), F.count_if(missing).alias("missing"), F.count_if(empty).alias("empty"), F.count_if(used & F.col("error").isNotNull()).alias("errors"), *[mean(c) for c in scores])
 
 
@@ -132,7 +132,7 @@ def systems_table(results: DataFrame, pairs: DataFrame, systems: tuple[str, ...]
     ``scores`` (columns of ``results``); a system without any has n = 0 and zeros."""
     gold = pairs.filter(F.col("answer").isNotNull()).select("qa_id")
     used = results.filter(strip(F.coalesce(F.col("generated_answer"), F.lit(""))) != "").join(gold, "qa_id", "left_semi")
-    by = used.groupBy("system").agg(F.count("*").alias("n"), *[F.bround(F.avg(c), digits).alias(c) for c in scores])
+    by = used.groupBy("system").agg(F.count("*").alias("n"), *[half_even(F.avg(c), digits).alias(c) for c in scores])
     named = results.sparkSession.createDataFrame([(s,) for s in systems], "system string")
     return named.join(by, "system", "left").na.fill(0)
 
@@ -141,7 +141,7 @@ def entailment_table(scored: DataFrame, systems: tuple[str, ...], digits: int =
     """Mean entailment of each system over all its answers and over those to visual and
     other questions; scored: system, is_visual, entail_p, entail_r. Nothing scored is 0."""
     groups = {"all": F.lit(True), "visual": F.col("is_visual"), "other": ~F.col("is_visual")}
-    mean = lambda c, on: F.coalesce(F.bround(F.avg(F.when(on, F.col(c))), digits), F.lit(0.0))
+    mean = lambda c, on: F.coalesce(half_even(F.avg(F.when(on, F.col(c))), digits), F.lit(0.0))
     by = scored.groupBy("system").agg(F.count("*").alias("n"), *[mean(f"entail_{k}", on).alias(f"entail_{k}_{name}") for k in "pr" for name, on in groups.items()])
     named = scored.sparkSession.createDataFrame([(s,) for s in systems], "system string")
     return named.join(by, "system", "left").na.fill(0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import schemas
-from ..functions.text import concept_hits, evidence_coverage, percent, span_error
+from ..functions.text import concept_hits, evidence_coverage, half_even, percent, span_error
 
 MIN_GAP = 70.0
 FAIL_SHARE = 0.30
@@ -113,7 +113,7 @@ def error_by_type(worst: DataFrame, types: tuple[str, ...] = ("multi-hop-visual"
     without any are left out."""
     place = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("question_type")).cast("int")
     by = worst.withColumn("place", place).filter("place > 0").groupBy("place", "question_type")
-    return by.agg(F.count("*").alias("n"), F.bround(F.avg("estimated_error_s"), 1).alias("mean_error_s"))
+    return by.agg(F.count("*").alias("n"), half_even(F.avg("estimated_error_s"), 1).alias("mean_error_s"))
 
 
 def merge_regenerated(stored: DataFrame, log: DataFrame, regenerated: DataFrame, key: str = "video_id", floor: int = 12, offset: int = 15) -> DataFrame:
@@ -154,7 +154,7 @@ def review_decision(reviews: DataFrame) -> DataFrame:
 def review_stats(reviews: DataFrame, key: str = "video_id") -> DataFrame:
     """Per lecture: accepted, rejected, share accepted."""
     a, r = F.count_if(F.col("decision") == "ACCEPT"), F.count_if(F.col("decision") == "REJECT")
-    return reviews.groupBy(key).agg(F.count("*").alias("total"), a.alias("accepted"), r.alias("rejected"), F.bround(percent(a, F.count("*")), 1).alias("accepted_pct"))
+    return reviews.groupBy(key).agg(F.count("*").alias("total"), a.alias("accepted"), r.alias("rejected"), half_even(percent(a, F.count("*")), 1).alias("accepted_pct"))
 
 
 def rejection_reasons(reviews: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def manifest(pairs: DataFrame) -> DataFrame:
         F.count_if("answerable").alias("answerable"),
         F.count_if(visual).alias("visual"),
         F.count_if(multi).alias("multi_hop"),
-        F.bround(percent(F.count_if(visual), F.count("*")), 1).alias("visual_pct"),
+        half_even(percent(F.count_if(visual), F.count("*")), 1).alias("visual_pct"),
     )
     return one.crossJoin(F.broadcast(types))  # one row each
 

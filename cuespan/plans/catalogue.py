@@ -262,11 +262,11 @@ def _with_groups(e: DataFrame) -> DataFrame:
     return e.withColumn("grp", F.explode(F.when(visual, F.array("question_type", F.lit("all visual"))).otherwise(F.array("question_type"))))
 
 
-@query(f"""WITH {V.EVAL}, {_GROUPS}, m AS (SELECT grp, round_even(avg(temporal_iou) FILTER (config='{CONFIGS[0]}'), 3) AS c1, round_even(avg(temporal_iou) FILTER (config='{CONFIGS[1]}'), 3) AS c2 FROM g GROUP BY 1)
+@query(f"""WITH {V.EVAL}, {_GROUPS}, m AS (SELECT grp, printf('%.3f', (avg(temporal_iou) FILTER (config='{CONFIGS[0]}'))::DOUBLE)::DOUBLE AS c1, printf('%.3f', (avg(temporal_iou) FILTER (config='{CONFIGS[1]}'))::DOUBLE)::DOUBLE AS c2 FROM g GROUP BY 1)
 SELECT grp, c1, c2, round_even(c2-c1, 6) AS delta FROM m""")
 def q27_table_by_type(spark: SparkSession, d: str) -> DataFrame:
     p = _with_groups(V.evaluated(spark, d)).groupBy("grp").pivot("config", list(CONFIGS)).agg(F.avg("temporal_iou"))
-    m = p.select("grp", F.bround(CONFIGS[0], 3).alias("c1"), F.bround(CONFIGS[1], 3).alias("c2"))
+    m = p.select("grp", text.half_even(F.col(CONFIGS[0]), 3).alias("c1"), text.half_even(F.col(CONFIGS[1]), 3).alias("c2"))
     return m.withColumn("delta", F.bround(F.col("c2") - F.col("c1"), 6))
 
 
@@ -281,13 +281,13 @@ def q28_table_hr(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {V.CORPUS}, {V.QA}, t AS (SELECT question_type AS label, count(*) AS n FROM qa GROUP BY 1 UNION ALL SELECT CASE WHEN question_type IN ('visual','multi-hop-visual') THEN 'group: visual' ELSE 'group: other' END, count(*) FROM qa GROUP BY 1)
-SELECT label, n::BIGINT AS n, round_even(100.0::DOUBLE*n/(SELECT count(*) FROM qa), 1) AS pct FROM t""")
+SELECT label, n::BIGINT AS n, printf('%.1f', (100.0::DOUBLE*n/(SELECT count(*) FROM qa))::DOUBLE)::DOUBLE AS pct FROM t""")
 def q30_fig_distribution(spark: SparkSession, d: str) -> DataFrame:
     group = F.when(F.col("question_type").isin(*schemas.VISUAL_TYPES), "group: visual").otherwise("group: other")
     labels = V.questions(spark, d).select(F.explode(F.array("question_type", group)).alias("label"), F.lit(1).alias("one"))
     by = labels.groupBy("label").agg(F.count("*").alias("n"))
     total = F.sum("n").over(W.partitionBy(F.lit(1))) / 2  # each question counts under two labels; a handful of rows
-    return by.select("label", "n", F.bround(100.0 * F.col("n") / total, 1).alias("pct"))
+    return by.select("label", "n", text.half_even(100.0 * F.col("n") / total, 1).alias("pct"))
 
 
 @query(f"""WITH {V.EVAL}, t AS (SELECT unnest({list(TYPES)}) AS question_type), c AS (SELECT unnest({list(CONFIGS)}) AS config)
@@ -311,7 +311,7 @@ def q32_fig_hr_curve(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {V.CORPUS}, {V.QA}, m AS (SELECT count(*) AS total, count(DISTINCT video_id) AS n_lectures, count(*) FILTER (question_type <> 'unanswerable') AS answerable, count(*) FILTER (question_type LIKE '%visual') AS visual, count(*) FILTER (question_type LIKE 'multi-hop%') AS multi_hop, string_agg(DISTINCT video_id::VARCHAR, ',' ORDER BY video_id::VARCHAR) AS lectures FROM qa),
 t AS (SELECT question_type, count(*) AS n FROM qa GROUP BY 1)
-SELECT total::BIGINT AS total, n_lectures::BIGINT AS n_lectures, lectures, answerable::BIGINT AS answerable, visual::BIGINT AS visual, multi_hop::BIGINT AS multi_hop, round_even(100.0::DOUBLE*visual/total, 1) AS visual_pct, question_type, n::BIGINT AS n FROM m, t""")
+SELECT total::BIGINT AS total, n_lectures::BIGINT AS n_lectures, lectures, answerable::BIGINT AS answerable, visual::BIGINT AS visual, multi_hop::BIGINT AS multi_hop, printf('%.1f', (100.0::DOUBLE*visual/total)::DOUBLE)::DOUBLE AS visual_pct, question_type, n::BIGINT AS n FROM m, t""")
 def q33_manifest(spark: SparkSession, d: str) -> DataFrame:
     m = quality.manifest(V.questions(spark, d).withColumn("video_id", F.col("video_id").cast("string")))
     return m.select("total", "n_lectures", F.array_join("lectures", ",").alias("lectures"), "answerable", "visual", "multi_hop", "visual_pct", F.explode("by_question_type").alias("question_type", "n"))
@@ -367,7 +367,7 @@ def _decided(spark: SparkSession, d: str) -> DataFrame:
     return quality.review_decision(V.reviews(spark, d))
 
 
-@query(f"""WITH {V.REVIEW} SELECT video_id, count(*)::BIGINT AS total, count(*) FILTER (decision='ACCEPT')::BIGINT AS accepted, count(*) FILTER (decision='REJECT')::BIGINT AS rejected, round_even(100.0::DOUBLE*count(*) FILTER (decision='ACCEPT')/count(*), 1) AS accepted_pct FROM dec GROUP BY 1""")
+@query(f"""WITH {V.REVIEW} SELECT video_id, count(*)::BIGINT AS total, count(*) FILTER (decision='ACCEPT')::BIGINT AS accepted, count(*) FILTER (decision='REJECT')::BIGINT AS rejected, printf('%.1f', (100.0::DOUBLE*count(*) FILTER (decision='ACCEPT')/count(*))::DOUBLE)::DOUBLE AS accepted_pct FROM dec GROUP BY 1""")
 def q36_review_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.review_stats(_decided(spark, d))
 

@@ -39,7 +39,7 @@ _SCORES = f"sc AS (SELECT conv_id, turn, bleu, rouge_l FROM ({_bleu_sql()}) JOIN
 
 
 @query(f"""WITH {_ANSWERS}, {_SCORES}, s AS (SELECT unnest({list(SYSTEMS)}) AS system), x AS (SELECT * FROM an JOIN sc USING (conv_id, turn) WHERE said <> '' AND NOT missing)
-SELECT system, count(bleu)::BIGINT AS n, coalesce(round_even(avg(bleu), 4), 0.0)::DOUBLE AS bleu, coalesce(round_even(avg(rouge_l), 4), 0.0)::DOUBLE AS rouge_l FROM s LEFT JOIN x USING (system) GROUP BY 1""")
+SELECT system, count(bleu)::BIGINT AS n, coalesce(printf('%.4f', (avg(bleu))::DOUBLE)::DOUBLE, 0.0)::DOUBLE AS bleu, coalesce(printf('%.4f', (avg(rouge_l))::DOUBLE)::DOUBLE, 0.0)::DOUBLE AS rouge_l FROM s LEFT JOIN x USING (system) GROUP BY 1""")
 def q29_systems(spark: SparkSession, d: str) -> DataFrame:
     a = _answers(spark, d)
     scored = a.withColumns({"bleu": textmetrics.bleu(F.col("reference"), F.col("generated_answer")), "rouge_l": textmetrics.rouge_l_plain(F.col("reference"), F.col("generated_answer"))})
@@ -47,7 +47,7 @@ def q29_systems(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_ANSWERS}, {_SCORES} SELECT system, count(*) FILTER (NOT missing AND said <> '')::BIGINT AS n, count(*) FILTER (missing)::BIGINT AS missing, count(*) FILTER (NOT missing AND said = '')::BIGINT AS empty,
- count(*) FILTER (NOT missing AND said <> '' AND turn%4=1)::BIGINT AS errors, coalesce(round_even(avg(bleu) FILTER (NOT missing AND said <> ''), 4), 0.0)::DOUBLE AS bleu FROM an JOIN sc USING (conv_id, turn) GROUP BY 1""")
+ count(*) FILTER (NOT missing AND said <> '' AND turn%4=1)::BIGINT AS errors, coalesce(printf('%.4f', (avg(bleu) FILTER (NOT missing AND said <> ''))::DOUBLE)::DOUBLE, 0.0)::DOUBLE AS bleu FROM an JOIN sc USING (conv_id, turn) GROUP BY 1""")
 def q60_score_summary(spark: SparkSession, d: str) -> DataFrame:
     a = _answers(spark, d).withColumn("bleu", textmetrics.bleu(F.col("reference"), F.col("generated_answer")))
     return evaluate.score_summary(a, _gold(spark, d), ("bleu",), by="system")
@@ -59,7 +59,7 @@ _WORDS = r"list_distinct(list_filter(string_split_regex(lower({x}), '\s+'), lamb
 
 @query(f"""WITH {_ANSWERS}, w AS (SELECT system, CASE WHEN conv_id%11=3 THEN 'unknown' ELSE {list(TYPES)}[(conv_id%5+1)::INT] END IN ('visual','multi-hop-visual') AS vis, {_WORDS.format(x="reference")} AS r, {_WORDS.format(x="said")} AS h FROM an),
 e AS (SELECT system, vis, {_SHARE.format(a="r", b="h")} AS p, {_SHARE.format(a="h", b="r")} AS q FROM w), s AS (SELECT unnest({list(SYSTEMS)}) AS system)
-SELECT system, count(p)::BIGINT AS n, {", ".join(f"coalesce(round_even(avg({c}) FILTER ({on}), 4), 0.0)::DOUBLE AS entail_{k}_{name}" for k, c in (("p", "p"), ("r", "q")) for name, on in (("all", "true"), ("visual", "vis"), ("other", "NOT vis")))} FROM s LEFT JOIN e USING (system) GROUP BY 1""")
+SELECT system, count(p)::BIGINT AS n, {", ".join(f"coalesce(printf('%.4f', (avg({c}) FILTER ({on}))::DOUBLE)::DOUBLE, 0.0)::DOUBLE AS entail_{k}_{name}" for k, c in (("p", "p"), ("r", "q")) for name, on in (("all", "true"), ("visual", "vis"), ("other", "NOT vis")))} FROM s LEFT JOIN e USING (system) GROUP BY 1""")
 def q61_entailment(spark: SparkSession, d: str) -> DataFrame:
     """With the stand-in model: which share of one text's words the other has."""
     pairs = evaluate.with_question_type(_answers(spark, d), _gold(spark, d)).withColumn("answer", F.col("generated_answer"))
@@ -111,7 +111,7 @@ def q63_merge_regenerated(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {V.CORPUS}, {V.QA}, w AS (SELECT qa_id, question_type, max(ge-gs + qa_id%7) AS err FROM hops GROUP BY ALL)
-SELECT place::INT AS place, question_type, count(*)::BIGINT AS n, round_even(avg(err), 1) AS mean_error_s FROM w JOIN (SELECT unnest([1,2,3,4]) AS place, unnest(['multi-hop-visual','visual','multi-hop','text']) AS question_type) USING (question_type) GROUP BY ALL""")
+SELECT place::INT AS place, question_type, count(*)::BIGINT AS n, printf('%.1f', (avg(err))::DOUBLE)::DOUBLE AS mean_error_s FROM w JOIN (SELECT unnest([1,2,3,4]) AS place, unnest(['multi-hop-visual','visual','multi-hop','text']) AS question_type) USING (question_type) GROUP BY ALL""")
 def q64_error_by_type(spark: SparkSession, d: str) -> DataFrame:
     h = V.questions(spark, d).select("qa_id", "question_type", F.posexplode("hops").alias("span_idx", "h"))
     audit = h.select("qa_id", "question_type", "span_idx", (F.col("h.end") - F.col("h.start") + F.col("qa_id") % 7).alias("estimated_error_s"), F.lit(1.0).alias("evidence_coverage"))

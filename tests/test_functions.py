@@ -132,3 +132,21 @@ def test_text_metrics(spark):
     assert textmetrics.meteor_value("a", "z") == 0
     words = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit", "triplicate": "triplic", "hopefulness": "hope", "adjustment": "adjust", "effective": "effect", "probate": "probat", "rate": "rate", "controlling": "control", "sky": "sky"}
     assert {w: textmetrics.porter_stem(w) for w in words} == words
+
+
+def test_rounding_is_that_of_the_binary_value(spark):
+    import random
+
+    from cuespan.functions.text import half_even
+
+    rng = random.Random(5)
+    values = [2.675, 0.28535, 0.15, 0.35, 12.35, 0.0005, 0.25, 0.125, 2.5, -2.675, -0.04, 0.0, 1e15 + 0.5, 2.0**52 + 1, 2.0**52 - 0.5, 4503599627370.4975, 9007199254740.993, 1e300, -1e22]
+    values += [k / 2000 for k in range(3001)] + [k / 20000 for k in range(4001)]  # next to halves
+    values += [rng.uniform(-1, 1) * 10 ** rng.uniform(-8, 16) for _ in range(300_000)] + [rng.random() for _ in range(100_000)]
+    values += [rng.getrandbits(53) / 8000 for _ in range(50_000)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", *[half_even(F.col("x"), n).alias(f"d{n}") for n in (0, 1, 3, 4)]).toPandas()
+    for n in (0, 1, 3, 4):
+        wrong = [(x, y) for x, y in zip(rows["x"].tolist(), rows[f"d{n}"].tolist(), strict=True) if round(x, n) != y]
+        assert not wrong, (n, wrong[:5])
+    odd = spark.createDataFrame([(None,), (float("inf"),), (float("nan"),)], "x double").select(half_even(F.col("x"), 3).alias("y")).collect()
+    assert odd[0].y is None and odd[1].y == float("inf") and odd[2].y != odd[2].y
