@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import overlap
 
 def assign_captions(chunks: DataFrame, captions: DataFrame, bucket_seconds: float = 45.0) -> DataFrame:
     """Chunks with the captions inside [start, end), in order; a chunk without any gets the
@@ -46,15 +47,18 @@ def oracle_window(hops: DataFrame, chunks: DataFrame, margin: float = 120.0) ->
 
 def containing_or_near(spans: DataFrame, chunks: DataFrame, within: float = 50.0) -> DataFrame:
     """For each span (video_id, span_id, start, end) the first chunk, in chunk order, that
-    contains it; else the one that starts nearest, if nearer than ``within``; else none."""
-    c = chunks.select(F.col("video_id").alias("_v"), F.col("seq").alias("_seq"), F.col("start_time").alias("_s"), F.col("end_time").alias("_e"), F.col("text").alias("chunk_text"))
-    holds = (F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("end"))
-    gap = F.abs(F.col("_s") - F.col("start"))
-    pairs = spans.join(c, (F.col("video_id") == F.col("_v")) & (holds | (gap < within)), "left")
-    tier = F.when(holds, F.struct(F.lit(0).alias("t"), F.col("_seq").cast("double").alias("a"), F.col("_seq").alias("b"))).otherwise(F.struct(F.lit(1).alias("t"), gap.alias("a"), F.col("_seq").alias("b")))
-    order = W.partitionBy(*spans.columns).orderBy(tier)
-    best = pairs.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1")
-    return best.select(*spans.columns, F.col("_seq").alias("chunk_seq"), "chunk_text")
+    contains it; else the one that starts nearest, if nearer than ``within``; else none.
+
+    Both kinds of candidates come from equi joins on cells of time, and one aggregate picks:
+    the first of those that hold the span, or the nearest of the others."""
+    c = chunks.select("video_id", "seq", "start_time", "end_time", "text")
+    gap = F.abs(F.col("c_start_time") - F.col("start"))
+    pick = lambda tier, a: F.struct(F.lit(tier).alias("tier"), a.cast("double").alias("a"), F.col("c_seq").alias("seq"), F.col("c_text").alias("text")).alias("pick")
+    holding = overlap.holding_join(spans, c).select(*spans.columns, pick(0, F.col("c_seq")))
+    near = overlap.near_candidates(spans, c, within).select(*spans.columns, pick(1, gap))
+    none = spans.select(*spans.columns, F.lit(None).cast(holding.schema["pick"].dataType).alias("pick"))
+    best = holding.unionByName(near).unionByName(none).groupBy(*spans.columns).agg(F.min("pick").alias("pick"))
+    return best.select(*spans.columns, F.col("pick.seq").alias("chunk_seq"), F.col("pick.text").alias("chunk_text"))
 
 
 def lookup_texts(rows: DataFrame, chunks: DataFrame, key: str, ids: str = "source_chunk_ids", default: str = "[chunk text not found]") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extended  # noqa: F401  registers its queries
+from . import distributed, extended  # noqa: F401  they register their queries
 from .catalogue import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

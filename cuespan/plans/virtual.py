@@ -53,28 +53,30 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return q.select(F.col("chunk_id").alias("qa_id"), "video_id", "question_type", (F.col("question_type") != "unanswerable").alias("answerable"), hops.alias("hops"), "embedding")
 
 
-def hits(spark: SparkSession, d: str) -> DataFrame:
+def hits(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
     """Top five of the question's video under both configurations, the question itself left
-    out: vectors folded in half (each pair of dimensions added), and vectors as they are."""
-    q, c = questions(spark, d).select(F.col("qa_id").alias("query_id"), "video_id", "embedding"), corpus(spark, d)
+    out: vectors folded in half (each pair of dimensions added), and vectors as they are.
+    ``only`` has the qa_id of the questions that are asked."""
+    asked = questions(spark, d) if only is None else questions(spark, d).join(only.select("qa_id"), "qa_id", "left_semi")
+    q, c = asked.select(F.col("qa_id").alias("query_id"), "video_id", "embedding"), corpus(spark, d)
     half = lambda x: F.call_function("div", F.size(x), F.lit(2)).cast("int")
     folded = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda a, b: a.cast("double") + b.cast("double"))
     both = retrieval.topk_views(q, c, 5, dict(zip(CONFIGS, (folded, lambda x: x.cast("array<double>")), strict=True)), exclude_self=True)
     return both.withColumn("cited", (F.col("rank") <= 4) & ((F.col("query_id") + F.col("rank")) % 2 == 0))
 
 
-def evidence(spark: SparkSession, d: str) -> DataFrame:
+def evidence(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
     """One row a (question, configuration): hops, hits in rank order, cited spans."""
     span = lambda: F.struct("rank", F.col("start_time").alias("start"), F.col("end_time").alias("end"))
-    h = hits(spark, d).groupBy(F.col("query_id").alias("qa_id"), "config").agg(
+    h = hits(spark, d, only).groupBy(F.col("query_id").alias("qa_id"), "config").agg(
         F.array_sort(F.collect_list(span())).alias("hits"), F.array_sort(F.collect_list(F.when(F.col("cited"), span()))).alias("cited"))
     return questions(spark, d).drop("embedding").join(h, "qa_id")
 
 
-def evaluated(spark: SparkSession, d: str) -> DataFrame:
+def evaluated(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
     from ..operators.evaluate import evaluate_rows, fuse_judges
 
-    rows = evaluate_rows(evidence(spark, d))
+    rows = evaluate_rows(evidence(spark, d, only))
     cfg = F.when(F.col("config") == CONFIGS[0], 0).otherwise(1)
     judge = {f"judge_{j}_{c}": (1 + (F.col("qa_id") * j + i + cfg) % 5).cast("int") for j in (1, 2) for i, c in enumerate(("C1", "C2", "C3", "aggregate"))}
     return fuse_judges(rows.withColumns(judge))
