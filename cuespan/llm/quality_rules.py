@@ -12,9 +12,15 @@ language and of the whole table as if each were ``PRIOR`` documents. So a group
 follows its language, and one of ten thousand itself, with no size at which it changes.
 
 The upper fence is the 90th percentile, and ``REACH`` times as far again as that is from the
-median; where the two are equal, as for metrics that are 0 in most documents, the 99.9th
-percentile takes the 90th's place. The lower fence mirrors it (10th, 0.1th). No fence has a
-value of its own: all of them are quantiles and distances between quantiles.
+median; the lower one mirrors it (10th). Junk that is less than a tenth of a group can't move
+it. Metrics that are 0 in half of a group's documents, or equal in most, have no such
+distance. For them the sketch is read by octaves: from the 90th percentile on upwards, the
+first cluster (octaves that hold more than 1 in ``CLUSTER`` documents) that ``GAP`` empty
+octaves part from what is below it is fenced off; without such a cluster nothing is. So junk
+can't set the fence that should reject it, and a tail that goes on from the bulk stays.
+
+Rates count what is beyond ``CHANCE``: two symbols, two repeated lines or one passage of
+fifteen words that comes twice are no evidence, and in a short text they would be a high rate.
 
 Defined edge cases: a null or empty text has no words (all counts 0) and fails the base
 rules; null languages and sources are groups of their own; repeated rows are judged
@@ -39,8 +45,12 @@ MIN_WORDS = 10
 PRIOR = 50  # documents that a language's sketch counts for in that of a source, and the table's
 REACH = 3
 SCALE = 1_000_000  # weights are integers: one document is this much
-#: In thousandths: where the fences are read, and where if that is the median itself.
-NEAR, FAR = 900, 999
+NEAR = 900  # in thousandths: where the fences are read
+CLUSTER, GAP = 500, 3
+#: What is no evidence: symbols, repeated lines, words in repeated windows.
+CHANCE = {"symbol_rate": 2, "dup_line_rate": 2, "repeat_rate": 6 * WINDOW}
+#: The most that a metric can be, where there is such a thing.
+LIMIT = {"dup_line_rate": 1000, "repeat_rate": 1000, "upper_rate": 1000}
 #: metric -> two-sided. Per mille, but hundredths for the word length.
 METRICS = {"symbol_rate": False, "dup_line_rate": False, "repeat_rate": False, "upper_rate": False, "word_length": True}
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
@@ -102,13 +112,13 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 
 def with_metrics(counts: DataFrame) -> DataFrame:
-    per = lambda a, b, k: F.when(F.col(b) > 0, F.floor(F.col(a) * k / F.col(b))).otherwise(0).cast("long")
+    per = lambda a, b, k, m="": F.when(F.col(b) > 0, F.floor(F.greatest(F.col(a) - CHANCE.get(m, 0), F.lit(0)) * k / F.col(b))).otherwise(0).cast("long")
     return counts.withColumns(
         {
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-            "symbol_rate": per("n_symbols", "n_words", 1000),
-            "dup_line_rate": per("n_dup_lines", "n_lines", 1000),
-            "repeat_rate": per("n_repeat_words", "n_words", 1000),
+            "symbol_rate": per("n_symbols", "n_words", 1000, "symbol_rate"),
+            "dup_line_rate": per("n_dup_lines", "n_lines", 1000, "dup_line_rate"),
+            "repeat_rate": per("n_repeat_words", "n_words", 1000, "repeat_rate"),
             "upper_rate": per("n_upper", "word_chars", 1000),
             "word_length": per("word_chars", "n_words", 100),
         }
@@ -151,19 +161,39 @@ def shrunk(by_source: DataFrame) -> DataFrame:
     return merge_sketches(by_source.withColumn("n", F.col("n") * SCALE).unionByName(from_lang).unionByName(from_all), "lang", "source")
 
 
+def octave(b: Column) -> Column:
+    """How many binary digits the values of a bucket have."""
+    return F.when(b == 0, 0).otherwise(F.length(F.bin(bucket_floor(b)))).cast("long")
+
+
 def fences(sketch: DataFrame, *keys: str) -> DataFrame:
     """Per group the low and high of each metric, read from its sketch alone: bucket floors
     for the median and below, the last value of the bucket above it."""
     by = W.partitionBy(*keys, "metric")
-    ranked = sketch.withColumns({"total": F.sum("n").over(by), "upto": F.sum("n").over(by.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))})
+    ranked = sketch.withColumns({"total": F.sum("n").over(by), "upto": F.sum("n").over(by.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)), "octave": octave(F.col("bucket"))})
     # thousandths of the total first: 1000 * total may not fit a long
     at = lambda p: F.min(F.when(F.col("upto") >= F.call_function("div", F.col("total"), F.lit(1000)) * p, F.col("bucket")))
-    q = ranked.groupBy(*keys, "metric").agg(*[at(p).alias(f"b{p}") for p in (1000 - FAR, 1000 - NEAR, 500, NEAR, FAR)])
+    points = (1000 - NEAR, 500, NEAR)
+    is_cluster = F.sum("n") > F.call_function("div", F.first("total"), F.lit(CLUSTER))
+    by_octave = ranked.groupBy(*keys, "metric", "octave").agg(F.max("bucket").alias("top"), F.min("bucket").alias("bottom"), is_cluster.alias("cluster"), *[at(p).alias(f"b{p}") for p in points])
+    q = by_octave.groupBy(*keys, "metric").agg(
+        *[F.min(f"b{p}").alias(f"b{p}") for p in points], F.max("top").alias("top"), F.min("bottom").alias("bottom"),
+        F.array_sort(F.collect_list(F.when(F.col("cluster"), F.col("octave")))).alias("clusters"),
+    )
     floor = lambda p: bucket_floor(F.col(f"b{p}"))
-    last = lambda p: bucket_floor(F.col(f"b{p}") + 1) - 1
-    up = F.when(F.col(f"b{NEAR}") > F.col("b500"), last(NEAR)).otherwise(last(FAR))
-    down = F.when(F.col(f"b{1000 - NEAR}") < F.col("b500"), floor(1000 - NEAR)).otherwise(floor(1000 - FAR))
-    q = q.select(*keys, "metric", (up + REACH * (up - floor(500))).alias("high"), (down - REACH * (floor(500) - down)).alias("low"))
+    last = lambda c: bucket_floor(F.col(c) + 1) - 1
+    power = lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), e.cast("int"))
+    near, far = F.col(f"b{NEAR}"), F.col(f"b{1000 - NEAR}")
+    alone = lambda side, more: F.filter("clusters", lambda o: side(o) & ~F.exists("clusters", more(o)))
+    # clusters beyond the bulk with none of GAP octaves below them, and the bulk itself further off
+    above = alone(lambda o: o > octave(near) + GAP, lambda o: lambda x: (x < o) & (x >= o - GAP))
+    below = alone(lambda o: o < octave(far) - GAP, lambda o: lambda x: (x > o) & (x <= o + GAP))
+    q = q.withColumns({"first": F.array_min(above), "last": F.array_max(below)})
+    limit = F.create_map(*[x for m, n in LIMIT.items() for x in (F.lit(m), F.lit(n).cast("long"))])[F.col("metric")]
+    flat = F.col("b500") == 0
+    up = F.when(flat | (near == F.col("b500")), F.coalesce(power(F.col("first") - 1) - 1, last("top"))).otherwise(last(f"b{NEAR}") + REACH * (last(f"b{NEAR}") - floor(500)))
+    down = F.when(flat | (far == F.col("b500")), F.coalesce(power(F.col("last")), bucket_floor(F.col("bottom")))).otherwise(floor(1000 - NEAR) - REACH * (floor(500) - floor(1000 - NEAR)))
+    q = q.select(*keys, "metric", F.least(up, limit).alias("high"), F.greatest(down, F.lit(0)).alias("low"))
     pick = lambda c, m: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")
     return q.groupBy(*keys).agg(*[pick("high", m) for m in METRICS], *[pick("low", m) for m, two in METRICS.items() if two])
 
@@ -192,6 +222,9 @@ def oracle() -> str:
     metric_rows = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, {m} AS v FROM m WHERE NOT base_failed" for m in METRICS)
     two = ", ".join(f"'{m}'" for m, t in METRICS.items() if t)
     at = lambda p: f"min(bucket) FILTER (upto >= total // 1000 * {p})"
+    floor = lambda b: f"CASE WHEN {b} < 64 THEN {b} ELSE ({b} - 32*({b}//32-1)) * (1::BIGINT << ({b}//32-1)::INT) END"
+    digits = lambda v: f"(CASE WHEN {v} = 0 THEN 0 ELSE length(bin({v})) END)"
+    limits = " ".join(f"WHEN '{m}' THEN {n}" for m, n in LIMIT.items())
     return rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text,'') AS text, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS five FROM (SELECT doc_id, ws, unnest(range(1, len(ws)-3)) AS i FROM w WHERE len(ws) >= 5)),
@@ -205,9 +238,9 @@ c AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_r
    coalesce(n_dup,0)::BIGINT AS n_dup_lines, coalesce(rw.n,0)::BIGINT AS n_repeat_words, coalesce(n_lines,0)::BIGINT AS n_lines
    FROM w LEFT JOIN rw USING (doc_id) LEFT JOIN dl USING (doc_id)),
 m AS (SELECT *, (n_words < {MIN_WORDS} OR 100*n_repeat_words > 20*n_words) AS base_failed,
-   CASE WHEN n_words>0 THEN n_symbols*1000//n_words ELSE 0 END AS symbol_rate,
-   CASE WHEN n_lines>0 THEN n_dup_lines*1000//n_lines ELSE 0 END AS dup_line_rate,
-   CASE WHEN n_words>0 THEN n_repeat_words*1000//n_words ELSE 0 END AS repeat_rate,
+   CASE WHEN n_words>0 THEN greatest(n_symbols-{CHANCE["symbol_rate"]},0)*1000//n_words ELSE 0 END AS symbol_rate,
+   CASE WHEN n_lines>0 THEN greatest(n_dup_lines-{CHANCE["dup_line_rate"]},0)*1000//n_lines ELSE 0 END AS dup_line_rate,
+   CASE WHEN n_words>0 THEN greatest(n_repeat_words-{CHANCE["repeat_rate"]},0)*1000//n_words ELSE 0 END AS repeat_rate,
    CASE WHEN word_chars>0 THEN n_upper*1000//word_chars ELSE 0 END AS upper_rate,
    CASE WHEN n_words>0 THEN word_chars*100//n_words ELSE 0 END AS word_length FROM c),
 lg AS ({metric_rows}),
@@ -220,13 +253,18 @@ mx AS (SELECT lang, source, metric, bucket, sum(n)::BIGINT AS n FROM (
    UNION ALL SELECT gr.lang, gr.source, gr.metric, sl.bucket, sl.n * {PRIOR * SCALE} // tl.total FROM gr JOIN sl ON gr.metric = sl.metric AND gr.lang IS NOT DISTINCT FROM sl.lang JOIN tl ON tl.metric = sl.metric AND tl.lang IS NOT DISTINCT FROM sl.lang
    UNION ALL SELECT gr.lang, gr.source, gr.metric, sa.bucket, sa.n * {PRIOR * SCALE} // ta.total FROM gr JOIN sa USING (metric) JOIN ta USING (metric)) GROUP BY ALL),
 rk AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric) AS total, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto FROM mx),
-q AS (SELECT lang, source, metric, {at(1000 - FAR)} AS far_low, {at(1000 - NEAR)} AS near_low, {at(500)} AS mid, {at(NEAR)} AS near_high, {at(FAR)} AS far_high FROM rk GROUP BY ALL),
-e AS (SELECT lang, source, metric, mid, CASE WHEN near_low < mid THEN near_low ELSE far_low END AS lo, 1 + CASE WHEN near_high > mid THEN near_high ELSE far_high END AS hi FROM q),
-v AS (SELECT lang, source, metric,
-   CASE WHEN mid < 64 THEN mid ELSE (mid - 32*(mid//32-1)) * (1::BIGINT << (mid//32-1)::INT) END AS mid,
-   CASE WHEN lo < 64 THEN lo ELSE (lo - 32*(lo//32-1)) * (1::BIGINT << (lo//32-1)::INT) END AS lo,
-   CASE WHEN hi < 64 THEN hi ELSE (hi - 32*(hi//32-1)) * (1::BIGINT << (hi//32-1)::INT) END - 1 AS hi FROM e),
-f AS (SELECT lang, source, metric, lo - {REACH} * (mid - lo) AS low, hi + {REACH} * (hi - mid) AS high FROM v),
+fl AS (SELECT *, CASE WHEN bucket < 64 THEN bucket ELSE (bucket - 32*(bucket//32-1)) * (1::BIGINT << (bucket//32-1)::INT) END AS v FROM rk),
+oc AS (SELECT lang, source, metric, CASE WHEN v = 0 THEN 0 ELSE length(bin(v)) END AS o, sum(n) > any_value(total) // {CLUSTER} AS cluster FROM fl GROUP BY ALL),
+cl AS (SELECT lang, source, metric, list(o) FILTER (cluster) AS os FROM oc GROUP BY ALL),
+q AS (SELECT lang, source, metric, {at(1000 - NEAR)} AS blow, {at(500)} AS bmid, {at(NEAR)} AS bhigh, max(bucket) AS btop, min(bucket) AS bbottom FROM rk GROUP BY ALL),
+v AS (SELECT lang, source, metric, {", ".join(f"{floor(f'b{x}')} AS {x}" for x in ("low", "mid", "high", "bottom"))}, {floor("(bhigh+1)")} - 1 AS high_last, {floor("(btop+1)")} - 1 AS top_last FROM q),
+e AS (SELECT v.*, mid = 0 OR blow = bmid AS flat_low, mid = 0 OR bhigh = bmid AS flat_high,
+   list_min(list_filter(os, lambda o: o > {digits("high")} + {GAP} AND len(list_filter(os, lambda x: x < o AND x >= o - {GAP})) = 0)) AS first,
+   list_max(list_filter(os, lambda o: o < {digits("low")} - {GAP} AND len(list_filter(os, lambda x: x > o AND x <= o + {GAP})) = 0)) AS last
+   FROM v JOIN q ON v.metric = q.metric AND v.lang IS NOT DISTINCT FROM q.lang AND v.source IS NOT DISTINCT FROM q.source
+   JOIN cl ON v.metric = cl.metric AND v.lang IS NOT DISTINCT FROM cl.lang AND v.source IS NOT DISTINCT FROM cl.source),
+f AS (SELECT lang, source, metric, greatest(0, CASE WHEN flat_low THEN coalesce(1::BIGINT << last::INT, bottom) ELSE low - {REACH} * (mid - low) END) AS low,
+   least(CASE WHEN flat_high THEN coalesce((1::BIGINT << (first - 1)::INT) - 1, top_last) ELSE high_last + {REACH} * (high_last - mid) END, CASE metric {limits} ELSE 9223372036854775807 END) AS high FROM e),
 bad AS (SELECT DISTINCT lg.doc_id FROM lg JOIN f ON lg.metric = f.metric AND lg.lang IS NOT DISTINCT FROM f.lang AND lg.source IS NOT DISTINCT FROM f.source
    WHERE v > high OR (lg.metric IN ({two}) AND v < low))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

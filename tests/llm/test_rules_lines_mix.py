@@ -47,7 +47,7 @@ def test_rules_odd_and_empty(spark, odd, empty):
     assert quality_rules.adaptive_rules(empty).count() == 0
 
 
-def brute_fences(values, above):
+def brute_fences(values, above, most=1 << 62):
     """Fences of one group and metric: ``above`` are the values of its language and the table."""
     def weights(vs, each):
         out = Counter()
@@ -59,15 +59,23 @@ def brute_fences(values, above):
     for vs in above:
         total += weights(vs, lambda n, size: n * 50 * 10**6 // size)
     size, upto, at = sum(total.values()), 0, {}
+    octaves = Counter()
     for v in sorted(total):
         upto += total[v]
-        for p in (1, 100, 500, 900, 999):
+        octaves[floor_of(v).bit_length()] += total[v]
+        for p in (100, 500, 900):
             if upto >= size // 1000 * p:
                 at.setdefault(p, v)
-    mid = floor_of(at[500])
-    high = floor_of((at[900] if at[900] > at[500] else at[999]) + 1) - 1
-    low = floor_of(at[100] if at[100] < at[500] else at[1])
-    return low - 3 * (mid - low), high + 3 * (high - mid)
+    clusters = [o for o, n in octaves.items() if n > size // 500]
+    mid, last = floor_of(at[500]), lambda v: floor_of(v + 1) - 1
+    high, low = last(at[900]) + 3 * (last(at[900]) - mid), floor_of(at[100]) - 3 * (mid - floor_of(at[100]))
+    if mid == 0 or at[900] == at[500]:
+        beyond = [o for o in clusters if o > floor_of(at[900]).bit_length() + 3 and not {o - 1, o - 2, o - 3} & set(clusters)]
+        high = 2 ** (min(beyond) - 1) - 1 if beyond else last(max(total))
+    if mid == 0 or at[100] == at[500]:
+        beyond = [o for o in clusters if o < floor_of(at[100]).bit_length() - 3 and not {o + 1, o + 2, o + 3} & set(clusters)]
+        low = 2 ** max(beyond) if beyond else floor_of(min(total))
+    return max(low, 0), min(high, most)
 
 
 def bucket_of(v):
@@ -96,7 +104,7 @@ def test_fences_by_brute_force(spark):
     for m, two in quality_rules.METRICS.items():
         every = [r[m] for r in ok]
         for s in "abc":
-            low, high = limits[s, m] = brute_fences([r[m] for r in ok if r.source == s], [every, every])
+            low, high = limits[s, m] = brute_fences([r[m] for r in ok if r.source == s], [every, every], quality_rules.LIMIT.get(m, 1 << 62))
             mine = {(r[f"{m}_high"], r[f"{m}_low"] if two else low) for r in got if r.source == s}
             assert mine == {(high, low)}
     assert limits["a", "word_length"] != limits["b", "word_length"]  # the group decides
@@ -106,6 +114,43 @@ def test_fences_by_brute_force(spark):
     assert not [r for r in got if r.doc_id == len(rows) - 1][0].kept
 
 
+@pytest.mark.parametrize("junk", ["symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "word_length"])
+def test_a_hundredth_of_junk_is_rejected_and_the_rest_kept(spark, junk):
+    """990 clean documents, a few of them with a mark, a repeated line or passage; 10 of junk."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+
+    def clean(i):
+        words = [word(rng.randint(3, 8)) for _ in range(rng.randint(150, 400))]
+        words = [w.capitalize() if rng.random() < 0.05 else w for w in words]
+        lines = [" ".join(words[k : k + 12]) for k in range(0, len(words), 12)]
+        if i % 50 == 1:
+            lines[0] += " 5% | 7%"
+        if i % 50 == 2:
+            lines.append(lines[0])
+        return "\n".join(lines)
+
+    def bad():
+        if junk == "symbol_rate":
+            return " ".join(["####", "||||", "$$$$", word(5)][k % 4] + str(k) for k in range(120))
+        if junk == "dup_line_rate":
+            return "\n".join(["home", "about us"] * 30 + [word(6) + " " + word(6) for _ in range(40)])
+        if junk == "repeat_rate":
+            passage = " ".join(word(5) for _ in range(30))
+            return "\n".join([passage + " " + " ".join(word(6) for _ in range(290)), passage])
+        if junk == "upper_rate":
+            return clean(0).upper()
+        return " ".join(word(30) for _ in range(80))
+
+    rows = [(i, bad() if i >= 990 else clean(i), "en", "s") for i in range(1000)]
+    got = quality_rules.adaptive_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()
+    assert not [r for r in got if r.base_failed and junk not in ("repeat_rate", "dup_line_rate")]
+    assert sum(r.kept for r in got if r.doc_id >= 990) <= 1
+    assert sum(not r.kept for r in got if r.doc_id < 990) <= 9
+    for r in got[:1]:
+        assert all(0 <= r[f"{m}_high"] <= quality_rules.LIMIT.get(m, 10**5) for m in quality_rules.METRICS)
+
+
 def test_sketches_merge(spark, odd):
     rows = quality_rules.with_metrics(quality_rules.text_counts(odd))
     key = lambda df: sorted((r.metric, r.bucket, r.n) for r in df.collect())
