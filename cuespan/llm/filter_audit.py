@@ -91,7 +91,8 @@ def copies(docs: DataFrame, rows: DataFrame) -> DataFrame:
     left = materialize(refined(rows), "audit-refined")
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    full = texts.join(left.select("id", "h", "cls").distinct(), ["id", "h"])
+    # texts are shuffled once, at every size alike, and fetched for what has survived only
+    full = texts.join(left.select("id", "h", "cls").distinct().hint("merge"), ["id", "h"])
     first = full.groupBy("cls", "text").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     first = first.withColumn("texts", F.count("*").over(W.partitionBy("cls")))
     # a class of one text, which is any class but for collisions, is known by its name
@@ -100,8 +101,9 @@ def copies(docs: DataFrame, rows: DataFrame) -> DataFrame:
     sizes = left.groupBy("cls").agg(F.count("*").alias("n"))
     known = first.filter("texts = 1").select("cls", "first").join(sizes, "cls")
     found = hot_join(left.select("id", "h", "cls"), known, ["cls"], F.col("n") * HOT_KEYS > total).select("id", "h", "first")
-    apart = full.join(first.filter("texts > 1").select("cls", "text", "first"), ["cls", "text"]).select("id", "h", "first")
-    return found.unionByName(apart).filter("id > first").select("id", "h").distinct()
+    if not first.filter("texts > 1").isEmpty():  # hashes collided
+        found = found.unionByName(full.join(first.filter("texts > 1").select("cls", "text", "first"), ["cls", "text"]).select("id", "h", "first"))
+    return found.filter("id > first").select("id", "h").distinct()
 
 
 def mask_counts(docs: DataFrame, labels: DataFrame, block: int = BLOCK, growth: int = GROWTH) -> DataFrame:
