@@ -117,7 +117,9 @@ def chunk_segments(raw: np.ndarray, off: np.ndarray, lo: int, hi: int, length: i
     size = z - a  # one at least
     mine = g[at[np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())]] == np.repeat(v[start], size)
     twice = np.add.reduceat(mine, np.cumsum(size) - size, dtype=np.int64) > 1 if len(start) else np.zeros(0, bool)
-    return start + lo, n, v[start], twice
+    # the smallest of many hashes are small numbers: mixed again, they fill the range
+    anchor = (v[start] ^ (v[start] >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return start + lo, n, anchor ^ (anchor >> np.uint64(32)), twice
 
 
 def powers_of(base: int, n: int) -> np.ndarray:
@@ -204,7 +206,7 @@ def bitmaps(rows: DataFrame, length: int, k: int) -> tuple[np.ndarray, np.ndarra
 
     counted = rows.select("raw").mapInArrow(pack, "bucket int, packed binary").groupBy("bucket").applyInPandas(count, "bucket int, twice binary, apart binary")
     maps = np.zeros((2, buckets, (1 << own) // 8), np.uint8)
-    for r in counted.toLocalIterator():  # 32 MB in all, at most
+    for r in counted.collect():  # 32 MB in all, at most
         maps[0, r.bucket], maps[1, r.bucket] = np.frombuffer(r.twice, np.uint8), np.frombuffer(r.apart, np.uint8)
     return maps[0].ravel(), maps[1].ravel(), bits
 
