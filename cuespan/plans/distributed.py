@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import overlap, scan
 from ..operators.vector_index import VectorIndex
-from ..sources import commits, tables
+from ..sources import commits, media, tables
 from . import virtual as V
-from .catalogue import CONFIGS, _ranked, _topk_sql, query, r9
+from .catalogue import CONFIGS, ORACLES, _ranked, _topk_sql, query, r9
 
 # --- prefix scans: five event types are the keys, however many events there are ----------
 
@@ -149,3 +149,41 @@ def q97_versioned_store(spark: SparkSession, d: str) -> DataFrame:
     store.write(as_(c.filter("video_id < 2"), "again"), replace=True)
     named = lambda rows, name: rows.select(F.lit(name).alias("reader"), "chunk_id", "video_id", "document")
     return named(before, "before").unionByName(named(store.rows(), "after"))
+
+
+# --- files that are read in place ------------------------------------------------------------
+
+
+@query("""SELECT s_suppkey::VARCHAR AS video_id, CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE (CASE WHEN s_suppkey % 5 = 0 THEN n // 2 ELSE n END) / 8000.0::DOUBLE END AS seconds,
+ CASE WHEN s_suppkey % 11 <> 0 THEN s_suppkey % 5 = 0 END AS truncated, CASE WHEN s_suppkey % 11 = 0 THEN 'not a WAV file' END AS problem,
+ s_suppkey % 11 <> 0 AND (CASE WHEN s_suppkey % 5 = 0 THEN n // 2 ELSE n END) / 8000.0::DOUBLE < 0.8 * (n / 8000.0::DOUBLE) AS lost
+FROM (SELECT s_suppkey, 100 + s_suppkey % 977 AS n FROM supplier)""")
+def q98_wav_durations(spark: SparkSession, d: str) -> DataFrame:
+    """A sound file a supplier, some cut short, some with a chunk of odd length before the
+    data, some no sound at all: durations from their headers, and whether sound was lost."""
+    s = V.table(spark, d, "supplier").select("s_suppkey", (100 + F.col("s_suppkey") % 977).alias("n"))
+    hexes = lambda x, size: F.concat(*[F.lpad(F.hex(F.floor(x / 256**i) % 256), 2, "0") for i in range(size)])  # noqa: E731  little endian
+    text = lambda t: F.lit(t.encode().hex())
+    extra = F.when(F.col("s_suppkey") % 7 == 0, F.concat(text("LIST"), hexes(F.lit(3), 4), text("abc"), F.lit("00"))).otherwise("")
+    form = F.concat(text("fmt "), hexes(F.lit(16), 4), hexes(F.lit(1), 2), hexes(F.lit(1), 2), hexes(F.lit(8000), 4), hexes(F.lit(8000), 4), hexes(F.lit(1), 2), hexes(F.lit(8), 2))
+    there = F.when(F.col("s_suppkey") % 5 == 0, F.floor(F.col("n") / 2)).otherwise(F.col("n")).cast("int")
+    body = F.concat(F.when(F.col("s_suppkey") % 11 == 0, text("JUNK")).otherwise(text("RIFF")), hexes(F.col("n") + 36, 4), text("WAVE"), form, extra, text("data"), hexes(F.col("n"), 4))
+    content = F.unhex(F.concat(body, F.repeat(F.lit("80"), there)))
+    folder = tables.scratch_folder(spark, "sound")
+    media.write_files(s.select(F.concat(F.col("s_suppkey").cast("string"), F.lit(".wav")).alias("name"), content.alias("content")), folder)
+    media.register(spark)
+    found = spark.read.format("wav_headers").load(folder)
+    both = found.join(s.select(F.col("s_suppkey").cast("string").alias("video_id"), (F.col("n") / 8000).alias("duration")), "video_id")
+    lost = F.coalesce(tables.has_audio_loss("seconds"), F.lit(False))
+    return both.select("video_id", "seconds", "truncated", "problem", lost.alias("lost"))
+
+
+@query(ORACLES["q52_vtt_roundtrip"])
+def q99_caption_cues(spark: SparkSession, d: str) -> DataFrame:
+    """The cues of q52, from files that are read cue by cue."""
+    folder = tables.scratch_folder(spark, "captions")
+    files = V.caption_files(spark, d)
+    media.write_files(files.select(F.concat(F.col("video_id"), F.lit(".en.vtt")).alias("name"), F.col("raw").cast("binary").alias("content")), folder)
+    media.register(spark)
+    cues = spark.read.format("caption_cues").load(folder)
+    return cues.select("video_id", r9("start"), r9("end"), F.col("text_lines")[0].alias("text"))
