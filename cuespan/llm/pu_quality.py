@@ -221,8 +221,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_positives: int = 9000, max_unlab
     least = lambda df, most, of, name: df.filter(F.col("hash") < (2 * most + 40) / of).orderBy("hash", name).limit(most).select(F.col(name).alias("chosen"))
     some = least(good, max_positives, n_good, "good_id").withColumn("y", F.lit(1)).unionByName(least(pool.filter("doc_id is not null"), max_unlabelled, total, "doc_id").withColumn("y", F.lit(0)))
     sample = pool.join(F.broadcast(some), F.col("doc_id") == F.col("chosen")).select("doc_id", "text", "y")
-    # ids may repeat: the limit bounds what reaches the driver
-    got = vectors(sample, "doc_id", "y").limit(2 * (max_positives + max_unlabelled)).toPandas()
+    # ids may repeat: of their texts one stands for the id, the same in every run, so no more
+    # rows reach the driver than ids were chosen
+    got = vectors(sample, "doc_id", "y").groupBy("doc_id", "y").agg(F.min("features").alias("features")).toPandas()
     x = np.frombuffer(b"".join(got["features"]), np.float32).reshape(-1, N_FEATURES)
     y, ids = got["y"].to_numpy(), got["doc_id"].to_numpy()
     del got

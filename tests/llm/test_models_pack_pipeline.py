@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cuespan.llm import language_id, packing, pu_quality
+from cuespan.llm import language_id, mixing, packing, pu_quality
 
 from ..conftest import SMALL
 from .conftest import odd_rows
@@ -32,15 +32,47 @@ def test_language_odd(spark, odd, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
-def test_logits_by_brute_force():
+def brute_buckets(text, n_buckets):
+    """Every n-gram of the padded text, hashed letter by letter with whole numbers."""
+    padded, out = f" {text.lower()} ", []
+    for n in (2, 3, 4):
+        for i in range(len(padded) - n + 1):
+            h = n
+            for c in padded[i : i + n]:
+                h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) % (1 << 64)
+                h ^= h >> 29
+            out.append(h % n_buckets)
+    return out
+
+
+@pytest.mark.parametrize("text", ["abc déf", "x", "long text " * 50, "日本 Ünï 1"])
+def test_prediction_by_brute_force(text):
     rng = np.random.default_rng(2)
-    model = language_id.LanguageModel(["a", "b"], rng.normal(size=(64, 2)), np.array([0.1, -0.2]))
-    for text in ("abc déf", "x", "long text " * 50):
-        padded = f" {text.lower()} "
-        rows = [np.concatenate(list(language_id.subwords(padded[i : i + n].join(["", ""]), 64)))[:0] for n in (2, 3, 4) for i in range(len(padded) - n + 1)]
-        grams = np.concatenate(list(language_id.subwords(text, 64)))
-        assert len(grams) == len(rows)
-        assert np.allclose(model.logits(text), model.table[grams].mean(axis=0) + model.bias)
+    model = language_id.LanguageModel(["a", "b", "c"], rng.normal(size=(64, 3)), np.array([0.1, -0.2, 0.0]), temperature=0.4)
+    grams = brute_buckets(text, 64)
+    logits = [sum(model.table[g][k] for g in grams) / len(grams) + model.bias[k] for k in range(3)]
+    assert np.allclose(model.logits(text), logits)
+    p = [np.exp(z / 0.4) for z in logits]
+    lang, score = model.predict(text)
+    assert lang == "abc"[int(np.argmax(p))] and score == pytest.approx(max(p) / sum(p))
+
+
+def test_threshold_keeps_the_precision_on_rows_that_were_not_fitted():
+    """A third of the texts of two languages have no letters of their own: only rejection helps."""
+    rng = np.random.default_rng(5)
+    word = lambda letters: "".join(rng.choice(list(letters), 5))
+    texts, langs = [], []
+    for i in range(900):
+        lang = "ab"[i % 2]
+        letters = "xyz" if i % 3 == 0 else {"a": "klm", "b": "rst"}[lang]
+        texts.append(" ".join(word(letters) for _ in range(6)))
+        langs.append(lang)
+    model = language_id.train(texts, langs, target_precision=0.97)
+    held = np.random.default_rng(7).permutation(900)[:180]  # the fifth that is kept apart
+    found = [(model.predict(texts[i]), langs[i]) for i in held]
+    sure = [lang == gold for (lang, score), gold in found if score >= model.threshold]
+    assert np.mean([lang == gold for (lang, _), gold in found]) < 0.95
+    assert np.mean(sure) >= 0.97 and len(sure) > 90
 
 
 def test_any_number_of_languages_is_learned(spark):
@@ -128,6 +160,46 @@ def test_prior_is_estimated(share):
     assert pu_quality.positive_share(rng.normal(2, 1, 3000), unl) == pytest.approx(share, abs=0.04)
 
 
+def brute_features(text):
+    raw = (text or "").encode()
+    kinds = [set(b"abcdefghijklmnopqrstuvwxyz"), set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set(b"0123456789"), set(b" \t\r\x0b\x0c"), set(b"\n"), set(b"."), set(b","), set(b"!?"), set(b"|"), set(b"#*$%&<>^~=+_\\/{}[]"), set(b":;'\"()-"), set(b"@")]
+    kind = [1 if c > 127 else next((k + 2 for k, s in enumerate(kinds) if c in s), 0) for c in raw]
+    n_kinds, size = len(kinds) + 2, max(len(raw), 1)
+    out = [np.log1p(200 * kind.count(k) / size) for k in range(n_kinds)]
+    pairs = Counter(zip(kind, kind[1:], strict=False))
+    out += [np.log1p(200 * pairs[i, j] / size) for i in range(n_kinds) for j in range(n_kinds)]
+    words, lines = raw.split(), [x.strip() for x in raw.split(b"\n") if x.strip()]
+    n = len(words)
+    out += [np.log1p(n), len(raw) / max(n, 1) / 10, len(set(words)) / max(n, 1) ** 0.5, 1 - len(set(lines)) / max(len(lines), 1)]
+    out += [sum(words[i] == words[i + 1] for i in range(n - 1)) / max(n, 1), 1 - len({(words[i], words[i + 1]) for i in range(n - 1)}) / (n - 1) if n > 1 else 0, np.log1p(n / max(len(lines), 1))]
+    return out
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "a", "the the cat", "A b, c.\nA b, c.\n\n### |x| é 12! @you", "word " * 40 + "\nword word"])
+def test_features_by_brute_force(text):
+    assert np.allclose(pu_quality.features(text), brute_features(text), atol=1e-5)
+
+
+def test_calibration_has_the_least_risk():
+    rng = np.random.default_rng(9)
+    pos, unl = rng.normal(2, 1, (500, 1)), np.concatenate([rng.normal(2, 1, (600, 1)), rng.normal(-1, 1, (400, 1))])
+    model = pu_quality.QualityModel(np.zeros(1), np.ones(1), np.array([0.7]), 0.3, 0.6)
+    zp, zu = model.raw(pos), model.raw(unl)
+    loss = lambda a, b: np.mean(np.log1p(np.exp(a * zu + b))) - 0.6 * np.mean(a * zp + b) + 5e-4 * ((a - 1) ** 2 + b * b)
+    pu_quality.calibrate(model, pos, unl)
+    best = loss(model.slope, model.shift)
+    assert all(best <= loss(model.slope + x, model.shift + y) + 1e-12 for x in (-0.05, 0, 0.05) for y in (-0.05, 0, 0.05))
+    assert best < loss(1.0, 0.0)
+
+
+def test_repeated_ids_are_sampled_alike_in_any_order(spark):
+    rows = [(i // 4, f"text {i} " + ("good words here" if i // 4 % 2 else "|#|# x")) for i in range(800)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [pu_quality.fit(docs.repartition(n, "text"), labels, max_positives=30, max_unlabelled=60) for n in (1, 7)]
+    assert np.array_equal(found[0].weight, found[1].weight) and found[0].shift == found[1].shift
+
+
 def test_feature_blocks(monkeypatch):
     text = "Ab 1!\n" * 50
     whole = pu_quality.features(text)
@@ -224,7 +296,7 @@ def test_pipeline(spark, odd, empty):
     assert corpus_pipeline.near_duplicates(spark, odd, SMALL).filter("doc_id in (21, 22, 23)").count() == 0
 
 
-def test_pipeline_stages_by_brute_force(spark):
+def test_pipeline_stages_by_brute_force(spark, duck):
     """What each stage of the pipeline leaves, on its own input, worked out anew."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from .test_rules_lines_mix import brute_lines
@@ -235,7 +307,7 @@ def test_pipeline_stages_by_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     kept = stages["quality_classifier"](spark, docs, SMALL)
     model = pu_quality.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
-    want = {i for i, t in rows if model.score(pu_quality.features(t)[None].astype(np.float64))[0] >= 0.5}
+    want = {i for i, t in rows if model.score(np.array([brute_features(t)]).astype(np.float32).astype(np.float64))[0] >= 0.5}
     assert {r.doc_id for r in kept.collect()} == want
     cleaned = stages["line_dedup"](spark, docs, SMALL).collect()
     assert sorted((r.doc_id, r.text) for r in cleaned) == sorted(brute_lines(rows, 2)) and all(r.n_chars == len(r.text) for r in cleaned)
@@ -243,3 +315,6 @@ def test_pipeline_stages_by_brute_force(spark):
     assert sorted(r.doc_id for r in one) == [i for i, _, c in sorted(brute_components(rows, 5, 80, 100)) if i == c]
     mixed = stages["source_mix"](spark, docs, SMALL)
     assert mixed.columns == docs.columns and mixed.join(docs, docs.columns, "left_anti").count() == 0
+    times = duck.sql(f"SELECT doc_id, count(*) FROM ({mixing.oracle()}) GROUP BY 1").fetchall()
+    assert Counter(r.doc_id for r in mixed.collect()) == dict(times) and len({n for _, n in times}) > 1
+    check_packing(rows, stages["packing"](spark, docs, SMALL).collect(), 4096)
