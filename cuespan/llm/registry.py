@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert_sharding": hilbert_sharding.op8_hilbert_sharding,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
+    "word_rule_counts": token_counts.word_rule_counts,
     "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
     "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_filter_audit": filter_audit.op13_filter_audit,
@@ -27,7 +28,7 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.oracle(),
     "op3_poisson_mix": mixing.oracle(),
     "op9_line_dedup": line_dedup.oracle(),
-    "op10_token_counts": token_counts.oracle(),
+    "word_rule_counts": token_counts.oracle(),
     "op11_merkle_manifest": merkle_manifest.oracle(),
     "op12_suffix_dedup": suffix_dedup.oracle(),
     "op13_filter_audit": filter_audit.oracle(),

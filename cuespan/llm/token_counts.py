@@ -22,20 +22,26 @@ documents and tokens are both zero are left out of the totals; other columns are
 from __future__ import annotations
 
 import functools
+import os
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, scratch_path, table
+from ._common import materialize, scratch_path, some_rows, table
+from .packing import WordCachedTokenizer
 
 KEYS = ("source", "lang", "tokenizer_version")
 DELTA = "source string, lang string, tokenizer_version string, d_docs long, d_tokens long"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # Unicode's white space
+PIECE = re.compile(f"[{SPACE}]+[^{SPACE}]*|[^{SPACE}]+")
+VOCABULARIES = ("word_bpe_49k", "byte_bpe_50k")
 BATCH_TEXTS = 256
 
 
@@ -53,20 +59,51 @@ def words_v2(text: Column) -> Column:
 TOKENIZERS = {"words-1": words_v1, "words-2": words_v2}
 
 
+class CachedCounter:
+    """How many ids a tokenizer file gives texts, from those of their distinct pieces.
+
+    A piece is a run of white space with what follows it up to the next one. No rule of these
+    vocabularies joins characters across the start of such a run, so ids of pieces are ids of
+    the text, and each piece is encoded once for a worker; beyond ``limit`` all are forgotten."""
+
+    def __init__(self, path: str, limit: int = 200_000) -> None:
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.encoder, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.encoder.encode_special_tokens = True  # their strings in a text are ordinary text
+
+    def counts(self, texts: list[str]) -> list[int]:
+        pieces = [PIECE.findall(t) for t in texts]
+        if len(self.known) > self.limit:
+            self.known.clear()
+        fresh = list({p for some in pieces for p in some if p not in self.known})
+        for at in range(0, len(fresh), 1024):
+            part = fresh[at : at + 1024]
+            for p, e in zip(part, self.encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[p] = len(e.ids)
+        return [sum(map(self.known.__getitem__, some)) for some in pieces]
+
+
+def counter_of(path: str) -> Callable[[pa.Array], list[int]]:
+    """Counts of an Arrow array of texts, by the faster way that the vocabulary allows."""
+    from tokenizers import Tokenizer
+
+    if any(t.endswith("</w>") for t in Tokenizer.from_file(path).get_vocab()):  # a vocabulary of words
+        cached = WordCachedTokenizer(path)
+        cached.encoder.encode_special_tokens = True
+        return lambda texts: cached.many(texts)[1].tolist()
+    counter = CachedCounter(path)
+    return lambda texts: counter.counts([t or "" for t in texts.to_pylist()])
+
+
 def _vocabulary_counts(rows: DataFrame, path: str, to: str) -> DataFrame:
     """``rows`` with the number of ids that the tokenizer file at ``path`` gives each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(path)
-        encoder.encode_special_tokens = True  # their strings in a text are ordinary text
-        for b in batches:
-            for at in range(0, b.num_rows, BATCH_TEXTS):
-                part = b.slice(at, BATCH_TEXTS)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                counts = [len(e.ids) for e in encoder.encode_batch_fast(texts, add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64())], names=[*part.schema.names, to])
+        count = counter_of(path)
+        for part in some_rows(batches, BATCH_TEXTS):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(count(part.column("text")), pa.int64())], names=[*part.schema.names, to])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{fields}, {to} long")
@@ -132,12 +169,14 @@ class TokenRollup:
         p, fs = self._fs(f"{self.path}/{folder}")
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if not s.getPath().getName().startswith(".")) if fs.exists(p) else []
 
-    def _marked(self, folder: str) -> dict[str, str]:
-        """Name of each marker and the attempt it stands for."""
-        if not self._names(folder):
-            return {}
-        lines = self.spark.read.text(f"{self.path}/{folder}").collect()  # a line a batch, not a document
-        return dict(r.value.split("\t") for r in lines)
+    def _attempt(self, folder: str, name: str) -> str:
+        """The attempt that a marker stands for."""
+        p, fs = self._fs(f"{self.path}/{folder}/{name}")
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode().rstrip("\n").split("\t")[1]
+        finally:
+            stream.close()
 
     def _claim(self, folder: str, name: str, attempt: str) -> bool:
         """Make ``attempt`` what ``folder/name`` stands for; False if that is taken."""
@@ -160,12 +199,18 @@ class TokenRollup:
         return True
 
     def _snapshot(self) -> tuple[str | None, set[str]]:
-        marks = self._marked("snapshots")
+        """The last snapshot's folder, and the batches that it holds: names, no data."""
+        marks = self._names("snapshots")
         if not marks:
             return None, set()
-        last = f"{self.path}/attempts/{marks[max(marks)]}"
+        last = f"{self.path}/attempts/{self._attempt('snapshots', marks[-1])}"
         held = self.spark.read.schema("batch_id string").parquet(f"{last}/ids")
-        return last, {r.batch_id for r in held.collect()}  # ids of batches, not of documents
+        return last, {r.batch_id for r in held.collect()}
+
+    def _after(self, held: set[str]) -> dict[str, str]:
+        """Batches that aren't in ``held``, with their attempts: of the markers of all time
+        only the names are listed, and only these are opened."""
+        return {b: self._attempt("batches", b) for b in self._names("batches") if b not in held}
 
     def is_committed(self, batch_id: str) -> bool:
         p, fs = self._fs(f"{self.path}/batches/{batch_id}")
@@ -192,8 +237,8 @@ class TokenRollup:
         """Additive rows and the ids of the batches in them, of one and the same listing:
         the snapshot comes first, and what is committed later is not in it."""
         snap, held = self._snapshot()
-        marks = self._marked("batches")
-        paths = [f"{self.path}/attempts/{a}" for b, a in marks.items() if b not in held] + ([f"{snap}/totals"] if snap else [])
+        marks = self._after(held)
+        paths = [f"{self.path}/attempts/{a}" for a in marks.values()] + ([f"{snap}/totals"] if snap else [])
         parts = [self.spark.read.schema(DELTA).parquet(*paths)] if paths else []
         return functools.reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], DELTA), held | set(marks)
 
@@ -221,29 +266,45 @@ class TokenRollup:
         """Remove the data of folded batches, old snapshots and attempts without a marker.
         To be called while no reader and no writer is at work; markers stay."""
         snap, held = self._snapshot()
-        marks = self._marked("batches")
-        used = {a for b, a in marks.items() if b not in held} | ({snap.rsplit("/", 1)[1]} if snap else set())
+        used = set(self._after(held).values()) | ({snap.rsplit("/", 1)[1]} if snap else set())
         for name in self._names("attempts"):
             if name not in used:
                 self._remove(name)
 
 
-def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches, two of them sent twice: all documents arrive; those
-    labelled toxic go; what is left in English is counted anew by the next tokenizer."""
+def _rolled(spark: SparkSession, sf_dir: str, versions: dict[str, str | None]) -> DataFrame:
+    """Totals after four batches, two of them sent twice: all documents arrive, counted by the
+    first of two ``versions``; those labelled toxic go; what is left in English is counted
+    anew by the second."""
+    old, new = versions
     docs = table(spark, sf_dir, "documents")
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
-    rows = materialize(measured(docs, {"words-1": None, "words-2": None}), "token-counts")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    # only what will be counted anew is counted twice
+    both = measured(docs.filter(english), versions).unionByName(measured(docs.filter(~english), {old: versions[old]}))
+    rows = materialize(both, "token-counts")
     store = TokenRollup(spark, scratch_path(spark, "token-rollup"))
-    store.commit("0001-load", counted(rows, "words-1"))
-    store.commit("0001-load", counted(rows, "words-1"))
-    store.commit("0002-toxic", counted(rows.join(toxic, "doc_id", "left_semi"), "words-1", "delete"))
+    store.commit("0001-load", counted(rows, old))
+    store.commit("0001-load", counted(rows, old))
+    store.commit("0002-toxic", counted(rows.join(toxic, "doc_id", "left_semi"), old, "delete"))
     store.compact()
-    store.commit("0003-english", recounted(rows.filter("lang = 'en'").join(toxic, "doc_id", "left_anti"), "words-1", "words-2"))
-    store.commit("0002-toxic", counted(rows, "words-1", "delete"))
+    store.commit("0003-english", recounted(rows.filter("lang = 'en'").join(toxic, "doc_id", "left_anti"), old, new))
+    store.commit("0002-toxic", counted(rows, old, "delete"))
     return store.totals()
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by two vocabularies, a word and a byte one."""
+    import public_tokenizers
+
+    return _rolled(spark, sf_dir, {v: public_tokenizers.path(f"{v}.json") for v in VOCABULARIES})
+
+
+def word_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches by two word rules, which SQL can check."""
+    return _rolled(spark, sf_dir, {"words-1": None, "words-2": None})
+
+
 def oracle() -> str:
     return r"""
 WITH d AS (SELECT coalesce(text,'') AS text, source, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)),

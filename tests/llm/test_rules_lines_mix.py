@@ -343,3 +343,54 @@ def test_versions_may_be_vocabularies(spark, odd):
         plain.encode_special_tokens = True
         assert sorted(r.tokens[k] for r in rows) == sorted(len(plain.encode(t, add_special_tokens=False).ids) for t in texts)
     assert all(set(r.tokens) == {"words-1", *files} for r in rows)
+
+
+@pytest.mark.parametrize("name", token_counts.VOCABULARIES)
+def test_cached_counts_are_those_of_whole_texts(spark, name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(f"{name}.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(80).collect()]
+    texts += ["", "  ", "don't STOP... 1234!!", "a<|endoftext|>b", "é é  x \n\n y\t\tz ", "日本語 text。", "a\x1cb \x1d c\x1e\x1fd\x85e\u3000f\u00a0 \u2003g", "\n\nx ", "it's,; x. 'tis we'll. 's 'll x'", "a\u200bb \u200b c", "\r\n x\r\n"]
+    want = [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+    import pyarrow as pa
+
+    assert token_counts.counter_of(path)(pa.array(texts, pa.string())) == want
+    few = token_counts.CachedCounter(path, limit=10)
+    assert [few.counts([t])[0] for t in texts] == want
+
+
+def test_totals_by_vocabulary_are_those_of_a_recount(spark):
+    """Deletes, revisions and replays of the registered query, against a plain count at the end."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    toxic = {r.doc_id for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if r.toxic == 1}
+    plain = [Tokenizer.from_file(public_tokenizers.path(f"{v}.json")) for v in token_counts.VOCABULARIES]
+    want = defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        if r.doc_id not in toxic:
+            k = int(r.lang == "en")
+            total = want[r.source, r.lang, token_counts.VOCABULARIES[k]]
+            total[0] += 1
+            total[1] += len(plain[k].encode(r.text or "", add_special_tokens=False).ids)
+    got = {(r.source, r.lang, r.tokenizer_version): [r.n_docs, r.n_tokens] for r in token_counts.op10_token_counts(spark, SMALL).collect()}
+    assert got == want and toxic
+
+
+def test_a_long_history_is_not_read_again(spark, tmp_path, monkeypatch):
+    store = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
+    one = spark.createDataFrame([("insert", 1, "s", "en", "v", 5, None, None)], "op string, doc_id long, source string, lang string, tokenizer_version string, n_tokens long, old_tokenizer_version string, old_n_tokens long")
+    for i in range(12):
+        assert store.commit(f"{i:04d}", one)
+    store.compact()
+    opened, attempt = [], token_counts.TokenRollup._attempt
+    monkeypatch.setattr(token_counts.TokenRollup, "_attempt", lambda self, folder, name: (opened.append((folder, name)), attempt(self, folder, name))[1])
+    store.commit("later", one)
+    assert not store.commit("0003", one)
+    total = store.totals().first()
+    assert (total.n_docs, total.n_tokens) == (13, 65)
+    assert opened == [("snapshots", "000000000000"), ("batches", "later")]
