@@ -26,7 +26,7 @@ from ..functions.text import TAG
 FILES_A_TASK = 256
 BUFFER = 1 << 16
 _UNKNOWN = 0xFFFFFFFF  # the length of a chunk that was written as a stream, or stands in ds64
-_BLANK = "\t\n\x0b\x0c\r \x85\xa0                　"
+_BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _TIMES = re.compile(r"(\d{2}):(\d{2}):(\d{2}\.\d{3})\s*-->\s*(\d{2}):(\d{2}):(\d{2}\.\d{3})", re.ASCII)
 
 
