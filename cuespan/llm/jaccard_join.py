@@ -18,12 +18,16 @@ How it is spread out, without cross joins, pairs inside groups, or sampled count
    only are dropped, and with them almost every document without a partner. A hash that is
    frequent already inside one batch of input is kept out of the shuffle (it is counted
    there, and ordered last), so no hot list reaches one task.
-3. Lists are joined to stars around their smallest class, whose connected components hold
-   every possible link. Hot lists are nodes of that graph themselves: a task contracts the
-   ones of the classes it reads to a spanning forest, so that a group of near copies costs
-   about one edge a class, whatever the number of hashes that all of them have.
-   Components are dealt into blocks of bounded size; one too large for a block is cut into
-   chunks, and each pair of chunks is a block.
+3. Partners' sizes differ by a factor of den / num at most, so classes are dealt to size
+   bands that overlap: a class is in two, partners share one, and a passage that texts of all
+   lengths have doesn't make one component of them. Inside a band, lists are joined to stars
+   around their smallest class, whose connected components hold every possible link. Hot
+   lists are nodes of that graph themselves: a task contracts the ones of the classes it reads
+   to a spanning forest, so that a group of near copies costs about one edge a class,
+   whatever the number of hashes that all of them have. Components whose pairs all meet in
+   the next band too are left to it, and those of one class to nobody. The others are dealt
+   into blocks of bounded size; one too large for a block is cut into chunks, and each pair
+   of chunks is a block.
 4. Inside a block the T-occurrence search runs over the full sets. Two classes already
    connected are not searched again: the result is components, not all pairs.
    ``link_counts`` searches these as well, and counts every link.
@@ -55,7 +59,8 @@ from .components import connected_components, spanning_stars
 SHINGLE = 4
 NUM, DEN = 85, 100
 LOCAL_HOT = 64
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
+MAX_SET = 1 << 48  # shingles of a set: the last band begins below
 MU = 0.0085  # cost of a probe against a merge step, as published for DivideSkip
 MAX_FILTER_BITS = 27  # 16 MB at most
 MIN_BUCKETS, BUCKET_TOKENS = 64, 3_000_000  # of the hash range, in which windows are counted
@@ -94,6 +99,22 @@ def need(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
+def band_starts(num: int, den: int) -> list[int]:
+    """Where bands of set sizes begin: a partner of a set in one is in it or a neighbour."""
+    out = [1]
+    while out[-1] < MAX_SET:
+        out.append(max(out[-1] + 1, -(-out[-1] * den // num)))
+    return out
+
+
+def in_bands(lists: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """A row of ``lists`` (sid, n, ...) for each of the two bands of its size, with ``own``, the
+    number of the band that begins below n, and ``node``, which stands for (sid, band)."""
+    own = F.size(F.filter(F.array(*[F.lit(x) for x in band_starts(num, den)]), lambda x: x <= F.col("n")))
+    rows = lists.withColumn("own", own).withColumn("band", F.explode(F.array(F.col("own") - 1, F.col("own"))))
+    return rows.withColumn("node", F.xxhash64("sid", "band"))
+
+
 def merge_skip(lists: list[list[int]], times: int) -> Iterator[tuple[int, int]]:
     """Ids found in at least ``times`` of the sorted lists, ascending, with their counts.
     Where fewer lists agree, ``times`` - 1 lists jump ahead to the next possible id."""
@@ -238,7 +259,7 @@ def packed_windows(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def short_lists(rows: DataFrame, num: int = NUM, den: int = DEN, local_hot: int = LOCAL_HOT) -> DataFrame:
-    """(sid, rare, hot): the rarest window hashes of each class that can have a partner, and
+    """(sid, n, rare, hot): the rarest window hashes of each class that can have a partner, and
     which of them are in more than ``local_hot`` classes."""
     total = rows.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
     buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, -(-total // BUCKET_TOKENS)))
@@ -263,34 +284,36 @@ def short_lists(rows: DataFrame, num: int = NUM, den: int = DEN, local_hot: int
     window = F.least(F.col("n"), F.col("n") - t + quarter(F.col("n")))
     length = window - quarter(t) + 1
     take = (length - (window - F.size("shared"))).cast("int")  # hashes of its own come first, and join nothing
-    chosen = sets.withColumn("take", take).filter("take > 0").select("sid", F.slice("shared", 1, F.col("take")).alias("lists"))
+    chosen = sets.withColumn("take", take).filter("take > 0").select("sid", "n", F.slice("shared", 1, F.col("take")).alias("lists"))
     part = lambda keep: F.transform(F.filter("lists", keep), lambda x: x["token"])
-    return chosen.select("sid", part(lambda x: x["rank"] < _HOT_RANK).alias("rare"), part(lambda x: x["rank"] == _HOT_RANK).alias("hot"))
+    return chosen.select("sid", "n", part(lambda x: x["rank"] < _HOT_RANK).alias("rare"), part(lambda x: x["rank"] == _HOT_RANK).alias("hot"))
 
 
-def _list_node(token: np.ndarray) -> np.ndarray:
-    """A node number for a list; as a class's, a 64-bit digest."""
+def _list_node(token: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """A node number for a list in a band; as a class's, a 64-bit digest."""
     x = (token.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(31))).view(np.int64)
+    x = (x ^ (x >> np.uint64(31)) ^ band.astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
 def rare_edges(lists: DataFrame) -> DataFrame:
-    """Edges (u, v) from each class of a list, which are few, to the list's smallest one."""
-    each = lists.select("sid", F.explode("rare").alias("token"))
-    hubs = each.groupBy("token").agg(F.min("sid").alias("v"), F.max("sid").alias("top")).filter("v < top").drop("top")
-    return each.join(hubs, "token").filter("sid <> v").select(F.col("sid").alias("u"), "v").distinct()
+    """Edges (u, v) from each node of a list and band, which are few, to the smallest one."""
+    each = lists.select("node", "band", F.explode("rare").alias("token"))
+    hubs = each.groupBy("token", "band").agg(F.min("node").alias("v"), F.max("node").alias("top")).filter("v < top").drop("top")
+    return each.join(hubs, ["token", "band"]).filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
 def hot_edges(lists: DataFrame, edges_a_task: int = 1_000_000) -> DataFrame:
-    """Edges (u, v) between classes and their hot lists, which are nodes too, contracted in
-    each task: about one edge a node stands for all that connects what a task has seen."""
+    """Edges (u, v) between nodes and their hot lists, which are nodes too, contracted in each
+    task: about one edge a node stands for all that connects what a task has seen."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, int]] = []
         for b in batches:
             if len(b):
-                node = _list_node(np.concatenate([np.asarray(x, np.int64) for x in b["hot"]]))
-                held += zip(np.repeat(b["sid"].to_numpy(np.int64), [len(x) for x in b["hot"]]).tolist(), node.tolist(), strict=True)
+                size = np.array([len(x) for x in b["hot"]])
+                node = _list_node(np.concatenate([np.asarray(x, np.int64) for x in b["hot"]]), np.repeat(b["band"].to_numpy(np.int64), size))
+                held += zip(np.repeat(b["node"].to_numpy(np.int64), size).tolist(), node.tolist(), strict=True)
             if len(held) > edges_a_task:
                 held = spanning_stars(held)
                 if len(held) > edges_a_task // 2:  # little to contract: hand on
@@ -300,7 +323,7 @@ def hot_edges(lists: DataFrame, edges_a_task: int = 1_000_000) -> DataFrame:
         held.clear()
         give_back()
 
-    return lists.filter(F.size("hot") > 0).select("sid", "hot").mapInPandas(run, "u long, v long")
+    return lists.filter(F.size("hot") > 0).select("node", "band", "hot").mapInPandas(run, "u long, v long")
 
 
 def block_keys(members: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -369,13 +392,17 @@ def block_links(sets: DataFrame, keys: DataFrame, num: int = NUM, den: int = DEN
 def _blocks(docs: DataFrame, size: int, num: int, den: int, local_hot: int, block_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Window rows, classes, and the sets and keys of the blocks."""
     rows = materialize(window_rows(docs, size, num, den, local_hot), "jaccard-windows")
-    lists = materialize(short_lists(rows, num, den, local_hot), "jaccard-lists")
+    lists = materialize(in_bands(short_lists(rows, num, den, local_hot), num, den), "jaccard-lists")
     coarse = connected_components(rare_edges(lists).unionByName(hot_edges(lists)), "jaccard-coarse")
     # a component's smallest node is no row of ``coarse``: it is added; lists go by the join with classes
-    members = coarse.select(F.col("u").alias("sid"), F.col("v").alias("comp")).unionByName(coarse.select(F.col("v").alias("sid"), F.col("v").alias("comp")).distinct())
+    members = coarse.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(coarse.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    members = materialize(members.join(lists.select("node", "sid", "n", "own", "band"), "node"), "jaccard-nodes")
+    # all of the band above: they meet there as well
+    useful = members.groupBy("comp").agg(F.count("*").alias("_m"), F.min(F.col("own") - F.col("band")).alias("_low")).filter("_m > 1 and _low = 0").select("comp")
     classes = rows.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("times"))
+    members = members.join(useful, "comp", "left_semi").select("sid", "comp")
     wanted = materialize(members.join(classes.drop("times"), "sid"), "jaccard-members")
-    sets = full_sets(docs, wanted.select("sid", "id"), size)
+    sets = full_sets(docs, wanted.select("sid", "id").distinct(), size)
     # written down, so that the engine knows their size: it broadcasts few, and shuffles many
     keys = materialize(block_keys(wanted.select("sid", "n", "comp"), block_tokens), "jaccard-keys")
     return rows, classes, sets, keys

@@ -311,3 +311,34 @@ def test_hot_join_is_a_join(spark, how):
     for hot in (F.lit(False), F.lit(True), F.col("k") == 1):
         got = hot_join(rows, few, ["k", "j"], hot, how).select("id", "k", "j", "what")
         assert sorted(got.collect(), key=repr) == sorted(rows.join(few, ["k", "j"], how).select("id", "k", "j", "what").collect(), key=repr)
+
+
+def test_bands_part_a_passage_of_texts_of_all_lengths(spark):
+    """A passage in texts of 60 to 4,000 words joins those of like length only, and near copies
+    are found whatever band their sizes fall into."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(55)]
+    rows = []
+    for i in range(240):
+        own = [f"w{rng.getrandbits(40)}" for _ in range(int(5 * 1.028**i))]
+        rows.append((i, " ".join(passage + own)))
+    for i in range(0, 240, 7):  # copies a little longer or shorter
+        words = rows[i][1].split()
+        rows.append((1000 + i, " ".join(words[: len(words) - len(words) // 20])))
+        rows.append((2000 + i, " ".join([*words, *[f"x{i}y{k}" for k in range(len(words) // 15)]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    how = {"local_hot": 8}
+    assert sorted((tuple(r) for r in jaccard_join.jaccard_components(docs, **how).collect()), key=repr) == brute_components(rows, 4, 85, 100)
+    lists = jaccard_join.in_bands(jaccard_join.short_lists(jaccard_join.window_rows(docs, **how), **how))
+    assert max(r["count"] for r in lists.groupBy("band").count().collect()) < len(rows) / 4
+
+
+def test_partners_share_a_band(spark):
+    for num, den in ((85, 100), (80, 100), (1, 2)):
+        starts = jaccard_join.band_starts(num, den)
+        own = lambda n: sum(s <= n for s in starts)
+        for n in range(1, 2000):
+            most = n * den // num
+            assert own(most) - own(n) in (0, 1)
+        got = jaccard_join.in_bands(spark.range(1, 300).select(F.col("id").alias("sid"), F.col("id").alias("n")), num, den).collect()
+        assert {(r.n, r.band) for r in got} == {(n, own(n) - k) for n in range(1, 300) for k in (0, 1)}
