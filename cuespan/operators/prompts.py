@@ -46,11 +46,18 @@ def review_prompt(question: Column, answer: Column, texts: Column, cross_check:
     return F.concat(evidence, F.lit("\nQuestion: "), question, tail)
 
 
-def video_prompt(question: Column, segments: Column) -> Column:
-    """Segments are titled only where there are several."""
+def video_system(frames_per_window: Column) -> Column:
+    """What a video model is told of its pictures: one a window, or several in order."""
+    return F.when(frames_per_window > 1, F.lit("You see several frames of each passage of a lecture, in order, and read what is said there.")).otherwise(F.lit("You see one frame of each passage of a lecture and read what is said there."))
+
+
+def video_prompt(question: Column, segments: Column, frames_per_window: Column | None = None) -> Column:
+    """Segments are titled only where there are several; with ``frames_per_window`` the system
+    text comes first."""
     many = F.size(segments) > 1
     body = F.transform(segments, lambda s, i: F.when(many, F.concat(F.format_string("--- Segment %d ---\n", i + 1), s)).otherwise(s))
-    return F.concat(F.array_join(body, "\n"), F.lit("\nQuestion: "), question)
+    head = F.lit("") if frames_per_window is None else F.concat(video_system(frames_per_window), F.lit("\n"))
+    return F.concat(head, F.array_join(body, "\n"), F.lit("\nQuestion: "), question)
 
 
 def claim_prompt(reference: Column, generated: Column) -> Column:

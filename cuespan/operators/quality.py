@@ -185,6 +185,17 @@ def coverage_tiers(counts: DataFrame, minimum: int = 500) -> DataFrame:
     return by.withColumn("gate_met", total >= minimum)
 
 
+def coverage_gate(before: DataFrame, after: DataFrame, minimum: int = 500, least_visual: int = 300) -> DataFrame:
+    """One row: questions and visual ones after the fix (``after``: n, visual for each lecture),
+    lectures without any before it, and the exit value. As in the source system a lecture that
+    had nothing keeps the gate shut even if the fix has filled it: the next run opens it."""
+    none = before.agg(F.count_if(F.col("n") == 0).alias("zero_before"))
+    total = after.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("visual"), F.lit(0)).alias("visual"))
+    both = total.join(none)  # one row each
+    shut = (F.col("total") < minimum) | (F.col("visual") < least_visual) | (F.col("zero_before") > 0)
+    return both.withColumn("exit_value", shut.cast("int"))
+
+
 def lowest(counts: DataFrame, k: int = 10, below: int = 12) -> DataFrame:
     """Of the k lectures with the fewest questions, those below the target."""
     return counts.orderBy("n", "video_id").limit(k).filter(F.col("n") < below)

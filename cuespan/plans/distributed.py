@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import overlap, scan
+from .. import schemas
+from ..operators import overlap, prompts, quality, scan
 from ..operators.vector_index import VectorIndex
 from ..sources import commits, media, tables
 from . import virtual as V
@@ -187,3 +188,36 @@ def q99_caption_cues(spark: SparkSession, d: str) -> DataFrame:
     media.register(spark)
     cues = spark.read.format("caption_cues").load(folder)
     return cues.select("video_id", r9("start"), r9("end"), F.col("text_lines")[0].alias("text"))
+
+
+# --- the other half, the gate, the system text -------------------------------------------------
+
+
+@query(f"WITH {V.CORPUS}, s AS (SELECT DISTINCT video_id FROM corpus WHERE chunk_id % 7 = 0 AND video_id < 6) SELECT chunk_id, corpus.video_id, s.video_id IS NOT NULL AS stored FROM corpus LEFT JOIN s USING (video_id)")
+def q100_existing_and_new(spark: SparkSession, d: str) -> DataFrame:
+    c = V.corpus(spark, d).select("chunk_id", "video_id")
+    stored = c.filter("chunk_id % 7 = 0 and video_id < 6")
+    return tables.existing_keys(c, stored).withColumn("stored", F.lit(True)).unionByName(tables.new_keys(c, stored).withColumn("stored", F.lit(False)))
+
+
+@query(f"""WITH {V.REVIEW}, s AS (SELECT DISTINCT source AS video_id FROM documents),
+a AS (SELECT video_id, count(*) FILTER (decision = 'ACCEPT' AND toxic_free) AS n, count(*) FILTER (decision = 'ACCEPT' AND toxic_free AND question_type IN ('visual', 'multi-hop-visual')) AS visual, count(*) FILTER (decision = 'ACCEPT') AS n2, count(*) FILTER (decision = 'ACCEPT' AND question_type IN ('visual', 'multi-hop-visual')) AS visual2
+  FROM (SELECT *, video_id NOT IN ('src1', 'src2') AS toxic_free FROM dec) GROUP BY 1),
+f AS (SELECT s.video_id, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN coalesce(n2, 0) ELSE n END AS total, CASE WHEN coalesce(n, 0) = 0 THEN coalesce(visual2, 0) ELSE visual END AS visual FROM s LEFT JOIN a USING (video_id))
+SELECT sum(total)::BIGINT AS total, sum(visual)::BIGINT AS visual, count(*) FILTER (n = 0)::BIGINT AS zero_before, CASE WHEN sum(total) < 500 OR sum(visual) < 300 OR count(*) FILTER (n = 0) > 0 THEN 1 ELSE 0 END AS exit_value FROM f""")
+def q101_coverage_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Two lectures have nothing accepted yet; the fix brings what their reviews accept."""
+    accepted = quality.review_decision(V.reviews(spark, d)).filter("decision = 'ACCEPT'")
+    keys = V.table(spark, d, "documents").select(F.col("source").alias("video_id")).distinct()
+    visual = F.col("question_type").isin(*schemas.VISUAL_TYPES)
+    by = accepted.groupBy("video_id").agg(F.count("*").alias("n"), F.count_if(visual).alias("visual"))
+    after = keys.join(by, "video_id", "left").na.fill(0)
+    before = after.withColumn("n", F.when(F.col("video_id").isin("src1", "src2"), 0).otherwise(F.col("n")))
+    return quality.coverage_gate(before, after)
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 > 1 THEN 'You see several frames of each passage of a lecture, in order, and read what is said there.' ELSE 'You see one frame of each passage of a lecture and read what is said there.' END
+ || chr(10) || CASE WHEN turn % 2 = 0 THEN text ELSE '--- Segment 1 ---' || chr(10) || text || chr(10) || '--- Segment 2 ---' || chr(10) || 'x' END || chr(10) || 'Question: q' AS prompt FROM conversations""")
+def q102_video_system(spark: SparkSession, d: str) -> DataFrame:
+    segments = F.when(F.col("turn") % 2 == 0, F.array("text")).otherwise(F.array(F.col("text"), F.lit("x")))
+    return V.table(spark, d, "conversations").select("conv_id", "turn", prompts.video_prompt(F.lit("q"), segments, F.col("turn") % 3).alias("prompt"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -110,6 +111,11 @@ def new_keys(rows: DataFrame, stored: DataFrame, key: str = "video_id") -> DataF
     return rows.join(stored.select(key).distinct(), key, "left_anti")
 
 
+def existing_keys(rows: DataFrame, stored: DataFrame, key: str = "video_id") -> DataFrame:
+    """The other half of ``new_keys``: rows of keys of which something is stored."""
+    return rows.join(stored.select(key).distinct(), key, "left_semi")
+
+
 def replace_keys(rows: DataFrame, stored: DataFrame, key: str = "video_id") -> DataFrame:
     """Delete-then-insert: stored rows but for the keys that ``rows`` brings, and ``rows``."""
     return new_keys(stored, rows, key).unionByName(rows)
@@ -148,7 +154,7 @@ def scratch_folder(spark: SparkSession, tag: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir is not set: executors of a cluster share no other folder")
-        root = "file://" + tempfile.mkdtemp(prefix="cuespan-")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "cuespan-scratch")
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
