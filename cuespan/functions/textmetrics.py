@@ -1,8 +1,10 @@
 """Text-similarity scores as Arrow UDFs over pairs.
 
 Tokens are runs of word characters and single marks, lower-cased; the stemmer is Porter's
-(1980), and METEOR has the exact and stem stages only: no synonym lexicon is available
-offline, so its values are not comparable with those of a full METEOR.
+(1980). METEOR has the exact and the stem stage, and with a lexicon, given as a table of words
+and the sets they are in, the synonym stage; none is available offline, so values without it
+are not comparable with those of a full METEOR. Matches are made greedily from the end, as in
+the scorer that published values come from.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -153,8 +155,9 @@ def rouge_l_value(ref: str, hyp: str, stem: bool = True) -> float:
     return 2 * n / (len(a) + len(b)) if n else 0.0
 
 
-def meteor_value(ref: str, hyp: str, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
-    """Exact then stem matches, each greedily from the end, with the chunk penalty."""
+def meteor_value(ref: str, hyp: str, sets: dict[str, frozenset] | None = None, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
+    """Exact, then stem matches, then words that share one of their ``sets``, each greedily from
+    the end, with the chunk penalty."""
     r, h = tokens(ref), tokens(hyp)
     if not h or not r:
         return 0.0
@@ -173,6 +176,11 @@ def meteor_value(ref: str, hyp: str, alpha: float = 0.9, beta: float = 3.0, gamm
                 rest.append((i, w))
         used = {j for _, j in pairs}
         left_h, left_r = rest[::-1], [(i, w) for i, w in left_r if i not in used]
+    for i, w in reversed(left_h) if sets else ():
+        mine = sets.get(w, frozenset())
+        at = next((k for k in range(len(left_r) - 1, -1, -1) if mine & sets.get(left_r[k][1], frozenset())), None)
+        if at is not None:
+            pairs.append((i, left_r.pop(at)[0]))
     if not pairs:
         return 0.0
     pairs.sort()
@@ -204,3 +212,21 @@ def rouge_l_plain(ref: Column, hyp: Column) -> Column:
 
 def meteor(ref: Column, hyp: Column) -> Column:
     return _scored(meteor_value, ref, hyp)
+
+
+def with_meteor(pairs: DataFrame, lexicon: DataFrame, keys: list[str], ref: str = "reference", hyp: str = "answer", to: str = "meteor") -> DataFrame:
+    """``pairs``, of which ``keys`` are unique, with METEOR by a lexicon (word, set_id): the words
+    of a pair are joined with it, so a task holds the sets of its pairs' words and no lexicon."""
+
+    def distinct(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([sorted({*tokens(x or ""), *tokens(y or "")}) for x, y in zip(a, b, strict=True)])
+
+    def score(a: pd.Series, b: pd.Series, known: pd.Series) -> pd.Series:
+        each = ({} if k is None else {x["word"]: frozenset(x["sets"]) for x in k} for k in known)
+        return pd.Series([meteor_value(x or "", y or "", sets) for x, y, sets in zip(a, b, each, strict=True)], dtype="float64")
+
+    words = pairs.select(*keys, F.explode(F.pandas_udf(distinct, "array<string>")(ref, hyp)).alias("word"))
+    sets = lexicon.filter("word is not null and set_id is not null").groupBy(F.lower("word").alias("word")).agg(F.collect_set(F.col("set_id").cast("string")).alias("sets"))
+    known = words.join(sets, "word").groupBy(*keys).agg(F.collect_list(F.struct("word", "sets")).alias("_known"))
+    scored = pairs.join(known, keys, "left")
+    return scored.withColumn(to, F.pandas_udf(score, "double")(ref, hyp, "_known")).drop("_known")

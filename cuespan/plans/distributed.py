@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import textmetrics
 from ..operators import overlap, prompts, quality, scan
 from ..operators.vector_index import VectorIndex
 from ..sources import commits, media, tables
@@ -221,3 +222,16 @@ def q101_coverage_gate(spark: SparkSession, d: str) -> DataFrame:
 def q102_video_system(spark: SparkSession, d: str) -> DataFrame:
     segments = F.when(F.col("turn") % 2 == 0, F.array("text")).otherwise(F.array(F.col("text"), F.lit("x")))
     return V.table(spark, d, "conversations").select("conv_id", "turn", prompts.video_prompt(F.lit("q"), segments, F.col("turn") % 3).alias("prompt"))
+
+
+# --- METEOR with a lexicon -----------------------------------------------------------------------
+
+
+@query()
+def q103_meteor_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the benchmark with the same first five letters stand in for synonyms; no SQL, as
+    q55 has none (stemmer): pytest has the matching by brute force."""
+    words = V.table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"\W+")).alias("word")).filter(F.length("word") > 5).distinct()
+    lexicon = words.select("word", F.substring("word", 1, 5).alias("set_id"))
+    scored = textmetrics.with_meteor(V.text_pairs(spark, d), lexicon, ["conv_id", "turn"])
+    return scored.select("conv_id", "turn", r9("meteor"))

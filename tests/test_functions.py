@@ -150,3 +150,41 @@ def test_rounding_is_that_of_the_binary_value(spark):
         assert not wrong, (n, wrong[:5])
     odd = spark.createDataFrame([(None,), (float("inf"),), (float("nan"),)], "x double").select(half_even(F.col("x"), 3).alias("y")).collect()
     assert odd[0].y is None and odd[1].y == float("inf") and odd[2].y != odd[2].y
+
+
+def brute_meteor(ref, hyp, sets):
+    """Stage by stage with nested loops from the end, as the published scorer does."""
+    h, r, matches = list(enumerate(textmetrics.tokens(hyp))), list(enumerate(textmetrics.tokens(ref))), []
+    none = frozenset()
+    for same in (lambda a, b: a == b, lambda a, b: textmetrics.porter_stem(a) == textmetrics.porter_stem(b), lambda a, b: bool(sets.get(a, none) & sets.get(b, none))):
+        for i in range(len(h) - 1, -1, -1):
+            for j in range(len(r) - 1, -1, -1):
+                if same(h[i][1], r[j][1]):
+                    matches.append((h[i][0], r[j][0]))
+                    h.pop(i)
+                    r.pop(j)
+                    break
+    if not matches:
+        return 0.0
+    m, matches = len(matches), sorted(matches)
+    p, q = m / len(textmetrics.tokens(hyp)), m / len(textmetrics.tokens(ref))
+    chunks = 1 + sum(b != (a[0] + 1, a[1] + 1) for a, b in zip(matches, matches[1:], strict=False))
+    return p * q / (0.9 * p + 0.1 * q) * (1 - 0.5 * (chunks / m) ** 3)
+
+
+def test_meteor_with_a_lexicon(spark):
+    import random
+
+    rng = random.Random(6)
+    words = ["car", "auto", "cars", "runs", "running", "quick", "fast", "swift", "the", "a", "."]
+    sets = {"car": {"1"}, "auto": {"1"}, "quick": {"2", "3"}, "fast": {"2"}, "swift": {"3"}}
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))
+    rows = [(i, line(), line()) for i in range(300)] + [(1000, None, "a"), (1001, "The CAR .", "the auto .")]
+    pairs = spark.createDataFrame(rows, "k int, reference string, answer string").repartition(3)
+    lexicon = spark.createDataFrame([(w.upper(), s) for w, x in sets.items() for s in x] + [(None, "9"), ("x", None)], "word string, set_id string")
+    got = {r.k: r.meteor for r in textmetrics.with_meteor(pairs, lexicon, ["k"]).collect()}
+    for k, a, b in rows:
+        assert got[k] == pytest.approx(brute_meteor(a or "", b or "", {w: frozenset(x) for w, x in sets.items()}))
+    assert got[1001] > textmetrics.meteor_value("The CAR .", "the auto .")
+    none = {r.k: r.meteor for r in textmetrics.with_meteor(pairs, lexicon.limit(0), ["k"]).collect()}
+    assert all(none[k] == pytest.approx(textmetrics.meteor_value(a or "", b or "")) for k, a, b in rows)
