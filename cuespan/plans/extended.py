@@ -310,10 +310,10 @@ def q83_parse_review(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH b AS (SELECT doc_id, [ '\(x\)', '\n', '\\(', 'a\\', 'plain', 'é\q', '\\\(', '\"\/\b' ][(doc_id%8+1)::INT] AS raw FROM documents)
-SELECT doc_id, raw, CASE doc_id%8 WHEN 0 THEN '\\(x\\)' WHEN 5 THEN 'é\\q' ELSE raw END AS repaired FROM b""")
+SELECT doc_id, raw, regexp_replace(raw, '^', '') = raw AS same, CASE doc_id%8 WHEN 0 THEN '\\(x\\)' WHEN 5 THEN 'é\\q' ELSE raw END AS repaired FROM b""")
 def q84_repair_escapes(spark: SparkSession, d: str) -> DataFrame:
     raw = F.element_at(F.array(*[F.lit(x) for x in (r"\(x\)", r"\n", r"\\(", "a\\\\", "plain", r"é\q", r"\\\(", r"\"\/\b")]), (F.col("doc_id") % 8 + 1).cast("int"))
-    return V.table(spark, d, "documents").select("doc_id", raw.alias("raw"), parsing.repair_escapes(raw).alias("repaired"))
+    return V.table(spark, d, "documents").select("doc_id", raw.alias("raw"), (F.regexp_replace(raw, "^", "") == raw).alias("same"), parsing.repair_escapes(raw).alias("repaired"))
 
 
 @query("""SELECT conv_id, turn, replace(substring(text, 1, 80), chr(10), ' ') AS preview, contains(text || CASE WHEN turn%3=0 THEN ' [frame caption: x]' ELSE '' END, '[frame caption:') AS visual,

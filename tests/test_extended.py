@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cuespan import models, schemas
 from cuespan.functions import parsing, text
 from cuespan.operators import evaluate, joins, quality, sequence
+from cuespan.plans.registry import QUERIES
 from cuespan.sources import tables
 from cuespan.streaming import ingest
 
@@ -145,3 +146,9 @@ def test_pooled_means_leave_no_view(spark):
     rows = spark.createDataFrame([("c", "visual", 1.0), ("d", "text", 0.0)], "config string, question_type string, x double")
     assert {(r.level, r.value): r.x for r in evaluate.pooled_means(rows, ("x",)).collect()}["config", "c"] == 1.0
     assert not [t for t in spark.catalog.listTables() if t.isTemporary]
+
+
+def test_repaired_escapes_say_whether_they_came_through_whole(spark, tmp_path):
+    spark.createDataFrame([(0,), (7,), (None,)], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.same for r in QUERIES["q84_repair_escapes"](spark, str(tmp_path)).collect()}
+    assert got == {0: True, 7: True, None: None}
