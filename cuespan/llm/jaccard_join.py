@@ -28,8 +28,10 @@ How it is spread out, without cross joins, pairs inside groups, or sampled count
    the next band too are left to it, and those of one class to nobody. The others are dealt
    into blocks of bounded size; one too large for a block is cut into chunks, and each pair
    of chunks is a block.
-4. Inside a block the T-occurrence search runs over the full sets. Two classes already
-   connected are not searched again: the result is components, not all pairs.
+4. Inside a block the T-occurrence search runs over the full sets: short lists are merged, as
+   arrays where they are many, and long ones probed for all candidates at once, or read once
+   where that is less. Two classes already connected are not searched again: the result is
+   components, not all pairs.
    ``link_counts`` searches these as well, and counts every link.
 
 Defined edge cases: null and empty texts, and those of white space, have an empty set and
@@ -62,6 +64,8 @@ LOCAL_HOT = 64
 BLOCK_TOKENS = 500_000
 MAX_SET = 1 << 48  # shingles of a set: the last band begins below
 MU = 0.0085  # cost of a probe against a merge step, as published for DivideSkip
+FEW = 64  # postings that are merged one by one
+PROBE = 8  # cost of a binary probe against a posting that is read
 MAX_FILTER_BITS = 27  # 16 MB at most
 MIN_BUCKETS, BUCKET_TOKENS = 64, 3_000_000  # of the hash range, in which windows are counted
 MAX_BUCKETS = 16_384  # beyond that buckets grow, and their sort spills: arrays stay long
@@ -169,29 +173,51 @@ def link_block(sets: list[np.ndarray], num: int = NUM, den: int = DEN, every: bo
         live = live[np.argsort(-before[live], kind="stable")]
         longest = int(before[live[0]])
         n_long = min(t - 1, int(t / (MU * math.log2(longest) + 1)) if longest > 1 else t - 1)
-        long_tokens, short = np.sort(mine[live[:n_long]]), live[n_long:]
+        long_lists, short = live[:n_long], live[n_long:]
         low = int(np.searchsorted(size, t))  # smaller sets can't share t
         spans = [posting[start[x] : start[x] + n] for x, n in zip(mine[short], before[short], strict=True)]
-        seen = low - 1
-        while True:
-            # connected already, or looked at: not searched again
-            lists = [kept.tolist() for s in spans if len(kept := s[s > seen] if every else s[(s > seen) & (label[s] != label[q])])]
-            found = None
-            for r, count in merge_skip(lists, t - n_long):
-                seen = r
-                wanted = long_tokens * n_docs + r  # binary probes of the long lists
-                at = np.searchsorted(entry, wanted)
-                both = count + int(np.count_nonzero(entry[np.minimum(at, len(entry) - 1)] == wanted))
-                if den * both >= num * (int(size[q] + size[r]) - both):
-                    if every:
-                        links.append((order[q], order[r]))
-                        continue
-                    found = r
-                    break
-            if found is None:
+        if int(before[short].sum()) <= FEW:
+            merged = list(merge_skip([s[s >= low].tolist() for s in spans], t - n_long))
+            ids, count = (np.array([x[i] for x in merged], np.int64) for i in (0, 1))
+        else:  # the same merge, of whole arrays
+            count = np.bincount(np.concatenate(spans))
+            ids = np.flatnonzero(count >= t - n_long)
+            ids = ids[ids >= low]
+            count = count[ids]
+
+        def other(ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            apart = label[ids] != label[q]  # connected already: not looked at again
+            return ids[apart], count[apart]
+
+        def linked(ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+            tokens = mine[long_lists]
+            if len(ids) * n_long * PROBE <= int(before[long_lists].sum()):
+                wanted = np.sort(tokens) * n_docs + ids[:, None]  # binary probes of the long lists
+                at = np.minimum(np.searchsorted(entry, wanted.ravel()), len(entry) - 1)
+                both = count + (entry[at].reshape(wanted.shape) == wanted).sum(1)
+            elif n_long:  # as many candidates as that: each long list is read once
+                every_long = np.concatenate([posting[start[x] : start[x] + n] for x, n in zip(tokens, before[long_lists], strict=True)])
+                both = count + np.bincount(every_long, minlength=q)[ids]
+            else:
+                both = count
+            return den * both >= num * (size[q] + size[ids] - both)
+
+        if every:
+            links += [(order[q], order[r]) for r in ids[linked(ids, count)].tolist()]
+            continue
+        ids, count = other(ids, count)
+        while len(ids):  # the likeliest alone: where it links, all that it is connected to is settled
+            best = int(count.argmax())
+            if not linked(ids[best : best + 1], count[best : best + 1])[0]:
+                ids, count = np.delete(ids, best), np.delete(count, best)
                 break
-            links.append((order[q], order[found]))
-            label[label == label[found]] = label[q]
+            links.append((order[q], order[ids[best]]))
+            label[label == label[ids[best]]] = label[q]
+            ids, count = other(ids, count)
+        for r in ids[linked(ids, count)].tolist() if len(ids) else []:
+            if label[r] != label[q]:
+                links.append((order[q], order[r]))
+                label[label == label[r]] = label[q]
     return links
 
 

@@ -342,3 +342,26 @@ def test_partners_share_a_band(spark):
             assert own(most) - own(n) in (0, 1)
         got = jaccard_join.in_bands(spark.range(1, 300).select(F.col("id").alias("sid"), F.col("id").alias("n")), num, den).collect()
         assert {(r.n, r.band) for r in got} == {(n, own(n) - k) for n in range(1, 300) for k in (0, 1)}
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_a_group_of_near_copies_is_not_probed_pair_by_pair(monkeypatch, every):
+    """Sets that share most of a text and mostly don't link: searches grow with sets, not pairs."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 62, 120)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: int(rng.integers(96, 118))], rng.integers(0, 1 << 62, int(rng.integers(0, 20)))])).astype(np.uint64) for _ in range(250)]
+    want = {(i, j) for i in range(250) for j in range(i) if 100 * len(c := np.intersect1d(sets[i], sets[j])) >= 85 * (len(sets[i]) + len(sets[j]) - len(c))}
+    calls, search = [], np.searchsorted
+    monkeypatch.setattr(jaccard_join.np, "searchsorted", lambda *a, **k: calls.append(1) or search(*a, **k))
+    got = jaccard_join.link_block(sets, every=every)
+    assert len(calls) < 10 * len(sets)
+    if every:
+        assert {(max(p), min(p)) for p in got} == want and len(got) == len(want) > 100
+    else:
+        name = list(range(250))
+        for pairs in (got, want):
+            for a, b in pairs:
+                if pairs is want:
+                    assert name[a] == name[b]
+                name = [name[a] if x == name[b] else x for x in name]
+        assert len(set(name)) == 250 - len(got) and {(max(p), min(p)) for p in got} <= want
