@@ -9,9 +9,12 @@ Equal strings have to meet in one shard, and shards have to stay small:
 1. Every string of ``length`` bytes has an anchor, the smallest hash of its ``GRAM``-byte
    grams. Neighbouring strings with one anchor make a segment (some 40 strings, 140 bytes),
    and equal strings lie in segments of one anchor, wherever they are. Anchors are counted,
-   with a digest of their segments, as packed arrays; a bitmap says which ones occur twice,
-   another which have different segments. (It has 16 MB at most: false hits cost, and change
-   nothing.)
+   with a digest of their segments, as packed arrays; a bitmap says which segments occur twice,
+   another which anchors have different segments. A string reaches beyond its anchor by half of
+   the rest on one side at least, so of different segments only those can share a string whose
+   anchors are equal with that much before them, or after them: these keys are counted
+   likewise, and the other segments go no further. (A bitmap has 16 MB at most: false hits
+   cost, and change nothing.)
 2. Of segments that are equal as a whole the first one stays, the rest repeat it. What is
    left, the different segments of one anchor, goes to shards by anchor.
 3. A shard gets a suffix array by induced sorting: suffixes are classified, leftmost smaller
@@ -87,11 +90,12 @@ def sliding(x: np.ndarray, w: int, f) -> np.ndarray:
 
 def chunk_segments(raw: np.ndarray, off: np.ndarray, lo: int, hi: int, length: int, k: int) -> tuple[np.ndarray, ...]:
     """Segments among the strings that start in raw[lo:hi]: start, number of strings, anchor,
-    and whether the anchor's hash is in the segment twice. ``off``: where documents begin."""
+    whether the anchor's hash is in the segment twice, and where it is (first). ``off``: where
+    documents begin."""
     w = length - k + 1
     text = raw[lo : min(hi + length - 1, int(off[-1]))]
     if len(text) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, bool))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, bool, np.int64))
     g = gram_hashes(text, k)
     v = sliding(g, w, np.minimum)
     edges = off[np.searchsorted(off, lo, "right") : np.searchsorted(off, lo + len(v), "left")] - lo  # of documents, inside
@@ -115,17 +119,19 @@ def chunk_segments(raw: np.ndarray, off: np.ndarray, lo: int, hi: int, length: i
     at = np.flatnonzero(g == sliding(padded, w, np.maximum))  # where the anchors are
     a, z = np.searchsorted(at, start), np.searchsorted(at, start + n + w - 1)
     size = z - a  # one at least
-    mine = g[at[np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())]] == np.repeat(v[start], size)
+    spot = at[np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    mine = g[spot] == np.repeat(v[start], size)
+    spot = np.minimum.reduceat(np.where(mine, spot, len(g)), np.cumsum(size) - size) if len(start) else np.zeros(0, np.int64)
     twice = np.add.reduceat(mine, np.cumsum(size) - size, dtype=np.int64) > 1 if len(start) else np.zeros(0, bool)
     # the smallest of many hashes are small numbers: mixed again, they fill the range
     anchor = (v[start] ^ (v[start] >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return start + lo, n, anchor ^ (anchor >> np.uint64(32)), twice
+    return start + lo, n, anchor ^ (anchor >> np.uint64(32)), twice, spot + lo
 
 
 def powers_of(base: int, n: int) -> np.ndarray:
     """base to the power of 0 to n - 1, and some more: one table for all stretches."""
     if len(_powers.get(base, ())) < n:
-        x = np.full(max(n, 1 << 20), base, np.uint64)
+        x = np.full(max(n, 1 << 21), base, np.uint64)
         x[0] = 1
         _powers[base] = np.cumprod(x, dtype=np.uint64)
     return _powers[base]
@@ -134,15 +140,18 @@ def powers_of(base: int, n: int) -> np.ndarray:
 def segment_digests(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """64 bits of the bytes of each segment: a polynomial, from running sums of a stretch."""
     out = np.zeros(len(start), np.uint64)
-    for at in range(0, len(start), 1 << 15):
-        s, m = start[at : at + (1 << 15)], size[at : at + (1 << 15)]
-        lo, hi = int(s[0]), int((s + m).max())
+    cuts = np.flatnonzero(np.diff(start >> 20)) + 1  # of a MB, however few there are in it
+    for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(start)], strict=True):
+        if at == end:
+            continue
+        s, m = start[at:end], size[at:end]
+        lo, hi = int(s.min()), int((s + m).max())
         powers, back = powers_of(_BASE, hi - lo), powers_of(pow(_BASE, -1, 1 << 64), hi - lo)
         sums = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum((raw[lo:hi].astype(np.uint64) + np.uint64(1)) * powers[: hi - lo], out=sums[1:])
         x = (sums[s + m - lo] - sums[s - lo]) * back[s - lo]
         x = (x ^ (x >> np.uint64(32)) ^ m.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-        out[at : at + (1 << 15)] = x ^ (x >> np.uint64(32))
+        out[at:end] = x ^ (x >> np.uint64(32))
     return out
 
 
@@ -155,82 +164,160 @@ def batch_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batch_segments(raw: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Start, number of strings, anchor, digest and ``twice`` of all segments of a batch."""
+    """Start, number of strings, anchor, digest, ``twice`` and the anchor's place of all segments
+    of a batch. The last bit of a digest is ``twice``, which a segment's bytes decide."""
     found = [chunk_segments(raw, off, lo, min(lo + CHUNK, int(off[-1])), length, k) for lo in range(int(off[0]), int(off[-1]), CHUNK)]
     if not found:
         found = [chunk_segments(raw, off, 0, 0, length, k)]
-    start, n, anchor, twice = (np.concatenate(x) for x in zip(*found, strict=True))
-    return start, n, anchor, segment_digests(raw, start, n + length - 1), twice
+    start, n, anchor, twice, spot = (np.concatenate(x) for x in zip(*found, strict=True))
+    digest = segment_digests(raw, start, n + length - 1) & ~np.uint64(1) | twice.astype(np.uint64)
+    return start, n, anchor, digest, twice, spot
+
+
+def side_keys(raw: np.ndarray, start: np.ndarray, n: np.ndarray, spot: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Keys of the anchors' left and right neighbourhoods, and in which segments they are whole.
+
+    A string of ``length`` bytes has its anchor and, besides, half of the rest before it or half
+    of it after it. So equal strings, where no anchor is in a segment twice, lie in segments
+    of which a left or a right key is the same."""
+    half = (length - k) // 2
+    left, right = start <= spot - half, start + n - 1 >= spot - (length - k - half)
+    keys = []
+    for has, begin, salt in ((left, spot - half, _BASE), (right, spot, 0xD6E8FEB86659FD93)):
+        out = np.zeros(len(start), np.uint64)
+        some = np.flatnonzero(has)
+        if len(some):
+            x = (segment_digests(raw, begin[some], np.full(len(some), k + half)) ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+            out[some] = x ^ (x >> np.uint64(29))
+        keys.append(out)
+    return left, keys[0], right, keys[1]
 
 
 def _bits_of(buckets: int) -> int:
     return buckets.bit_length() - 1
 
 
-def bitmaps(rows: DataFrame, length: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Which anchors occur twice, and which have two different segments: two bitmaps, and the
-    number of bits of an anchor that index them."""
-    size = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    bits = min(MAX_FILTER_BITS, max(16, int(size / 8).bit_length()))
-    buckets = 1 << min(_bits_of(MAX_BUCKETS), bits - 3, max(6, math.ceil(math.log2(max(1, size / 30 / BUCKET_HASHES)))))
-    shift = np.uint64(64 - _bits_of(buckets))
-    own = bits - _bits_of(buckets)  # bits of the index inside a bucket
+def pair_index(anchor: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """What a segment has in its anchor's bucket: mixed, with the anchor's first bits."""
+    x = (anchor ^ (digest >> np.uint64(1)) * np.uint64(_BASE)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    top = np.uint64(_bits_of(MAX_BUCKETS))
+    return (anchor >> (np.uint64(64) - top) << (np.uint64(64) - top)) | (x >> top)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw, off = batch_bytes(b.column("raw"))
-            _, _, anchor, digest, twice = batch_segments(raw, off, length, k)
-            both = np.concatenate([np.stack([anchor, digest], 1), np.stack([anchor[twice], digest[twice]], 1)])
-            both = both[np.lexsort((both[:, 1], both[:, 0]))]
-            third = np.zeros(len(both), bool)  # two of a kind say all: a hot anchor stays small
-            third[2:] = (both[2:] == both[:-2]).all(1)
-            both = both[~third]
-            bucket = (both[:, 0] >> shift).astype(np.int64)
-            names, first = np.unique(bucket, return_index=True)
-            parts = np.split(both, first[1:]) if len(names) else []
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["bucket", "packed"])
-        give_back()
 
-    def count(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        both = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in part["packed"]])
-        both = both[np.lexsort((both[:, 1], both[:, 0]))]
-        same = both[1:, 0] == both[:-1, 0]
-        other = same & (both[1:, 1] != both[:-1, 1])
-        inside = lambda x: ((x >> np.uint64(64 - bits)) & np.uint64((1 << own) - 1)).astype(np.int64)
-        out = []
-        for hit in (same, other):
-            mask = np.zeros(1 << own, np.uint8)
-            mask[inside(both[1:, 0][hit])] = 1
-            out.append(np.packbits(mask, bitorder="little").tobytes())
-        return pd.DataFrame({"bucket": [key[0]], "twice": [out[0]], "apart": [out[1]]})
+def hit_of(bits: int):
+    """Says which hashes have their bit set in a bitmap of 2^bits."""
+
+    def hit(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        index = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+        return (bitmap[index >> 3] >> (index & 7).astype(np.uint8)) & 1 == 1
 
-    counted = rows.select("raw").mapInArrow(pack, "bucket int, packed binary").groupBy("bucket").applyInPandas(count, "bucket int, twice binary, apart binary")
-    maps = np.zeros((2, buckets, (1 << own) // 8), np.uint8)
-    for r in counted.collect():  # 32 MB in all, at most
-        maps[0, r.bucket], maps[1, r.bucket] = np.frombuffer(r.twice, np.uint8), np.frombuffer(r.apart, np.uint8)
-    return maps[0].ravel(), maps[1].ravel(), bits
+    return hit
 
 
-def _hit(bitmap: np.ndarray, index: np.ndarray) -> np.ndarray:
-    return (bitmap[index >> 3] >> (index & 7).astype(np.uint8)) & 1 == 1
+class Maps:
+    """Bitmaps of 2^bits bits at most that say of hashes what ``counted`` found."""
+
+    def __init__(self, rows: DataFrame, total: int) -> None:
+        self.rows, self.total = rows, total
+        self.bits = min(MAX_FILTER_BITS, max(16, int(total / 8).bit_length()))
+        self.buckets = 1 << min(_bits_of(MAX_BUCKETS), self.bits - 3, max(6, math.ceil(math.log2(max(1, total / 30 / BUCKET_HASHES)))))
+
+    def counted(self, entries, found, n: int) -> list[np.ndarray]:
+        """``entries`` makes (key, value) rows of a batch, sorted; ``found`` gives, of all of a
+        bucket, sorted as well, n arrays of hashes, each of which sets bits of one bitmap."""
+        bits, buckets, own = self.bits, self.buckets, self.bits - _bits_of(self.buckets)
+        shift = np.uint64(64 - _bits_of(buckets))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                both = entries(*batch_bytes(b.column("raw")))
+                both = both[np.lexsort((both[:, 1], both[:, 0]))]
+                third = np.zeros(len(both), bool)  # two of a kind say all: a hot key stays small
+                third[2:] = (both[2:] == both[:-2]).all(1)
+                both = both[~third]
+                bucket = (both[:, 0] >> shift).astype(np.int64)
+                names, first = np.unique(bucket, return_index=True)
+                parts = np.split(both, first[1:]) if len(names) else []
+                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["bucket", "packed"])
+            give_back()
+
+        def count(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            both = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in part["packed"]])
+            both = both[np.lexsort((both[:, 1], both[:, 0]))]
+            out = []
+            for hashes in found(both):
+                mask = np.zeros(1 << own, np.uint8)
+                mask[((hashes >> np.uint64(64 - bits)) & np.uint64((1 << own) - 1)).astype(np.int64)] = 1
+                out.append(np.packbits(mask, bitorder="little").tobytes())
+            return pd.DataFrame({"bucket": [key[0]], "maps": [out]})
+
+        counted = self.rows.select("raw").mapInArrow(pack, "bucket int, packed binary").groupBy("bucket").applyInPandas(count, "bucket int, maps array<binary>")
+        maps = np.zeros((n, buckets, (1 << own) // 8), np.uint8)
+        for r in counted.collect():  # 16 MB a bitmap, at most
+            for i, x in enumerate(r.maps):
+                maps[i, r.bucket] = np.frombuffer(x, np.uint8)
+        return [x.ravel() for x in maps]
+
+
+def _needed(raw: np.ndarray, found: tuple[np.ndarray, ...], hit, maps: tuple[np.ndarray, ...], length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Of segments: which have an anchor with different ones, which of these have an anchor that
+    is in one of them twice, and the side keys of the others."""
+    start, n, anchor, _, twice, spot = found
+    apart = hit(maps[0], anchor) | twice
+    wild = apart & (hit(maps[2], anchor) | twice)
+    some = np.flatnonzero(apart & ~wild)
+    return apart, wild, some, side_keys(raw, start[some], n[some], spot[some], length, k)
+
+
+def bitmaps(rows: DataFrame, length: int, k: int) -> tuple[Maps, tuple[np.ndarray, ...]]:
+    """Bitmaps of: anchors that have two different segments, segments that occur twice, anchors
+    that are twice in one segment, and side keys that two different segments have."""
+    total = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    maps = Maps(rows, total)
+
+    def anchors(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        _, _, anchor, digest, _, _ = batch_segments(raw, off, length, k)
+        return np.stack([anchor, digest], 1)
+
+    def kinds(both: np.ndarray) -> list[np.ndarray]:
+        anchor, digest = both[:, 0], both[:, 1]
+        same = anchor[1:] == anchor[:-1]
+        equal = same & (digest[1:] == digest[:-1])
+        return [anchor[1:][same & ~equal], pair_index(anchor[1:][equal], digest[1:][equal]), anchor[digest & np.uint64(1) == 1]]
+
+    apart, equal, wild = maps.counted(anchors, kinds, 3)
+    hit, shared = hit_of(maps.bits), rows.sparkSession.sparkContext.broadcast((apart, equal, wild))
+
+    def sides(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        found = batch_segments(raw, off, length, k)
+        _, _, some, (left, a, right, b) = _needed(raw, found, hit, shared.value, length, k)
+        digest = found[3][some]
+        return np.concatenate([np.stack([a[left], digest[left]], 1), np.stack([b[right], digest[right]], 1)])
+
+    def different(both: np.ndarray) -> list[np.ndarray]:
+        return [both[1:, 0][(both[1:, 0] == both[:-1, 0]) & (both[1:, 1] != both[:-1, 1])]]
+
+    return maps, (apart, equal, wild, *maps.counted(sides, different, 1))
 
 
 def segment_rows(rows: DataFrame, length: int, k: int) -> DataFrame:
-    """The segments whose anchor occurs twice: id, h, start, n, anchor, digest, and the bytes
-    where the anchor has other segments too. Segments that come again in their own document
-    have no anchor: all their strings are repeats."""
-    twice_map, apart_map, bits = bitmaps(rows, length, k)
-    maps = rows.sparkSession.sparkContext.broadcast((twice_map, apart_map))
+    """The segments that occur twice or may share a string with a different one: id, h, start,
+    n, anchor, digest, and for the latter their bytes. Segments that come again in their own
+    document have no anchor: all their strings are repeats."""
+    maps, found_maps = bitmaps(rows, length, k)
+    hit, shared = hit_of(maps.bits), rows.sparkSession.sparkContext.broadcast(found_maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = batch_bytes(b.column("raw"))
-            start, n, anchor, digest, twice = batch_segments(raw, off, length, k)
-            index = (anchor >> np.uint64(64 - bits)).astype(np.int64)
-            some = np.flatnonzero(_hit(maps.value[0], index))
-            start, n, anchor, digest, twice, index = (x[some] for x in (start, n, anchor, digest, twice, index))
+            found = batch_segments(raw, off, length, k)
+            _, apart, some, (left, x, right, y) = _needed(raw, found, hit, shared.value, length, k)
+            apart[some] = left & hit(shared.value[3], x) | right & hit(shared.value[3], y)
+            start, n, anchor, digest, _, _ = found
+            some = np.flatnonzero(apart | hit(shared.value[1], pair_index(anchor, digest)))
+            start, n, anchor, digest, apart = (x[some] for x in (start, n, anchor, digest, apart))
             doc = np.searchsorted(off, start, "right") - 1
-            apart = _hit(maps.value[1], index) | twice
             # the same segment again, in the same document
             by = np.lexsort((start, digest, anchor, doc))
             again = np.zeros(len(by), bool)

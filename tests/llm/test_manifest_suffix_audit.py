@@ -225,3 +225,27 @@ def test_blocks_cover_the_text_once(spark):
                 reach += block * growth**need
                 need += 1
             assert r.n == need
+
+
+def test_segments_that_share_an_anchor_and_no_string_stay_behind(spark):
+    """A phrase of forty bytes in texts that differ around it makes no segment travel; a passage
+    of 130 bytes does, and so does one with a letter's run, wherever its anchor lies."""
+    rng = random.Random(12)
+    w = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    phrase, passage, run = w(40), w(130), w(60) + "z" * 90 + w(60)
+    plain = [(i, w(400) + phrase + w(400)) for i in range(40)]
+    shared = [(100 + i, w(300) + (passage if i % 2 else run) + w(300)) for i in range(20)]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rows = lambda docs: suffix_dedup.segment_rows(docs.select(*suffix_dedup._document(docs)), 100, 24)
+    assert rows(df(plain)).count() == 0
+    assert removed(df(plain + shared)) == brute_strings(plain + shared, 100)
+    assert 0 < rows(df(plain + shared)).filter("id >= 100").count() and rows(df(plain + shared)).filter("id < 100").count() < 10
+
+
+def test_side_keys_of_random_texts_by_brute_force(spark):
+    rng = random.Random(13)
+    blocks = ["".join(rng.choice("ab") for _ in range(rng.randint(5, 60))) for _ in range(12)]
+    rows = [(i, "".join(rng.choice(blocks) for _ in range(rng.randint(1, 14)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for how in ({}, {"length": 31, "gram": 8}, {"length": 24, "gram": 24}):
+        assert removed(docs, **how) == brute_strings(rows, how.get("length", 100))
