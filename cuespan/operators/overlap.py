@@ -11,11 +11,17 @@ Spans without a length, with a missing end or with an end before the start meet
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import temporal_iou
+from ..sources import tables
 
+BLOCK = 1024  # rows of a key on one side of a block of pairs
+PAIRS = 1_000_000  # of a task, about
+MAX_PARTS = 100_000
 LEAST = 2.0**-20  # shorter chunks lie on the level of this length
 SLACK = 1e-9  # for the rounding of logarithms and of starts
 
@@ -86,3 +92,31 @@ def near_candidates(spans: DataFrame, chunks: DataFrame, within: float, key: str
     return asked.join(held, [key, "cell"]).drop("cell").filter(F.abs(F.col("c_start_time") - F.col("start")) < within)
 
 
+def all_pairs(left: DataFrame, right: DataFrame, scores: Callable[[tuple[Column, ...]], dict[str, Column]], key: str = "video_id", block: int = BLOCK, pairs: int = PAIRS) -> DataFrame:
+    """Every pair of one key: key, left_id, right_id, and ``scores`` of (rs, re, ls, le).
+
+    left: key, left_id, start, end; right: key, right_id, start, end. That is as many rows as
+    it says, so it is dealt out: both sides of a key are cut into blocks by a hash of their
+    ids, and pairs of blocks are spread over as many tasks as the pairs ask for, whatever the
+    size of a key. Inside a block rows of one span lie together: a score is computed once for
+    two different spans, and the ids are paired after it."""
+    names = lambda rows, side: rows.select(key, F.col(f"{side}_id"), F.col("start").alias(f"{side[0]}s"), F.col("end").alias(f"{side[0]}e"))
+    count = lambda rows, to: rows.groupBy(key).agg(F.count("*").alias(to))
+    folder = tables.scratch_folder(left.sparkSession, "pairs")
+    count(left, "nl").join(count(right, "nr"), key).write.parquet(folder)
+    sizes = left.sparkSession.read.parquet(folder)
+    total = sizes.agg(F.sum(F.col("nl").cast("double") * F.col("nr"))).first()[0] or 0
+    parts = max(1, min(MAX_PARTS, int(-(-total // pairs))))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+
+    def dealt(side: str, rows: DataFrame, own: str, mine: str, other: str, theirs: str) -> DataFrame:
+        rows = names(rows, side).join(sizes, key).withColumn(own, F.pmod(F.xxhash64(f"{side}_id"), blocks(mine)).cast("int"))
+        span = [f"{side[0]}s", f"{side[0]}e"]
+        held = rows.groupBy(key, own, *span, blocks(theirs).alias("_n")).agg(F.collect_list(f"{side}_id").alias(f"{side}_ids"))
+        return held.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n").repartition(parts, key, "_l", "_r")
+
+    met = dealt("left", left, "_l", "nl", "_r", "nr").join(dealt("right", right, "_r", "nr", "_l", "nl"), [key, "_l", "_r"])
+    found = scores((F.col("rs"), F.col("re"), F.col("ls"), F.col("le")))
+    each = met.select(key, "left_ids", "right_ids", *[c.alias(k) for k, c in found.items()])
+    one = each.select(key, F.explode("left_ids").alias("left_id"), "right_ids", *found)
+    return one.select(key, "left_id", F.explode("right_ids").alias("right_id"), *found)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from .. import schemas
 from ..functions import parsing, spans, text, textmetrics
-from ..operators import evaluate, joins, prompts, quality, retrieval, sequence
+from ..operators import evaluate, joins, overlap, prompts, quality, retrieval, sequence
 from ..sources import captions as vtt
 from ..sources import tables
 from . import virtual as V
@@ -144,9 +144,10 @@ def _hops(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {V.CORPUS}, {V.QA} SELECT qa_id, hop::BIGINT AS hop, c.chunk_id, round_even({V.iou_sql("c.start_time", "c.end_time", "gs", "ge")}, 9) AS iou, {V.iou_sql("c.start_time", "c.end_time", "gs", "ge")} >= 0.3 AS hit
 FROM hops h JOIN corpus c ON h.video_id = c.video_id""")
 def q12_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = _hops(spark, d).join(V.corpus(spark, d).drop("embedding"), "video_id")
-    a = (F.col("start_time"), F.col("end_time"), F.col("gs"), F.col("ge"))
-    return p.select("qa_id", "hop", "chunk_id", r9(spans.temporal_iou(*a), "iou"), spans.iou_at(*a, 0.3).alias("hit"))
+    spans_of = _hops(spark, d).select("video_id", F.col("gs").alias("start"), F.col("ge").alias("end"), F.struct("qa_id", "hop").alias("left_id"))
+    chunks = V.corpus(spark, d).select("video_id", F.col("start_time").alias("start"), F.col("end_time").alias("end"), F.col("chunk_id").alias("right_id"))
+    p = overlap.all_pairs(spans_of, chunks, lambda a: {"iou": r9(spans.temporal_iou(*a), "iou"), "hit": spans.iou_at(*a, 0.3)})
+    return p.select("left_id.*", F.col("right_id").alias("chunk_id"), "iou", "hit")
 
 
 _ORDER_SPANS = "o AS (SELECT o_custkey AS k, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE AS s, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE + 30 AS e FROM orders)"
