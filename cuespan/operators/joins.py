@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources import tables
 from . import overlap
 
+
 def assign_captions(chunks: DataFrame, captions: DataFrame, bucket_seconds: float = 45.0) -> DataFrame:
     """Chunks with the captions inside [start, end), in order; a chunk without any gets the
     one nearest to its middle (the first of equals), and without captions in the video none.
@@ -45,20 +47,44 @@ def oracle_window(hops: DataFrame, chunks: DataFrame, margin: float = 120.0) ->
     return hops.join(c, (F.col("video_id") == F.col("_v")) & near).drop("_v")
 
 
-def containing_or_near(spans: DataFrame, chunks: DataFrame, within: float = 50.0) -> DataFrame:
-    """For each span (video_id, span_id, start, end) the first chunk, in chunk order, that
-    contains it; else the one that starts nearest, if nearer than ``within``; else none.
+def chosen_chunks(spans: DataFrame, chunks: DataFrame, within: float = 50.0) -> DataFrame:
+    """(video_id, start, end, chunk_seq, chunk_id) of each different span (video_id, start, end)
+    for which there is one: the first chunk, in chunk order, that contains it; else the one
+    that starts nearest, if nearer than ``within``.
 
-    Both kinds of candidates come from equi joins on cells of time, and one aggregate picks:
-    the first of those that hold the span, or the nearest of the others."""
-    c = chunks.select("video_id", "seq", "start_time", "end_time", "text")
+    A span is looked up once, whatever number of rows has it, and of the chunks with one start
+    and end only the first can be chosen, so pairs are made of different spans and different
+    times, not of rows. Both kinds of candidates come from equi joins on cells of time, and one
+    aggregate picks: the first of those that hold the span, or the nearest of the others."""
+    key = ["video_id", "start", "end"]
+    asked = spans.select(*key).distinct()
+    first = chunks.groupBy("video_id", "start_time", "end_time").agg(F.min(F.struct("seq", "chunk_id")).alias("one"))
     gap = F.abs(F.col("c_start_time") - F.col("start"))
-    pick = lambda tier, a: F.struct(F.lit(tier).alias("tier"), a.cast("double").alias("a"), F.col("c_seq").alias("seq"), F.col("c_text").alias("text")).alias("pick")
-    holding = overlap.holding_join(spans, c).select(*spans.columns, pick(0, F.col("c_seq")))
-    near = overlap.near_candidates(spans, c, within).select(*spans.columns, pick(1, gap))
-    none = spans.select(*spans.columns, F.lit(None).cast(holding.schema["pick"].dataType).alias("pick"))
-    best = holding.unionByName(near).unionByName(none).groupBy(*spans.columns).agg(F.min("pick").alias("pick"))
-    return best.select(*spans.columns, F.col("pick.seq").alias("chunk_seq"), F.col("pick.text").alias("chunk_text"))
+    pick = lambda tier, a: F.struct(F.lit(tier).alias("tier"), a.cast("double").alias("a"), F.col("c_one").alias("one")).alias("pick")
+    holding = overlap.holding_join(asked, first).select(*key, pick(0, F.col("c_one.seq")))
+    near = overlap.near_candidates(asked, first, within).select(*key, pick(1, gap))
+    best = holding.unionByName(near).groupBy(*key).agg(F.min("pick").alias("pick"))
+    return best.select(*key, F.col("pick.one.seq").alias("chunk_seq"), F.col("pick.one.chunk_id").alias("chunk_id"))
+
+
+def with_chosen_texts(spans: DataFrame, chosen: DataFrame, texts: DataFrame) -> DataFrame:
+    """Different rows of ``spans`` with chunk_seq and chunk_text of their chunk in ``chosen``, null
+    without one. ``texts`` (chunk_id, text) stay where they are read unless many are chosen."""
+    spark, path = spans.sparkSession, tables.scratch_folder(spans.sparkSession, "chosen")
+    chosen.write.parquet(path)  # so that the engine knows its size: it broadcasts few, and shuffles many
+    chosen = spark.read.schema(chosen.schema).parquet(path)
+    found = texts.select("chunk_id", "text").join(chosen.select("chunk_id").distinct(), "chunk_id")
+    one = found.groupBy("chunk_id").agg(F.min(F.struct("text")).alias("one"))
+    named = chosen.join(one, "chunk_id", "left").select(F.col("video_id").alias("_v"), F.col("start").alias("_s"), F.col("end").alias("_e"), "chunk_seq", F.col("one.text").alias("chunk_text"))
+    same = (F.col("video_id") == F.col("_v")) & (F.col("start") == F.col("_s")) & F.col("end").eqNullSafe(F.col("_e"))
+    return spans.distinct().join(named, same, "left").select(*spans.columns, "chunk_seq", "chunk_text")
+
+
+def containing_or_near(spans: DataFrame, chunks: DataFrame, within: float = 50.0) -> DataFrame:
+    """For each span (video_id, span_id, start, end) the first chunk, in chunk order, that
+    contains it; else the one that starts nearest, if nearer than ``within``; else none."""
+    c = chunks.withColumn("chunk_id", F.struct("video_id", "seq", "start_time", "end_time"))
+    return with_chosen_texts(spans, chosen_chunks(spans, c.drop("text"), within), c)
 
 
 def lookup_texts(rows: DataFrame, chunks: DataFrame, key: str, ids: str = "source_chunk_ids", default: str = "[chunk text not found]") -> DataFrame:

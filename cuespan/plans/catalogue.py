@@ -414,8 +414,8 @@ def _audit(spark: SparkSession, d: str) -> DataFrame:
     h = V.questions(spark, d).select("qa_id", "video_id", "question_type", F.posexplode("hops").alias("span_idx", "h"))
     h = h.select("qa_id", "video_id", "question_type", "span_idx", F.col("h.start").alias("start"), F.col("h.end").alias("end"))
     docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    c = V.corpus(spark, d).drop("embedding").join(docs, "chunk_id").withColumnRenamed("idx", "seq")
-    found = joins.containing_or_near(h, c)
+    c = V.corpus(spark, d).drop("embedding").withColumnRenamed("idx", "seq").join(docs.select("chunk_id"), "chunk_id", "left_semi")
+    found = joins.with_chosen_texts(h, joins.chosen_chunks(h, c), docs)
     concepts = F.when(F.col("qa_id") % 4 == 0, F.slice(F.array(*[F.lit(x) for x in _CONCEPTS]), 1, 0)).otherwise(F.slice(F.array(*[F.lit(x) for x in _CONCEPTS]), F.lit(1), (F.col("qa_id") % 5 + 1).cast("int")))
     return quality.span_audit(found.withColumns({"concepts": concepts, "duration": F.col("end") - F.col("start")}))
 

@@ -92,6 +92,34 @@ def test_grid_compares_few_pairs_of_a_long_video(spark):
     assert linked >= 20_000 and compared < 20_000**2 / 1000 and compared < 20 * linked
 
 
+def test_pairs_of_spans_and_chunks_do_not_grow_with_rows(spark):
+    """Many chunks and spans of the same few times: candidates are made of different ones."""
+    n = 3000
+    chunks = spark.range(n).select(F.lit("v").alias("video_id"), F.col("id").alias("seq"), (35.0 * (F.col("id") % 12)).alias("start_time"), F.col("id").alias("chunk_id")).withColumn("end_time", F.col("start_time") + 45.0)
+    spans = spark.range(n).select(F.lit("v").alias("video_id"), F.col("id").alias("span_id"), (35.0 * (F.col("id") % 12) + 10.0).alias("start")).withColumn("end", F.col("start") + 35.0)
+    chosen = joins.chosen_chunks(spans, chunks).collect()
+    assert sorted((r.start, r.chunk_seq) for r in chosen) == [(35.0 * i + 10.0, i) for i in range(12)]
+    texts = chunks.select("chunk_id", F.concat(F.lit("t"), "chunk_id").alias("text"))
+    got = joins.with_chosen_texts(spans, joins.chosen_chunks(spans, chunks), texts)
+    assert got.filter(F.col("chunk_text") == F.concat(F.lit("t"), F.col("span_id") % 12)).count() == n
+
+
+@pytest.mark.parametrize("block, pairs", [(2048, 4_000_000), (16, 500)])
+def test_all_pairs_by_brute_force(spark, block, pairs):
+    rng = random.Random(11)
+    a, b = random_spans(rng, 90), random_spans(rng, 70)
+    left = spark.createDataFrame(a, "video_id string, left_id int, start double, end double")
+    right = spark.createDataFrame(b, "video_id string, right_id int, start double, end double")
+    got = overlap.all_pairs(left, right, lambda x: {"gap": x[0] - x[2], "reach": x[1] - x[3]}, block=block, pairs=pairs)
+    minus = lambda p, q: None if p is None or q is None else p - q
+    want = Counter((x[0], x[1], y[1], minus(y[2], x[2]), minus(y[3], x[3])) for x in a for y in b if x[0] is not None and x[0] == y[0])
+    assert Counter((r.video_id, r.left_id, r.right_id, r.gap, r.reach) for r in got.collect()) == want and want
+    if block == 16:  # one key, and many tasks
+        one = lambda r: r.withColumn("video_id", F.lit("v"))
+        found = overlap.all_pairs(one(left), one(right), lambda x: {"gap": x[0] - x[2]}, block=16, pairs=500)
+        assert found.count() == len(a) * len(b) and found.groupBy(F.spark_partition_id().alias("p")).count().count() > 4
+
+
 def test_holding_and_nearest_by_brute_force(spark):
     rng = random.Random(9)
     spans = [s for s in random_spans(rng, 200) if s[3] is None or s[2] is None or s[3] >= s[2]]
