@@ -279,3 +279,25 @@ def test_readers_of_the_store_see_one_version(spark, tmp_path):
     final = {**after, ("d", 5): 3, ("e", 5): 3, ("f", 6): 3}
     assert seen(store.rows()) == final
     assert store.vacuum() >= 2 and store.versions() == [4] and seen(store.rows()) == final
+
+
+def test_a_bundle_has_about_a_block_of_vectors():
+    from cuespan.operators.vector_index import bundles_of
+
+    bundle, parts = bundles_of(np.array([3, 4, 5, 25, 1, 1]), 10)
+    assert bundle.tolist() == [0, 0, 1, 2, 3, 3] and parts.tolist() == [1, 1, 3, 1]
+
+
+def test_a_query_is_sent_to_a_bundle_once(spark, tmp_path):
+    """Vectors that point everywhere: all cells are asked for, in as few copies as there are blocks."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 24))
+    index = VectorIndex(spark, str(tmp_path / "ix")).build(table(spark, x, "chunk_id"), cells=50)
+    best, work = index.search(table(spark, x[:40], "query_id"), 3, block=200)
+    assert {(r.query_id, r["rank"]): r.chunk_id for r in best.collect()} == full_scan(x[:40], x, 3)
+    assert work.filter("cells > 40").count() > 30
+    cells = index._cells()
+    asked = spark.createDataFrame([(i, v.tolist(), cells["cell"].tolist()) for i, v in enumerate(x[:40])], "query_id long, vector array<double>, cells array<int>")
+    plan = index._scored(asked, 3, cells, 200, 9)
+    # 3 rows of each query and bundle, and not of each cell
+    assert plan.count() <= 40 * 3 * 4 < 40 * 3 * len(cells)
